@@ -6,13 +6,18 @@ parsed parts, is decided by native expressions in ``operators.extract``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the parsers travel to the workers by value: nothing has to be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements without content, elements whose text is not page text,
 # elements that keep their white space, and the white space of HTML.
 VOID = frozenset(

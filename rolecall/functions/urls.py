@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the parsers travel to the workers by value: nothing has to be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The longest accepted URL in bytes, and the default ports.
 MAX_URL_BYTES = 2083
 DEFAULT_PORTS = {"http": 80, "https": 443}

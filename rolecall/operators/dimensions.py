@@ -1,4 +1,8 @@
-"""Reference tables: raw text to ids, synonyms, usage and roll-ups."""
+"""Reference tables: raw text to ids, synonyms, usage and roll-ups.
+
+No join here carries a hint: the planner broadcasts a reference table while its known size is
+below the broadcast threshold, and shuffles (with skew splitting) beyond it.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions.text import ascii_fold, blank_to_null, location_head, strip
-from rolecall.operators.joins import small_side
 
 
 def lookup_table(dimension: DataFrame, synonyms: DataFrame, id_column: str) -> DataFrame:
@@ -23,7 +26,7 @@ def lookup_table(dimension: DataFrame, synonyms: DataFrame, id_column: str) -> D
 
 def _normalise(df: DataFrame, name: Column, lookup: DataFrame, out: str) -> DataFrame:
     keyed = df.withColumn("_name", ascii_fold(name))
-    return keyed.join(small_side(lookup), "_name", "left").withColumn(out, F.col("_to")).drop("_name", "_to")
+    return keyed.join(lookup, "_name", "left").withColumn(out, F.col("_to")).drop("_name", "_to")
 
 
 def with_department_id(df: DataFrame, departments: DataFrame, synonyms: DataFrame, raw: str = "department") -> DataFrame:
@@ -83,4 +86,4 @@ def rolled_up(jobs: DataFrame, dimension: DataFrame, id_column: str, level: str)
 def in_rollup(jobs: DataFrame, dimension: DataFrame, id_column: str, level: str, values: list[str]) -> DataFrame:
     """Postings whose dimension row has one of the level values."""
     wanted = dimension.where(F.col(level).isin(*values)).select(F.col("id").alias(id_column))
-    return jobs.join(small_side(wanted), id_column, "left_semi")
+    return jobs.join(wanted, id_column, "left_semi")

@@ -1,0 +1,24 @@
+"""Registered queries: a Spark plan over a table folder, and its SQL twin where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Plan = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Plan] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
+    def register(plan: Plan) -> Plan:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = plan
+        if sql:
+            ORACLES[name] = sql.strip()
+        return plan
+
+    return register

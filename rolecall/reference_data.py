@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.operators.dedupe import first_by_key
 from rolecall.schemas import DEPARTMENT, LOCATION
@@ -96,16 +98,24 @@ LOCATION_SYNONYMS = (
 )
 
 
-def _numbered(spark: SparkSession, rows: tuple, columns: str) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows, 1)], columns)
+_SEED_SYNONYM = T.StructType(
+    [T.StructField("id", T.LongType()), T.StructField("synonym", T.StringType()),
+     T.StructField("canonical_name", T.StringType())]
+)
+
+
+def _table(spark: SparkSession, rows: tuple, schema: T.StructType) -> DataFrame:
+    """Rows numbered from 1 as a local relation, whose size the planner knows."""
+    columns = list(zip(*[(i, *row) for i, row in enumerate(rows, 1)], strict=True))
+    return spark.createDataFrame(pa.table(dict(zip(schema.names, columns, strict=True))), schema)
 
 
 def departments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(DEPARTMENTS, 1)], DEPARTMENT)
+    return _table(spark, DEPARTMENTS, DEPARTMENT)
 
 
 def locations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(LOCATIONS, 1)], LOCATION)
+    return _table(spark, LOCATIONS, LOCATION)
 
 
 def resolve_synonyms(seed: DataFrame, dimension: DataFrame, id_column: str) -> DataFrame:
@@ -115,14 +125,16 @@ def resolve_synonyms(seed: DataFrame, dimension: DataFrame, id_column: str) -> D
     return unique.join(ids, "canonical_name").select("id", "synonym", id_column)
 
 
+def _seed_synonyms(spark: SparkSession, rows: tuple) -> DataFrame:
+    return _table(spark, rows, _SEED_SYNONYM)
+
+
 def department_synonyms(spark: SparkSession) -> DataFrame:
-    seed = _numbered(spark, DEPARTMENT_SYNONYMS, "id long, synonym string, canonical_name string")
-    return resolve_synonyms(seed, departments(spark), "department_id")
+    return resolve_synonyms(_seed_synonyms(spark, DEPARTMENT_SYNONYMS), departments(spark), "department_id")
 
 
 def location_synonyms(spark: SparkSession) -> DataFrame:
-    seed = _numbered(spark, LOCATION_SYNONYMS, "id long, synonym string, canonical_name string")
-    return resolve_synonyms(seed, locations(spark), "location_id")
+    return resolve_synonyms(_seed_synonyms(spark, LOCATION_SYNONYMS), locations(spark), "location_id")
 
 
 def load_seed(existing: DataFrame, seed: DataFrame, key: str = "canonical_name") -> DataFrame:
