@@ -1,4 +1,4 @@
-"""URL expressions. The common shapes stay native; only odd URLs visit a Python worker."""
+"""URL expressions. Canonical URLs stay native; only odd ones visit a Python worker."""
 
 from __future__ import annotations
 
@@ -18,13 +18,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_URL_BYTES = 2083
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
-# http(s), plain ASCII host that ends in a letter label, optional port, rest without
-# anything that would have to be re-encoded.
-_PLAIN = (
-    r"^([hH][tT][tT][pP][sS]?)://((?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*\.?)(?::([0-9]{1,4}))?"
-    r"((?:[/?#][!$%&()*+,\-./0-9:;=?@A-Z\[\]_a-z|~#]*)?)$"
+# already in canonical form: lower-case ASCII host that ends in a letter label, no port, no dot
+# segment, nothing that would have to be encoded
+_CANONICAL = (
+    r"^https?://(?!.*/(?:\.|%2[eE]){1,2}(?:[/?#]|$))(?:[a-z0-9-]+\.)*[a-z][a-z0-9-]*\.?"
+    r"/[!$%&()*+,\-./0-9:;=?@A-Z\[\]_a-z|~#]*$"
 )
-_DOT_SEGMENT = r"(?i)/(\.|%2e){1,2}([/?#]|$)"
 _EDGE = "".join(chr(code) for code in range(0x21))
 
 
@@ -56,28 +55,22 @@ def clean_company_page_url(url: Column, fix_lever: bool = False, strip_query: bo
 def normalise_url(url: Column) -> Column:
     """Canonical http(s) URL, or NULL when it is not a valid one."""
     trimmed = F.btrim(url, F.lit(_EDGE))
-    plain = trimmed.rlike(_PLAIN) & ~trimmed.rlike(_DOT_SEGMENT)
-    scheme = F.lower(F.regexp_extract(trimmed, _PLAIN, 1))
-    host = F.lower(F.regexp_extract(trimmed, _PLAIN, 2))
-    port = F.regexp_extract(trimmed, _PLAIN, 3)
-    rest = F.regexp_extract(trimmed, _PLAIN, 4)
-    number = F.when(port != "", port.cast("int"))
-    default = F.when(scheme == "https", F.lit(DEFAULT_PORTS["https"])).otherwise(F.lit(DEFAULT_PORTS["http"]))
-    shown_port = F.when(number.isNull() | (number == default), F.lit("")).otherwise(
-        F.concat(F.lit(":"), number.cast("string"))
-    )
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    native = F.concat(scheme, F.lit("://"), host, shown_port, path)
-    # an http-like URL of another shape: NULL for all rows that do not need the worker
-    odd = F.when(trimmed.rlike(r"^[hH][tT][tT][pP][sS]?:") & ~plain, trimmed)
-    return F.when(F.octet_length(url) <= MAX_URL_BYTES, F.when(plain, native).otherwise(_canonical_urls(odd)))
+    canonical = trimmed.rlike(_CANONICAL)
+    # NULL, and so no work for the worker, for canonical URLs and for anything but http(s)
+    odd = F.when(~canonical & trimmed.rlike("^[hH][tT][tT][pP][sS]?:"), trimmed)
+    normalised = F.when(canonical, trimmed).otherwise(_canonical_urls(odd))
+    return F.when(F.octet_length(url) <= MAX_URL_BYTES, normalised)
 
 
 @F.pandas_udf(T.StringType())
-def _canonical_urls(urls: pd.Series) -> pd.Series:
+def _parsed_urls(urls: pd.Series) -> pd.Series:
     return urls.map(canonical_url, na_action="ignore")
 
 
+# marked so that the planner neither repeats the call nor moves a filter on its result below it
+_canonical_urls = _parsed_urls.asNondeterministic()
+
+
 def _encode(text: str, also: str) -> str:
     """Percent-encode controls, non-ASCII and the given characters as UTF-8."""
     keep = lambda ch: 0x20 < ord(ch) < 0x7F and ch not in also

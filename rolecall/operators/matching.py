@@ -14,8 +14,8 @@ SCORE = "similarity_score"
 
 def score_jobs(jobs: DataFrame, cv: DataFrame, embedding: str = "embedding", zero_is_error: bool = False) -> DataFrame:
     """Cosine score per posting. The CV is a one-row table and enters as a scalar subquery, so there is no join."""
-    vector = cv.select("embedding").scalar()
-    return jobs.withColumn(SCORE, cosine(F.col(embedding), vector, zero_is_error))
+    staged = jobs.withColumn("_cv", cv.select("embedding").scalar())
+    return staged.withColumn(SCORE, cosine(F.col(embedding), F.col("_cv"), zero_is_error)).drop("_cv")
 
 
 def _order(position: str) -> list[Column]:

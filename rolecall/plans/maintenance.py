@@ -10,8 +10,11 @@ from rolecall.functions.urls import url_hash
 from rolecall.operators import dedupe, tables
 from rolecall.operators.extract import details_to_map
 from rolecall.operators.numbering import number_rows
+from rolecall.operators.screening import kept_jobs, screen
+from rolecall.operators.validate import check_jobs, valid_jobs
 from rolecall.plans.inputs import (
     COMPANIES_SQL,
+    LATIN_LETTERS,
     NORMALISED_SQL,
     companies,
     dimensions,
@@ -158,6 +161,31 @@ def persist_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return delta.select("url_hash", "employment_type", F.md5("embed_text").alias("embed_text"))
 
 
+@query(
+    "daily_batch",
+    f"""WITH {NORMALISED_SQL}, bodies AS (SELECT *, trim(title) || ' ' || description_text || ' ' || location || ' '
+     || company_name AS body FROM normalised WHERE contains(location, 'ISRAEL')),
+    kept AS (SELECT * FROM bodies WHERE coalesce(length(regexp_replace(body, '[^\\x{{00C0}}-\\x{{00FF}}]', '', 'g'))::DOUBLE
+     / nullif(length(regexp_replace(body, '[^\\p{{L}}]', '', 'g')), 0) <= 0.1, true)
+     AND coalesce(lower(trim(department)) <> 'general', true)),
+    firsts AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1)
+    SELECT row_number() OVER (ORDER BY pos) AS id, md5(url) AS url_hash, trim(title) AS title, department_id, location_id,
+    md5(description_text) AS description FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM normalised s
+     WHERE s.n_chars >= 2000 AND s.url = f.url)""",
+)
+def daily_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The main path: validate, screen, drop known and repeated postings, normalise, number."""
+    raw = postings(spark, sf).drop("n_chars").withColumn("url", F.replace("url", F.lit("https:"), F.lit("HTTPS:")))
+    valid = valid_jobs(check_jobs(raw))
+    kept = kept_jobs(screen(valid, block=LATIN_LETTERS))
+    delta = tables.insert_jobs(
+        _stored_jobs(spark, sf), kept, "pos", as_of=F.lit(NOW).cast("timestamp"), first_id=1, **dimensions(spark)
+    )
+    return delta.select(
+        "id", "url_hash", "title", "department_id", "location_id", F.md5("description").alias("description")
+    )
+
+
 @query(
     "m4_touch",
     f"""WITH {COMPANIES_SQL}, touched AS (SELECT id, CASE WHEN domain = 'building' THEN TIMESTAMP '{NOW}'

@@ -28,6 +28,8 @@ STAGED_JOB = T.StructType(
     [T.StructField("source_url", T.StringType()), T.StructField("job_pos", T.LongType())]
     + [f for f in RAW_JOB.fields if f.name != "type_errors"]
 )
+HASHED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("url_hash", T.StringType())])
+SCREENED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("reject_reason", T.StringType())])
 QUEUED_JOB = T.StructType([f for f in STAGED_JOB.fields if f.name != "source_url"])
 JOB_DOCUMENT = T.StructType(
     [T.StructField("jobs", T.ArrayType(QUEUED_JOB)), T.StructField("source_url", T.StringType())]
@@ -71,11 +73,13 @@ class ScrapeJob:
         spark = batch.sparkSession
         wanted = batch.select(F.col("company_page_url").alias("url")).distinct()
         pages = self.pages.join(small_side(wanted), "url", "left_semi").withColumnRenamed("url", "source_url")
-        checked = valid_jobs(check_jobs(extract_jobs(pages)))
-        hashed = checked.withColumn("url_hash", url_hash(F.col("url")))
-        fresh = drop_known(hashed, read_loads(spark, self.store, STORED_JOB), "url_hash")
-        write_load(fresh.select(*[F.col(f.name).cast(f.dataType) for f in STAGED_JOB.fields]), self.staging, load_id)
-        staged = read_load(spark, self.staging, load_id, STAGED_JOB)
+        checked = valid_jobs(check_jobs(extract_jobs(pages))).withColumn("url_hash", url_hash(F.col("url")))
+        fields = [F.col(f.name).cast(f.dataType) for f in STAGED_JOB.fields]
+        write_load(checked.select(*fields, "url_hash"), f"{self.staging}/valid", load_id)
+        valid = read_load(spark, f"{self.staging}/valid", load_id, HASHED_JOB)
+        fresh = drop_known(valid, read_loads(spark, self.store, STORED_JOB), "url_hash", is_small(valid))
+        write_load(fresh.select(*STAGED_JOB.names), f"{self.staging}/fresh", load_id)
+        staged = read_load(spark, f"{self.staging}/fresh", load_id, STAGED_JOB)
         write_load(job_batches(staged, "source_url", F.col("url")), self.queue, load_id, "text")
 
 
@@ -98,14 +102,13 @@ class IngestJob:
 
     def handle(self, batch: DataFrame, load_id: int) -> None:
         spark = batch.sparkSession
-        screened = screen(unpack_documents(batch), **self.options)
+        write_load(screen(unpack_documents(batch), **self.options), f"{self.root}/screened", load_id)
+        screened = read_load(spark, f"{self.root}/screened", load_id, SCREENED_JOB)
         write_load(reject_counts(screened), f"{self.root}/rejects", load_id)
-        kept = kept_jobs(screened)
+        kept = kept_jobs(screened).withColumn("_order", F.struct("source_url", "job_pos", "url"))
         earlier = read_loads(spark, self.store, STORED_JOB, before=load_id)
-        order = F.struct("source_url", "job_pos", "url")
         delta = persist_jobs(
-            earlier, kept.withColumn("_order", order), "_order", as_of=self.as_of, new_is_small=is_small(kept),
-            **self.dimensions,
+            earlier, kept, "_order", as_of=self.as_of, new_is_small=is_small(kept), **self.dimensions
         )
         write_load(delta, self.store, load_id)
         stored = read_load(spark, self.store, load_id, STORED_JOB)
