@@ -10,8 +10,9 @@ import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,17 +183,25 @@ def page_listings(markup: str) -> dict:
     return {"anchors": anchors, "cards": cards}
 
 
-@F.pandas_udf(T.StringType())
-def html_text(markup: pd.Series) -> pd.Series:
-    return markup.map(fragment_text, na_action="ignore")
+def _each(values: pa.Array, kind: T.DataType, work) -> pa.Array:
+    """Apply ``work`` to every non-NULL value of an Arrow batch."""
+    rows = [None if value is None else work(value) for value in values.to_pylist()]
+    return pa.array(rows, type=to_arrow_type(kind))
 
 
-@F.pandas_udf(TEXT_GROUPS)
-def html_text_groups(groups: pd.Series) -> pd.Series:
-    return groups.map(lambda rows: rows if rows is None else [[fragment_text(v) for v in row] for row in rows])
+def _texts_of(markup: pa.Array) -> pa.Array:
+    return _each(markup, T.StringType(), fragment_text)
 
 
-@F.pandas_udf(LISTINGS)
-def html_listings(pages: pd.Series) -> pd.DataFrame:
-    rows = [page_listings(page) if isinstance(page, str) else {"anchors": None, "cards": None} for page in pages]
-    return pd.DataFrame(rows, columns=["anchors", "cards"])
+def _text_groups_of(groups: pa.Array) -> pa.Array:
+    return _each(groups, TEXT_GROUPS, lambda rows: [[fragment_text(text) for text in row] for row in rows])
+
+
+def _listings_of(pages: pa.Array) -> pa.Array:
+    return _each(pages, LISTINGS, page_listings)
+
+
+# marked so that the planner never parses a page twice: once for a filter and once for its rows
+html_text = F.arrow_udf(_texts_of, T.StringType()).asNondeterministic()
+html_text_groups = F.arrow_udf(_text_groups_of, TEXT_GROUPS).asNondeterministic()
+html_listings = F.arrow_udf(_listings_of, LISTINGS).asNondeterministic()

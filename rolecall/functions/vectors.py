@@ -35,7 +35,8 @@ def batch_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(result, mask=np.isnan(result))
 
 
-_cosine = F.arrow_udf(batch_cosine, T.DoubleType())
+# marked so that a filter on the score does not compute it a second time
+_cosine = F.arrow_udf(batch_cosine, T.DoubleType()).asNondeterministic()
 
 
 def cosine(left: Column, right: Column, zero_is_error: bool = False) -> Column:

@@ -53,33 +53,36 @@ def details_to_map(names: Column, values: Column) -> Column:
 
 
 def classify_details(items: Column) -> Column:
-    """Fold detail lines, in order, into location, experience level and employment type."""
-    empty = F.struct(*[F.lit(None).cast("string").alias(n) for n in ("location", "experience", "employment")])
-
-    def step(acc: Column, item: Column) -> Column:
-        text, lowered = item["text"], F.lower(item["text"])
-        employment_word = lowered.rlike(EMPLOYMENT_WORDS)
-        experience_word = lowered.rlike(EXPERIENCE_WORDS)
-        words = F.size(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
-        short = words <= 2
-        no_experience = F.coalesce(acc["experience"], F.lit("")) == ""
-        no_employment = F.coalesce(acc["employment"], F.lit("")) == ""
-        marker = F.coalesce(item["has_marker"], F.lit(False))
-        location = F.when(marker, text).otherwise(acc["location"])
-        experience = (
-            F.when(marker | employment_word, acc["experience"])
-            .when(experience_word | (short & no_experience), text)
-            .otherwise(acc["experience"])
-        )
-        employment = (
-            F.when(marker, acc["employment"])
-            .when(employment_word, text)
-            .when(~experience_word & short & ~no_experience & no_employment, text)
-            .otherwise(acc["employment"])
+    """Fold detail lines, in order, into location, experience level and employment type.
+
+    Each line is looked at once; the fold itself only compares flags.
+    """
+    name_type = ("location", "experience", "employment")
+    empty = F.struct(*[F.lit(None).cast("string").alias(n) for n in name_type])
+
+    def flags(item: Column) -> Column:
+        lowered = F.lower(item["text"])
+        words = F.regexp_count(item["text"], F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+        kind = (
+            F.when(F.coalesce(item["has_marker"], F.lit(False)), F.lit("location"))
+            .when(lowered.rlike(EMPLOYMENT_WORDS), F.lit("employment"))
+            .when(lowered.rlike(EXPERIENCE_WORDS), F.lit("experience"))
+            .when(words <= 2, F.lit("guess"))
         )
-        return F.struct(location.alias("location"), experience.alias("experience"), employment.alias("employment"))
+        return F.struct(item["text"].alias("text"), kind.alias("kind"))
+
+    def step(acc: Column, line: Column) -> Column:
+        text, kind = line["text"], line["kind"]
+        blank = lambda name: F.coalesce(acc[name], F.lit("")) == ""
+        guess = kind == "guess"
+        taken = {
+            "location": kind == "location",
+            "experience": (kind == "experience") | (guess & blank("experience")),
+            "employment": (kind == "employment") | (guess & ~blank("experience") & blank("employment")),
+        }
+        return F.struct(*[F.when(taken[n], text).otherwise(acc[n]).alias(n) for n in name_type])
 
-    return F.aggregate(F.coalesce(items, F.array().cast("array<struct<text:string,has_marker:boolean>>")), empty, step)
+    return F.aggregate(F.transform(items, flags), empty, step)
 
 
 def _raw_job(**fields: Column) -> Column:
@@ -122,8 +125,8 @@ def position_to_job(position: Column, texts: Column, type_errors: Column) -> Col
     )
 
 
-def anchor_to_job(anchor: Column) -> Column:
-    kind = classify_details(anchor["items"])
+def anchor_to_job(anchor: Column, kind: Column) -> Column:
+    """Project one anchor; ``kind`` holds its classified details."""
     return _raw_job(
         title=anchor["title"], url=anchor["url"], location=kind["location"],
         experience_level=kind["experience"], employment_type=kind["employment"], type_errors=_no_errors(),
@@ -187,11 +190,12 @@ def extract_jobs(pages: DataFrame, html: str = "html", strict: bool = True) -> D
     rows = parse_pages(pages, html, strict).select(
         *keep, "_variants", F.posexplode("postings").alias("job_pos", "_from")
     )
+    rows = rows.withColumn("_kind", classify_details(F.col("_from.anchor.items")))
     errors = _mistyped(F.get("_variants", F.col("job_pos"))) if strict else _no_errors()
     position, anchor = F.col("_from.position"), F.col("_from.anchor")
     job = (
         F.when(position.isNotNull(), position_to_job(position, F.col("_from.texts"), errors))
-        .when(anchor.isNotNull(), anchor_to_job(anchor))
+        .when(anchor.isNotNull(), anchor_to_job(anchor, F.col("_kind")))
         .otherwise(card_to_job(F.col("_from.card")))
     )
     return rows.select(*keep, "job_pos", job.alias("_job")).select(*keep, "job_pos", "_job.*")

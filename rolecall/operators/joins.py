@@ -28,3 +28,12 @@ def drop_known(new: DataFrame, known: DataFrame, key: str, new_is_small: bool =
         wanted = new.select(key).where(F.col(key).isNotNull()).distinct()
         stored = stored.join(small_side(wanted), key, "left_semi")
     return new.join(stored, key, "left_anti")
+
+
+def spread_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Spread a table of few rows over all cores before heavy per-row work.
+
+    A small file is a single split, whatever its rows cost. Larger tables have splits enough and
+    are left where they are.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, rows) else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolecall.functions.html import html_text
 from rolecall.operators import screening, validate
 from rolecall.operators.extract import extract_jobs, run_counters, run_errors, site_report
+from rolecall.operators.joins import spread_small
 from rolecall.plans.inputs import LATIN_LETTERS, POSTINGS_SQL, load, postings
 from rolecall.plans.registry import query
 
@@ -63,7 +64,7 @@ def mixed_pages(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("p_size") <= 45, card_page())
         .when(F.col("p_size") <= 48, F.lit("<p>no jobs</p>"))
     )
-    return load(spark, sf, "part").select(
+    return spread_small(load(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_key"), F.col("p_brand").alias("site"), html.alias("html")
     )
 
@@ -77,7 +78,7 @@ UNION ALL SELECT p_partkey, 1, 'Second ' || p_name, NULL, 'Not specified', NULL,
 
 @query("x2_embedded_json", _EMBEDDED_SQL)
 def embedded_json(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load(spark, sf, "part").select(F.col("p_partkey").alias("page_key"), json_page().alias("html"))
+    pages = spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), json_page().alias("html"))
     return extract_jobs(pages).select(
         "page_key", F.col("job_pos").cast("long").alias("job_pos"), "title", "department", "location",
         "employment_type", "url", F.col("original_website_job_url").alias("original"),
@@ -104,12 +105,12 @@ def _listed(pages: DataFrame) -> DataFrame:
 
 @query("x3_html_anchors", _ANCHOR_SQL)
 def html_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return _listed(load(spark, sf, "part").select(F.col("p_partkey").alias("page_key"), anchor_page().alias("html")))
+    return _listed(spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), anchor_page().alias("html")))
 
 
 @query("x4_html_cards", _CARD_SQL)
 def html_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return _listed(load(spark, sf, "part").select(F.col("p_partkey").alias("page_key"), card_page().alias("html")))
+    return _listed(spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), card_page().alias("html")))
 
 
 @query(
@@ -135,7 +136,7 @@ def site_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x12_real_pages", "SELECT page_id, url, true AS success, 0::BIGINT AS jobs, CAST(NULL AS VARCHAR) AS error FROM pages")
 def real_page_report(spark: SparkSession, sf: str) -> DataFrame:
-    return site_report(load(spark, sf, "pages"))
+    return site_report(spread_small(load(spark, sf, "pages")))
 
 
 @query(
@@ -164,7 +165,7 @@ def scrape_errors(spark: SparkSession, sf: str) -> DataFrame:
     SELECT page_id, md5(t) AS text, CAST(length(t) AS BIGINT) AS chars FROM joined""",
 )
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
-    texts = load(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("t"))
+    texts = spread_small(load(spark, sf, "pages")).select("page_id", html_text(F.col("html")).alias("t"))
     return texts.select("page_id", F.md5("t").alias("text"), F.length("t").cast("long").alias("chars"))
 
 
