@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions.text import has_text
 from rolecall.operators.dedupe import last_by_key
+from rolecall.operators.joins import small_side
 from rolecall.schemas import EMBEDDING_RESULT
 
 # The route of an embedding request.
@@ -42,9 +43,13 @@ def write_back(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def match_results(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each result key with ``matched``: whether a posting has it."""
-    known = jobs.select("url_hash", F.lit(True).alias("_known")).distinct()
-    return vectors.select("url_hash").join(known, "url_hash", "left").select(
+    """Each result key with ``matched``: whether a posting has it.
+
+    Result keys are unique; while they are few the stored postings are scanned, not shuffled.
+    """
+    keys = vectors.select("url_hash")
+    known = jobs.select("url_hash").join(small_side(keys), "url_hash", "left_semi").distinct()
+    return keys.join(known.withColumn("_known", F.lit(True)), "url_hash", "left").select(
         "url_hash", F.coalesce("_known", F.lit(False)).alias("matched")
     )
 

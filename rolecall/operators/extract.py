@@ -137,11 +137,12 @@ def card_to_job(card: Column) -> Column:
     return _raw_job(**{name: card[name] for name in CARD.names}, type_errors=_no_errors())
 
 
-def parse_pages(pages: DataFrame, html: str = "html", strict: bool = False) -> DataFrame:
-    """The page's other columns plus ``postings``, an array of unprojected findings.
+def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The page's other columns plus what was found, in one pass: ``_positions`` of the embedded array
+    with their detail ``_texts`` and JSON ``_variants``, or the ``_listings`` of the HTML.
 
-    One pass over the pages. Pages with embedded positions never reach the HTML parser, and of
-    the others only those that contain a listing class do. ``strict`` keeps the JSON variants.
+    Pages with embedded positions never reach the HTML parser, and of the others only those that
+    contain a listing class do. Findings that a caller does not select are not computed.
     """
     keep = [c for c in pages.columns if c != html]
     staged = (
@@ -151,18 +152,21 @@ def parse_pages(pages: DataFrame, html: str = "html", strict: bool = False) -> D
     )
     values = F.transform("_positions", lambda p: F.transform(usable_details(p), lambda d: d["value"]))
     marked_up = F.exists(F.flatten(values), lambda v: v.contains("<") | v.contains("&"))
-    variants = F.try_variant_get(F.try_parse_json("_json"), "$", "array<variant>")
-    parsed = staged.select(
+    return staged.select(
         *keep,
-        "_positions",
         "_found",
-        (variants if strict else F.lit(None)).alias("_variants"),
+        "_positions",
+        F.try_variant_get(F.try_parse_json("_json"), "$", "array<variant>").alias("_variants"),
         html_listings(F.when(~F.col("_found") & F.col(html).rlike(LISTING_MARKS), F.col(html))).alias("_listings"),
         F.coalesce(
             html_text_groups(F.when(F.col("_found") & marked_up, values)),
             F.transform(values, lambda row: F.transform(row, strip)),
         ).alias("_texts"),
     )
+
+
+def _postings() -> Column:
+    """One array over the three kinds of findings of a parsed page."""
     anchors, cards = F.col("_listings.anchors"), F.col("_listings.cards")
 
     def source(position: Column, texts: Column, anchor: Column, card: Column) -> Column:
@@ -172,12 +176,11 @@ def parse_pages(pages: DataFrame, html: str = "html", strict: bool = False) -> D
         )
 
     none = F.lit(None)
-    sources = (
+    return (
         F.when(F.col("_found"), F.transform("_positions", lambda p, i: source(p, F.get("_texts", i), none, none)))
         .when(F.size(anchors) > 0, F.transform(anchors, lambda a: source(none, none, a, none)))
         .otherwise(F.transform(cards, lambda c: source(none, none, none, c)))
     )
-    return parsed.select(*keep, sources.alias("postings"), "_variants")
 
 
 def extract_jobs(pages: DataFrame, html: str = "html", strict: bool = True) -> DataFrame:
@@ -187,9 +190,8 @@ def extract_jobs(pages: DataFrame, html: str = "html", strict: bool = True) -> D
     named like a raw-job column would clash: rename it first.
     """
     keep = [c for c in pages.columns if c != html]
-    rows = parse_pages(pages, html, strict).select(
-        *keep, "_variants", F.posexplode("postings").alias("job_pos", "_from")
-    )
+    carried = [*keep, "_variants"] if strict else keep
+    rows = parse_pages(pages, html).select(*carried, F.posexplode(_postings()).alias("job_pos", "_from"))
     rows = rows.withColumn("_kind", classify_details(F.col("_from.anchor.items")))
     errors = _mistyped(F.get("_variants", F.col("job_pos"))) if strict else _no_errors()
     position, anchor = F.col("_from.position"), F.col("_from.anchor")
@@ -206,10 +208,11 @@ def site_report(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
     missing = ~F.coalesce(F.length(html) > 0, F.lit(False))
     parsed = parse_pages(pages.withColumn("_missing", missing), html)
+    sizes = [F.when(F.size(c) > 0, F.size(c)) for c in ("_positions", "_listings.anchors", "_listings.cards")]
     return parsed.select(
         *keep,
         (~F.col("_missing")).alias("success"),
-        F.coalesce(F.when(F.size("postings") > 0, F.size("postings")), F.lit(0)).cast("long").alias("jobs"),
+        F.coalesce(*sizes, F.lit(0)).cast("long").alias("jobs"),
         F.when(F.col("_missing"), F.lit("No HTML")).alias("error"),
     )
 

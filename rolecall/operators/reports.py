@@ -65,17 +65,18 @@ def remember(seen: DataFrame, jobs: DataFrame, as_of: Column, key: str = "job_id
 
 def digest(ranked: DataFrame) -> DataFrame:
     """Lines of the daily digest: a count, then one block per posting of a bounded, ranked top-k."""
-    count = ranked.agg(
-        F.lit(0).cast("long").alias("rank"),
-        F.concat(F.lit("Daily matched jobs ("), F.count("*").cast("string"), F.lit(")")).alias("value"),
-    )
     text = lambda name: F.coalesce(F.col(name), F.lit("N/A"))
     block = F.concat(
         F.format_string("%d) [%s] %s — score %.2f\n", "rank", text("company_name"), text("title"), "similarity_score"),
         F.format_string("   Location: %s\n   URL: %s\n", text("location"), text("url")),
         F.format_string("   Highlights: %s", F.array_join("highlights", ", ")),
     )
-    return count.unionByName(ranked.select("rank", block.alias("value"))).orderBy("rank")
+    line = F.struct(F.col("rank").cast("long").alias("rank"), block.alias("value"))
+    # the few ranked rows are gathered once, so the ranking behind them runs once
+    lines = ranked.agg(F.collect_list(line).alias("lines"))
+    title = F.concat(F.lit("Daily matched jobs ("), F.size("lines").cast("string"), F.lit(")"))
+    header = F.struct(F.lit(0).cast("long").alias("rank"), title.alias("value"))
+    return lines.select(F.inline(F.array_sort(F.concat(F.array(header), F.col("lines")))))
 
 
 def export_rows(jobs: DataFrame) -> DataFrame:

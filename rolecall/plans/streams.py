@@ -37,15 +37,16 @@ from rolecall.streaming.jobs import (
     JOB_DOCUMENT,
     QUEUED_JOB,
     STORED_JOB,
+    HASHED_URL,
     IngestJob,
     ScrapeJob,
+    UniqueJob,
     WriteBackJob,
     company_stream,
     consume,
     current_vectors,
     document_stream,
     drain,
-    drop_seen,
     publish_stale,
     result_stream,
     unpack_documents,
@@ -88,7 +89,7 @@ def _queued_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _publish(spark: SparkSession, sf: str) -> str:
     queue = shared_path(spark, "jobs")
-    job_batches(_queued_jobs(spark, sf), "source_url", F.col("url"), 100).write.text(queue)
+    job_batches(_queued_jobs(spark, sf), "source_url", 100).write.text(queue)
     return queue
 
 
@@ -230,11 +231,13 @@ def requested(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {POSTINGS_SQL} SELECT DISTINCT md5(url) AS url_hash FROM postings",
 )
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    queue, sink, mark = (shared_path(spark, name) for name in ("urls", "unique", "checkpoint"))
-    postings(spark, sf).select("url").write.json(queue)
-    stream = stream_json(spark, queue, T.StructType([T.StructField("url", T.StringType())]))
-    drain(drop_seen(stream), lambda batch, load_id: write_load(batch.select("url_hash"), sink, load_id), mark)
-    return read_loads(spark, sink, T.StructType([T.StructField("url_hash", T.StringType())])).drop("load_id")
+    """All URLs are queued twice, in two folders drained one after the other into one table."""
+    queue, store, mark = (shared_path(spark, name) for name in ("urls", "unique", "checkpoint"))
+    schema = T.StructType([T.StructField("url", T.StringType())])
+    for _ in range(2):
+        postings(spark, sf).select("url").write.mode("append").json(queue)
+        UniqueJob(store).run(stream_json(spark, queue, schema), mark)
+    return read_loads(spark, store, HASHED_URL).select("url_hash")
 
 
 @query(

@@ -31,14 +31,13 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="rolecall-")
-        spark.conf.set(CHECKPOINT_CONF, root)
     if context.getCheckpointDir() is None:
+        if not root:
+            if not context.master.startswith("local"):
+                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="rolecall-")
         context.setCheckpointDir(root)
-    return root.rstrip("/")
+    return (root or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:

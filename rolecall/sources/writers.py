@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# How many postings one batch document holds at most on average, and lines per request file.
+# How many postings one batch document holds, about, and lines per request file.
 JOBS_PER_DOCUMENT = 1000
 LINES_PER_FILE = 50_000
 
@@ -52,21 +52,21 @@ def company_messages(companies: DataFrame) -> DataFrame:
     return companies.select(F.to_json(F.struct(*companies.columns)).alias("value"))
 
 
-def job_batches(
-    jobs: DataFrame, source: str, split_by: Column, jobs_per_document: int = JOBS_PER_DOCUMENT
-) -> DataFrame:
+def job_batches(jobs: DataFrame, source: str, jobs_per_document: int = JOBS_PER_DOCUMENT) -> DataFrame:
     """Batch documents (jobs, source_url) as JSON text.
 
-    A source with many postings is spread by the hash of ``split_by`` over several documents, so
-    no task ever gathers a whole source. Values JSON has no type for go out as text.
+    A source with many postings is dealt out in turn to several documents, so no task ever gathers
+    a whole source, not even one of identical copies. The turn is the row's place in its split:
+    read the postings from a written table, so that a repeated task deals alike. Values JSON has
+    no type for go out as text.
     """
     plain = as_json_types(jobs)
     counts = plain.groupBy(source).agg(F.count("*").alias("_rows"))
     big = counts.where(F.col("_rows") > jobs_per_document).select(
         source, F.ceil(F.col("_rows") / jobs_per_document).alias("_parts")
     )
-    spread = plain.withColumn("_hash", F.xxhash64(split_by)).join(big, source, "left")
-    part = F.coalesce(F.pmod("_hash", "_parts"), F.lit(0))
+    dealt = plain.withColumn("_turn", F.monotonically_increasing_id()).join(big, source, "left")
+    part = F.coalesce(F.pmod("_turn", "_parts"), F.lit(0))
     fields = [c for c in plain.columns if c != source]
-    documents = spread.groupBy(source, part.alias("_part")).agg(F.collect_list(F.struct(*fields)).alias("jobs"))
+    documents = dealt.groupBy(source, part.alias("_part")).agg(F.collect_list(F.struct(*fields)).alias("jobs"))
     return documents.select(F.to_json(F.struct("jobs", F.col(source).alias("source_url"))).alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rolecall.functions.urls import url_hash
-from rolecall.operators.dedupe import last_by_key
+from rolecall.operators.dedupe import first_by_key, last_by_key
 from rolecall.operators.embeddings import match_results, parse_results, request_lines, write_back_counters
 from rolecall.operators.extract import extract_jobs
 from rolecall.operators.joins import drop_known, is_small, small_side
@@ -30,6 +30,7 @@ STAGED_JOB = T.StructType(
 )
 HASHED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("url_hash", T.StringType())])
 SCREENED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("reject_reason", T.StringType())])
+HASHED_URL = T.StructType([T.StructField("url", T.StringType()), T.StructField("url_hash", T.StringType())])
 QUEUED_JOB = T.StructType([f for f in STAGED_JOB.fields if f.name != "source_url"])
 JOB_DOCUMENT = T.StructType(
     [T.StructField("jobs", T.ArrayType(QUEUED_JOB)), T.StructField("source_url", T.StringType())]
@@ -80,7 +81,7 @@ class ScrapeJob:
         fresh = drop_known(valid, read_loads(spark, self.store, STORED_JOB), "url_hash", is_small(valid))
         write_load(fresh.select(*STAGED_JOB.names), f"{self.staging}/fresh", load_id)
         staged = read_load(spark, f"{self.staging}/fresh", load_id, STAGED_JOB)
-        write_load(job_batches(staged, "source_url", F.col("url")), self.queue, load_id, "text")
+        write_load(job_batches(staged, "source_url"), self.queue, load_id, "text")
 
 
 @dataclass(frozen=True)
@@ -125,9 +126,20 @@ def unpack_documents(documents: DataFrame) -> DataFrame:
     return documents.select("source_url", F.explode("jobs").alias("_job")).select("source_url", "_job.*")
 
 
-def drop_seen(stream: DataFrame) -> DataFrame:
-    """Stream-only duplicate removal; the state holds every hash seen so far."""
-    return stream.withColumn("url_hash", url_hash(F.col("url"))).dropDuplicates(["url_hash"])
+@dataclass(frozen=True)
+class UniqueJob:
+    """Postings to the URL hashes not seen before. The table, not stream state, remembers the old ones."""
+
+    store: str
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        drain(stream, self.handle, checkpoint)
+
+    def handle(self, batch: DataFrame, load_id: int) -> None:
+        hashed = batch.select("url", url_hash(F.col("url")).alias("url_hash"))
+        unique = first_by_key(hashed, ["url_hash"], "url")
+        earlier = read_loads(batch.sparkSession, self.store, HASHED_URL, before=load_id)
+        write_load(drop_known(unique, earlier, "url_hash"), self.store, load_id)
 
 
 @dataclass(frozen=True)

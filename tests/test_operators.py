@@ -321,8 +321,8 @@ def test_ranking_against_brute_force(spark):
 
 def test_job_batches_split_hot_sources(spark):
     jobs = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("source_url"),
-                                    F.col("id").cast("string").alias("url"), F.lit(NOW).cast("date").alias("day"))
-    documents = [json.loads(r.value) for r in job_batches(jobs, "source_url", F.col("url"), 100).collect()]
+                                    F.lit("same").alias("url"), F.lit(NOW).cast("date").alias("day"))
+    documents = [json.loads(r.value) for r in job_batches(jobs, "source_url", 100).collect()]
     sizes = [len(d["jobs"]) for d in documents if d["source_url"] == "hot"]
     assert len(sizes) > 1 and sum(sizes) == 900 and max(sizes) < 200
     assert sum(len(d["jobs"]) for d in documents) == 1000
