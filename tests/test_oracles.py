@@ -8,7 +8,7 @@ from rolecall.plans import ORACLES, QUERIES
 from tests.oracle import TESTDATA, actual, connect, expected
 
 SF_DIR = f"{TESTDATA}/sf0.001"
-KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
