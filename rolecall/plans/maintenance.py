@@ -287,11 +287,14 @@ def delete_dimension(spark: SparkSession, sf: str) -> DataFrame:
     jobs = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("supplier_id"))
     doomed = supplier.where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("id"))
     after = tables.delete_dimension(_supplier_dimension(spark, sf), synonyms, jobs, doomed, "supplier_id")
-    linked = F.when(F.col("supplier_id").isNull(), F.lit("unlinked jobs")).otherwise(F.lit("linked jobs"))
-    sizes = after.dimension.select(F.lit("dimension").alias("part")).unionByName(
-        after.synonyms.select(F.lit("synonyms").alias("part"))
-    ).unionByName(after.jobs.select(linked.alias("part")))
-    return sizes.groupBy("part").agg(F.count("*").alias("rows"))
+    size = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"))
+    linked = after.jobs.agg(
+        F.array(
+            F.struct(F.lit("linked jobs").alias("part"), F.count("supplier_id").alias("rows")),
+            F.struct(F.lit("unlinked jobs").alias("part"), F.count_if(F.col("supplier_id").isNull()).alias("rows")),
+        ).alias("sides")
+    ).select(F.inline("sides"))
+    return size(after.dimension, "dimension").unionByName(size(after.synonyms, "synonyms")).unionByName(linked)
 
 
 @query(
