@@ -21,12 +21,13 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def drop_known(new: DataFrame, known: DataFrame, key: str, new_is_small: bool = False) -> DataFrame:
     """Rows of ``new`` whose key is not in ``known``.
 
-    With a small checked delta the stored side is only scanned for the delta's keys, never shuffled.
+    When ``is_small`` holds for the delta, pass ``new_is_small``: the stored side is then only
+    scanned for the delta's keys, never shuffled.
     """
     stored = known.select(key)
     if new_is_small:
         wanted = new.select(key).where(F.col(key).isNotNull()).distinct()
-        stored = stored.join(small_side(wanted), key, "left_semi")
+        stored = stored.join(F.broadcast(wanted), key, "left_semi")
     return new.join(stored, key, "left_anti")
 
 

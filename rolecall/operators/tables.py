@@ -19,7 +19,7 @@ from rolecall.operators.dimensions import with_department_id, with_location_id
 from rolecall.operators.joins import drop_known, small_side
 from rolecall.operators.numbering import number_rows
 from rolecall.operators.validate import valid_states, with_raw_fields
-from rolecall.schemas import COMPANY, JOB, RAW_JOB
+from rolecall.schemas import COMPANY, JOB
 
 # Defaults of the stored columns.
 DEFAULT_SOURCE = "google_serper"
@@ -95,10 +95,10 @@ def job_rows(
         "from_domain": netloc(F.col("url")),
         "is_ai_inferred": F.coalesce(given("is_ai_inferred", F.lit(False)), F.lit(False)),
     }
-    kept = [c for c in incoming.columns if c not in JOB.names and c not in RAW_JOB.names]
-    stored = [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in JOB.fields if f.name != "id"]
+    values["id"] = given("id", F.lit(None))
+    stored = [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in JOB.fields]
     text = embedding_text(F.col("title"), F.col("description_map"), F.col("description_text"))
-    return full.select(*stored, text.alias("embed_text"), *kept)
+    return full.select(*stored, text.alias("embed_text"))
 
 
 def insert_jobs(
@@ -121,11 +121,11 @@ def insert_jobs(
     usable = incoming.where(F.col("title").isNotNull() & (F.coalesce("url", F.lit("")) != ""))
     hashed = usable.withColumn("url_hash", url_hash(F.col("url")))
     fresh = drop_known(first_by_key(hashed, ["url_hash"], position), stored, "url_hash", new_is_small)
-    rows = job_rows(
-        fresh.drop("url_hash"), departments, department_synonyms, locations, location_synonyms, as_of
-    )
     start = next_id(stored) if first_id is None else first_id
-    return number_rows(rows, [position], "id", start).select(*JOB.names, "embed_text")
+    # numbered before the stored form is built, which repeats the bulky texts
+    numbered = number_rows(fresh.drop("url_hash"), [position], "id", start)
+    rows = job_rows(numbered, departments, department_synonyms, locations, location_synonyms, as_of)
+    return rows.select(*JOB.names, "embed_text")
 
 
 def persist_jobs(stored: DataFrame, incoming: DataFrame, position: str, **parts) -> DataFrame:

@@ -113,4 +113,6 @@ def legacy_companies(spark: SparkSession, sf: str) -> DataFrame:
     )
     write_json(old, path)
     landed = spark.read.schema(LEGACY_COMPANY).json(path)
-    return discovery.legacy_companies(landed).select("company_name", "company_page_url", shown("discovered_at"))
+    found = discovery.legacy_companies(landed)
+    utc = F.to_utc_timestamp("discovered_at", F.current_timezone())
+    return found.withColumn("discovered_at", utc).select("company_name", "company_page_url", shown("discovered_at"))

@@ -11,7 +11,7 @@ from rolecall.operators.screening import above_score
 from rolecall.plans.inputs import SCORED_SQL, cv_row, load, moment, shown, shown_sql
 from rolecall.plans.registry import query
 from rolecall.session import shared_path
-from rolecall.sources.readers import read_cv, read_lines, read_table
+from rolecall.sources.readers import read_cv, read_json_array, read_table
 from rolecall.sources.writers import export_json, write_json, write_lines, write_report, write_vectors
 
 MODEL = "text-embedding-small"
@@ -339,3 +339,14 @@ def seen_store(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.min("ts").cast("timestamp").alias("first_seen"))
     jobs = events.select(F.col("user_id").alias("job_id"))
     return reports.remember(seen, jobs, moment("2024-02-01 00:00:00")).select("job_id", shown("first_seen"))
+
+
+@query("s2_json_arrays", "SELECT doc_id, md5(text) AS text, source FROM documents")
+def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed as JSON array files of at most 500 records each, read back record by record."""
+    path = shared_path(spark, "arrays")
+    docs = load(spark, sf, "documents").select("doc_id", "text", "source")
+    chunk = F.floor(F.monotonically_increasing_id() / 500)
+    arrays = docs.withColumn("_chunk", chunk).groupBy("_chunk").agg(F.collect_list(F.struct(*docs.columns)).alias("_rows"))
+    arrays.select(F.to_json("_rows").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_array(spark, path, docs.schema).select("doc_id", F.md5("text").alias("text"), "source")
