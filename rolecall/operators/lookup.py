@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.functions.text import ascii_fold
 from rolecall.operators.validate import known_columns
@@ -130,7 +131,10 @@ def count_jobs(
 def unique_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct filled values of a column in order."""
     known_columns(df, [column])
-    filled = F.col(column).isNotNull() & ~F.col(column).cast("string").isin("", "0", "0.0", "false")
+    kind = df.schema[column].dataType
+    blank = "" if isinstance(kind, T.StringType) else False if isinstance(kind, T.BooleanType) else 0
+    comparable = isinstance(kind, (T.StringType, T.BooleanType, T.NumericType))
+    filled = F.col(column) != F.lit(blank) if comparable else F.col(column).isNotNull()
     return df.where(filled).select(column).distinct().orderBy(column)
 
 
@@ -144,6 +148,8 @@ def sample_rows(df: DataFrame, key: str, size: int, seed: int | str = 0) -> Data
     return df.orderBy(order, F.col(key)).limit(size)
 
 
-def sample_newest(df: DataFrame, at: str, key: str, size: int = 50, seed: int | str = 0) -> DataFrame:
+def sample_newest(
+    df: DataFrame, at: str, key: str, pool: int = 50, size: int = 50, seed: int | str = 0
+) -> DataFrame:
     """Random sample out of the newest rows."""
-    return sample_rows(newest(df, at, key, size), key, size, seed)
+    return sample_rows(newest(df, at, key, pool), key, size, seed)

@@ -191,6 +191,15 @@ def top_departments(spark: SparkSession, sf: str) -> DataFrame:
     return named.withColumnRenamed("jobs", "rows").orderBy(F.col("rows").desc(), "canonical_name").limit(3)
 
 
+@query(
+    "a15_top_companies",
+    f"""WITH {ORDER_JOBS_SQL} SELECT company_name, count(*) AS rows FROM order_jobs GROUP BY 1
+    ORDER BY rows DESC, company_name LIMIT 4""",
+)
+def top_companies(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.distribution(order_jobs(spark, sf), "company_name", 4)
+
+
 @query("l3_alphabetical", "SELECT DISTINCT p_name FROM part")
 def alphabetical(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.unique_values(load(spark, sf, "part"), "p_name")
@@ -212,8 +221,7 @@ def sampled(spark: SparkSession, sf: str) -> DataFrame:
     SELECT url FROM newest ORDER BY md5('7:' || url), url LIMIT 20""",
 )
 def sampled_newest(spark: SparkSession, sf: str) -> DataFrame:
-    newest = lookup.newest(order_jobs(spark, sf), "scraped_at", "url", 50)
-    return lookup.sample_rows(newest, "url", 20, seed=7).select("url")
+    return lookup.sample_newest(order_jobs(spark, sf), "scraped_at", "url", 50, 20, seed=7).select("url")
 
 
 @query("j1_j2_normalise", f"WITH {NORMALISED_SQL} SELECT pos, department_id, location_id FROM normalised")

@@ -11,6 +11,7 @@ from rolecall.operators.extract import extract_jobs, run_counters, run_errors, s
 from rolecall.operators.joins import spread_small
 from rolecall.plans.inputs import LATIN_LETTERS, POSTINGS_SQL, load, postings
 from rolecall.plans.registry import query
+from rolecall.sources.readers import read_pages
 
 
 def json_page() -> Column:
@@ -139,6 +140,11 @@ def real_page_report(spark: SparkSession, sf: str) -> DataFrame:
     return site_report(spread_small(load(spark, sf, "pages")))
 
 
+@query("s12_page_source", "SELECT url, md5(html) AS html FROM pages")
+def page_source(spark: SparkSession, sf: str) -> DataFrame:
+    return read_pages(spark, f"{sf}/pages.parquet").select("url", F.md5("html").alias("html"))
+
+
 @query(
     "a10_run_counters",
     f"""SELECT count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) AS total,

@@ -36,7 +36,9 @@ from rolecall.sources.writers import company_messages, job_batches
 from rolecall.streaming.jobs import (
     JOB_DOCUMENT,
     QUEUED_JOB,
+    RUN_COUNTERS,
     STORED_JOB,
+    TOUCHED,
     HASHED_URL,
     IngestJob,
     ScrapeJob,
@@ -136,17 +138,10 @@ def company_queue(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(COMPANY_MESSAGE).json(queue)
 
 
-@query(
-    "t2_scrape",
-    """WITH jobs AS (SELECT p_partkey, 0 AS job_pos, p_name AS title, 'https://jobs.example.com/' || p_partkey AS url
-     FROM part WHERE p_size <= 15)
-    SELECT 'https://site.example.com/' || p_partkey AS source_url, job_pos::BIGINT AS job_pos, title, url FROM jobs
-    WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""",
-)
-def scraped(spark: SparkSession, sf: str) -> DataFrame:
+def _scrape(spark: SparkSession, sf: str) -> tuple[str, str]:
     """One page per part is scraped; relative links fail validation, postings of supplier ids are on file."""
-    queue, staging, out, store, mark = (
-        shared_path(spark, name) for name in ("companies", "staging", "documents", "store", "checkpoint")
+    queue, root, out, store, mark = (
+        shared_path(spark, name) for name in ("companies", "scrape", "documents", "store", "checkpoint")
     )
     page = F.concat(F.lit("https://site.example.com/"), F.col("page_key"))
     pages = mixed_pages(spark, sf).select(page.alias("url"), "html")
@@ -157,16 +152,50 @@ def scraped(spark: SparkSession, sf: str) -> DataFrame:
     known = load(spark, sf, "supplier").select(
         F.md5(F.concat(F.lit("https://jobs.example.com/"), F.col("s_suppkey"))).alias("url_hash")
     )
-    have = {"url_hash"}
-    stored = [
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED_JOB.fields
-    ]
-    write_load(known.select(*stored), store, 0)
-    ScrapeJob(pages, store, staging, out).run(company_stream(spark, queue), mark)
-    documents = spark.read.schema(JOB_DOCUMENT).json(out)
+    write_load(_as_stored(known), store, 0)
+    ScrapeJob(pages, store, root, out, _now()).run(company_stream(spark, queue), mark)
+    return root, out
+
+
+def _as_stored(rows: DataFrame) -> DataFrame:
+    """Stored postings of which only the given columns are known."""
+    have = set(rows.columns)
+    return rows.select(
+        *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED_JOB.fields]
+    )
+
+
+@query(
+    "t2_scrape",
+    """WITH jobs AS (SELECT p_partkey, 0 AS job_pos, p_name AS title, 'https://jobs.example.com/' || p_partkey AS url
+     FROM part WHERE p_size <= 15)
+    SELECT 'https://site.example.com/' || p_partkey AS source_url, job_pos::BIGINT AS job_pos, title, url FROM jobs
+    WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)""",
+)
+def scraped(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spark.read.schema(JOB_DOCUMENT).json(_scrape(spark, sf)[1])
     return unpack_documents(documents).select("source_url", "job_pos", "title", "url")
 
 
+@query(
+    "t2_touched",
+    """SELECT 'https://site.example.com/' || p_partkey AS company_page_url, true AS fresh FROM part""",
+)
+def touched(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scraped page gets its scrape time."""
+    rows = read_loads(spark, f"{_scrape(spark, sf)[0]}/touched", TOUCHED)
+    return rows.select("company_page_url", (F.col("last_scraped") == _now()).alias("fresh"))
+
+
+@query(
+    "t2_counters",
+    "SELECT count(*) FILTER (p_size <= 48) AS processed, count(*) FILTER (p_size > 48) AS failed FROM part",
+)
+def scrape_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_loads(spark, f"{_scrape(spark, sf)[0]}/counters", RUN_COUNTERS)
+    return rows.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))
+
+
 _KEPT_SQL = f"""WITH {NORMALISED_SQL}, bodies AS (SELECT *, title || ' ' || description_text || coalesce(' ' || location, '')
  || ' ' || company_name AS body FROM normalised), kept AS (SELECT * FROM bodies WHERE contains(location, 'ISRAEL')
  AND coalesce(length(regexp_replace(body, '[^\\x{{00C0}}-\\x{{00FF}}]', '', 'g'))::DOUBLE
@@ -266,11 +295,7 @@ def _written_back(spark: SparkSession, sf: str) -> tuple[str, str]:
     )
     _result_lines(spark, sf).orderBy("pos").select("value").write.text(lines)
     keys = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url_hash"))
-    stored = [
-        (F.col(f.name) if f.name == "url_hash" else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in STORED_JOB.fields
-    ]
-    write_load(keys.select(*stored), store, 0)
+    write_load(_as_stored(keys), store, 0)
     WriteBackJob(store, vectors, counters).run(result_stream(spark, lines), mark)
     return vectors, counters
 

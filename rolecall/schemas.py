@@ -62,7 +62,6 @@ BATCH_LEDGER = _struct(batch_id=STR, status=STR, created_at=TS)
 SEARCH_LOG = _struct(domain=STR, query=STR, source=STR, searched_at=TS, results_count=LONG)
 
 SEARCH_RESULTS = T.ArrayType(_struct(organic=T.ArrayType(_struct(title=STR, link=STR))))
-JOB_BATCH = _struct(jobs=T.ArrayType(RAW_JOB), source_url=STR)
 
 EMBEDDING_RESULT = _struct(
     custom_id=STR,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -30,6 +30,10 @@ STAGED_JOB = T.StructType(
 )
 HASHED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("url_hash", T.StringType())])
 SCREENED_JOB = T.StructType([*STAGED_JOB.fields, T.StructField("reject_reason", T.StringType())])
+TOUCHED = T.StructType(
+    [T.StructField("company_page_url", T.StringType()), T.StructField("last_scraped", T.TimestampType())]
+)
+RUN_COUNTERS = T.StructType([T.StructField("processed", T.LongType()), T.StructField("failed", T.LongType())])
 HASHED_URL = T.StructType([T.StructField("url", T.StringType()), T.StructField("url_hash", T.StringType())])
 QUEUED_JOB = T.StructType([f for f in STAGED_JOB.fields if f.name != "source_url"])
 JOB_DOCUMENT = T.StructType(
@@ -60,27 +64,43 @@ def publish_stale(companies: DataFrame, as_of: Column, max_age_hours: int, queue
 
 @dataclass(frozen=True)
 class ScrapeJob:
-    """Company messages to batch documents of new, valid postings."""
+    """Company messages to batch documents of new, valid postings.
+
+    Beside the ``queue`` of documents, ``root`` receives the scraped page URLs with their time and
+    one row of counters per micro-batch. Pages that did not land, or landed empty, count as failed.
+    """
 
     pages: DataFrame
     store: str
-    staging: str
+    root: str
     queue: str
+    as_of: Column
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
 
     def handle(self, batch: DataFrame, load_id: int) -> None:
         spark = batch.sparkSession
-        wanted = batch.select(F.col("company_page_url").alias("url")).distinct()
+        touched = batch.select("company_page_url").distinct()
+        write_load(touched.withColumn("last_scraped", self.as_of.cast("timestamp")), f"{self.root}/touched", load_id)
+        wanted = read_load(spark, f"{self.root}/touched", load_id, TOUCHED).select(F.col("company_page_url").alias("url"))
+
+        # the pages are counted in the pass that parses them
+        seen = Observation()
+        landed = F.coalesce(F.length("html") > 0, F.lit(False))
         pages = self.pages.join(small_side(wanted), "url", "left_semi").withColumnRenamed("url", "source_url")
-        checked = valid_jobs(check_jobs(extract_jobs(pages))).withColumn("url_hash", url_hash(F.col("url")))
+        jobs = extract_jobs(pages.observe(seen, F.count_if(landed).alias("processed")))
+        checked = valid_jobs(check_jobs(jobs)).withColumn("url_hash", url_hash(F.col("url")))
         fields = [F.col(f.name).cast(f.dataType) for f in STAGED_JOB.fields]
-        write_load(checked.select(*fields, "url_hash"), f"{self.staging}/valid", load_id)
-        valid = read_load(spark, f"{self.staging}/valid", load_id, HASHED_JOB)
+        write_load(checked.select(*fields, "url_hash"), f"{self.root}/valid", load_id)
+        processed = F.lit(seen.get["processed"]).cast("long")
+        counters = wanted.agg(processed.alias("processed"), (F.count("*") - processed).alias("failed"))
+        write_load(counters, f"{self.root}/counters", load_id)
+
+        valid = read_load(spark, f"{self.root}/valid", load_id, HASHED_JOB)
         fresh = drop_known(valid, read_loads(spark, self.store, STORED_JOB), "url_hash", is_small(valid))
-        write_load(fresh.select(*STAGED_JOB.names), f"{self.staging}/fresh", load_id)
-        staged = read_load(spark, f"{self.staging}/fresh", load_id, STAGED_JOB)
+        write_load(fresh.select(*STAGED_JOB.names), f"{self.root}/fresh", load_id)
+        staged = read_load(spark, f"{self.root}/fresh", load_id, STAGED_JOB)
         write_load(job_batches(staged, "source_url"), self.queue, load_id, "text")
 
 

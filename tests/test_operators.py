@@ -26,7 +26,7 @@ from rolecall.operators import (
 )
 from rolecall.operators.extract import extract_jobs, site_report
 from rolecall.operators.joins import drop_known
-from rolecall.schemas import BATCH_LEDGER, COMPANY, JOB
+from rolecall.schemas import BATCH_LEDGER, COMPANY, DEPARTMENT_SYNONYM, JOB, SEARCH_LOG
 from rolecall.session import shared_path
 from rolecall.sources.readers import read_jobs, read_json_array, read_legacy_companies, read_lines
 from rolecall.sources.writers import job_batches, write_lines
@@ -372,3 +372,29 @@ def test_digest_and_seen_store(spark):
     assert rows(reports.unseen(offered, seen), "job_id") == [("y",)]
     kept = dict(rows(reports.remember(seen, offered, now()), "job_id", "first_seen"))
     assert kept == {"x": dt.datetime(2024, 1, 1), "y": NOW}
+
+
+def test_unique_values_by_type(spark):
+    frame = spark.createDataFrame([("0", 0, True), ("", 2, False), (None, None, None)], "s string, n int, b boolean")
+    values = lambda name: [r[0] for r in lookup.unique_values(frame, name).collect()]
+    assert (values("s"), values("n"), values("b")) == (["0"], [2], [True])
+
+
+def test_search_log(spark):
+    log = spark.createDataFrame([("a.com", "q", "s", NOW - dt.timedelta(hours=30), 5)], SEARCH_LOG)
+    more = discovery.log_search(
+        log, spark.createDataFrame([("b.com", "q", "s", 7)], "domain string, query string, source string, results_count long"), now()
+    )
+    domains = spark.createDataFrame([("a.com",), ("b.com",), ("c.com",)], "domain string")
+    assert rows(discovery.domains_due(more, domains, now(), 24), "domain") == [("a.com",), ("c.com",)]
+
+
+def test_add_synonyms(spark):
+    dims = reference_data.departments(spark)
+    empty = spark.createDataFrame([], DEPARTMENT_SYNONYM)
+    offered = spark.createDataFrame([(" Coding ", 2), ("Coding", 3), (" ", 1), ("Ghost", 99)], "synonym string, department_id long")
+    change = tables.add_synonyms(empty, dims, offered, "department_id")
+    assert rows(change.snapshot, "id", "synonym", "department_id") == [(1, "Coding", 2)]
+    assert change.rows.count() >= 2
+    left = tables.delete_synonyms(change.snapshot, spark.createDataFrame([("Coding",)], "synonym string"))
+    assert left.count() == 0
