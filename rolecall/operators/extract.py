@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +13,11 @@ from rolecall.functions.text import empty_to_null, strip
 from rolecall.schemas import POSITION, RAW_JOB
 
 # Where a page embeds its positions, and the words that classify a detail line.
-EMBEDDED_POSITIONS = r"(?s)COMPANY_POSITIONS_DATA\s*=\s*(\[.*?\]);"
+EMBEDDED_NAME = "COMPANY_POSITIONS_DATA"
+EMBEDDED_POSITIONS = rf"(?s){EMBEDDED_NAME}\s*=\s*(\[.*?\]);"
 EMPLOYMENT_WORDS = "full-time|part-time|contract|temporary|freelance"
 EXPERIENCE_WORDS = "senior|junior|mid-level|entry|lead|principal|intern"
-LISTING_MARKS = "positionItem|job-card|job-listing|job-item|position-card"
+LISTING_MARKS = ("positionItem", "job-card", "job-listing", "job-item", "position-card")
 NO_LOCATION = "Not specified"
 
 # posting column -> key of the embedded element
@@ -145,8 +148,12 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     contain a listing class do. Findings that a caller does not select are not computed.
     """
     keep = [c for c in pages.columns if c != html]
+    page = F.col(html)
+    # byte searches rule out most pages before any pattern runs
+    embedded = F.when(page.contains(EMBEDDED_NAME), F.regexp_extract(page, EMBEDDED_POSITIONS, 1))
+    listed = reduce(Column.__or__, [page.contains(mark) for mark in LISTING_MARKS])
     staged = (
-        pages.withColumn("_json", empty_to_null(F.regexp_extract(F.col(html), EMBEDDED_POSITIONS, 1)))
+        pages.withColumn("_json", empty_to_null(embedded))
         .withColumn("_positions", F.from_json("_json", T.ArrayType(POSITION)))
         .withColumn("_found", F.coalesce(F.size("_positions") > 0, F.lit(False)))
     )
@@ -157,7 +164,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         "_found",
         "_positions",
         F.try_variant_get(F.try_parse_json("_json"), "$", "array<variant>").alias("_variants"),
-        html_listings(F.when(~F.col("_found") & F.col(html).rlike(LISTING_MARKS), F.col(html))).alias("_listings"),
+        html_listings(F.when(~F.col("_found") & listed, page)).alias("_listings"),
         F.coalesce(
             html_text_groups(F.when(F.col("_found") & marked_up, values)),
             F.transform(values, lambda row: F.transform(row, strip)),

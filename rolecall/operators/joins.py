@@ -31,10 +31,11 @@ def drop_known(new: DataFrame, known: DataFrame, key: str, new_is_small: bool =
     return new.join(stored, key, "left_anti")
 
 
-def spread_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Spread a table of few rows over all cores before heavy per-row work.
+def spread_splits(scan: DataFrame) -> DataFrame:
+    """Spread a table scan over all cores before heavy per-row work, if it has fewer splits than cores.
 
-    A small file is a single split, whatever its rows cost. Larger tables have splits enough and
-    are left where they are.
+    Such a scan is at most a split per core long, so the shuffle is small; longer tables stay
+    where they are. For scans only: counting the splits of a later plan would run its stages.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, rows) else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

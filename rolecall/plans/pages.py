@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolecall.functions.html import html_text
 from rolecall.operators import screening, validate
 from rolecall.operators.extract import extract_jobs, run_counters, run_errors, site_report
-from rolecall.operators.joins import spread_small
+from rolecall.operators.joins import spread_splits
 from rolecall.plans.inputs import LATIN_LETTERS, POSTINGS_SQL, load, postings
 from rolecall.plans.registry import query
 from rolecall.sources.readers import read_pages
@@ -65,11 +65,15 @@ def mixed_pages(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("p_size") <= 45, card_page())
         .when(F.col("p_size") <= 48, F.lit("<p>no jobs</p>"))
     )
-    return spread_small(load(spark, sf, "part")).select(
+    return spread_splits(load(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_key"), F.col("p_brand").alias("site"), html.alias("html")
     )
 
 
+def _part_pages(spark: SparkSession, sf: str, html: Column) -> DataFrame:
+    return spread_splits(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), html.alias("html"))
+
+
 _EMBEDDED_SQL = """SELECT p_partkey AS page_key, 0::BIGINT AS job_pos, p_name AS title, p_brand AS department,
  'Haifa, ISRAEL' AS location, p_type AS employment_type, 'https://jobs.example.com/' || p_partkey AS url,
  CASE WHEN p_size > 20 THEN 'https://own.example.com/' || p_partkey END AS original,
@@ -79,8 +83,7 @@ UNION ALL SELECT p_partkey, 1, 'Second ' || p_name, NULL, 'Not specified', NULL,
 
 @query("x2_embedded_json", _EMBEDDED_SQL)
 def embedded_json(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), json_page().alias("html"))
-    return extract_jobs(pages).select(
+    return extract_jobs(_part_pages(spark, sf, json_page())).select(
         "page_key", F.col("job_pos").cast("long").alias("job_pos"), "title", "department", "location",
         "employment_type", "url", F.col("original_website_job_url").alias("original"),
         F.try_element_at("description_map", F.lit("description")).alias("description"),
@@ -106,12 +109,12 @@ def _listed(pages: DataFrame) -> DataFrame:
 
 @query("x3_html_anchors", _ANCHOR_SQL)
 def html_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return _listed(spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), anchor_page().alias("html")))
+    return _listed(_part_pages(spark, sf, anchor_page()))
 
 
 @query("x4_html_cards", _CARD_SQL)
 def html_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return _listed(spread_small(load(spark, sf, "part")).select(F.col("p_partkey").alias("page_key"), card_page().alias("html")))
+    return _listed(_part_pages(spark, sf, card_page()))
 
 
 @query(
@@ -137,7 +140,7 @@ def site_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x12_real_pages", "SELECT page_id, url, true AS success, 0::BIGINT AS jobs, CAST(NULL AS VARCHAR) AS error FROM pages")
 def real_page_report(spark: SparkSession, sf: str) -> DataFrame:
-    return site_report(spread_small(load(spark, sf, "pages")))
+    return site_report(spread_splits(load(spark, sf, "pages")))
 
 
 @query("s12_page_source", "SELECT url, md5(html) AS html FROM pages")
@@ -171,7 +174,7 @@ def scrape_errors(spark: SparkSession, sf: str) -> DataFrame:
     SELECT page_id, md5(t) AS text, CAST(length(t) AS BIGINT) AS chars FROM joined""",
 )
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
-    texts = spread_small(load(spark, sf, "pages")).select("page_id", html_text(F.col("html")).alias("t"))
+    texts = spread_splits(load(spark, sf, "pages")).select("page_id", html_text(F.col("html")).alias("t"))
     return texts.select("page_id", F.md5("t").alias("text"), F.length("t").cast("long").alias("chars"))
 
 

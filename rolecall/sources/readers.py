@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.operators.joins import spread_small
+from rolecall.operators.joins import spread_splits
 from rolecall.operators.lookup import first_rows
 from rolecall.schemas import CV_VECTOR, LEGACY_COMPANY
 
@@ -49,7 +49,7 @@ def read_jobs(spark: SparkSession, path: str, schema: T.StructType, max_jobs: in
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed page corpus."""
-    return spread_small(spark.read.parquet(path).select("url", "html"))
+    return spread_splits(spark.read.parquet(path).select("url", "html"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
