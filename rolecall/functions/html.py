@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -88,7 +89,7 @@ class _Builder(HTMLParser):
     """Lenient tree: an end tag closes up to its latest open namesake, unknown end tags are ignored."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.root = Element("", {})
         self.open = [self.root]
         self.buffer: list[str] = []
@@ -108,6 +109,19 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
 
+    def handle_entityref(self, name: str) -> None:
+        """A named character, closed or not; an unknown name stays as it is, without its semicolon."""
+        self.buffer.append(html5.get(f"{name};") or html5.get(name) or f"&{name}")
+
+    def handle_charref(self, name: str) -> None:
+        """A numbered character; numbers below 256 are read as Windows-1252."""
+        try:
+            number = int(name[1:], 16) if name[0] in "xX" else int(name)
+            text = bytes([number]).decode("windows-1252") if number < 256 else chr(number)
+        except (ValueError, OverflowError):
+            text = "\N{REPLACEMENT CHARACTER}"
+        self.buffer.append(text)
+
     def _count(self, name: str, step: int) -> None:
         self.hidden += step * (name in HIDDEN)
         self.verbatim += step * (name in VERBATIM)

@@ -169,8 +169,8 @@ def scrape_errors(spark: SparkSession, sf: str) -> DataFrame:
     pieces AS (SELECT page_id, list_filter(string_split_regex(h, '<[^>]*>'), lambda s: s <> '') AS p FROM bare),
     shown AS (SELECT page_id, list_transform(p, lambda s: CASE WHEN trim(s, ' ' || chr(10)) <> '' THEN s
      WHEN contains(s, chr(10)) THEN chr(10) ELSE ' ' END) AS p FROM pieces),
-    joined AS (SELECT page_id, trim(replace(replace(replace(replace(array_to_string(p, chr(10)), '&middot;', '·'),
-     '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(10)) AS t FROM shown)
+    joined AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(p, chr(10)),
+     '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), ' ' || chr(10)) AS t FROM shown)
     SELECT page_id, md5(t) AS text, CAST(length(t) AS BIGINT) AS chars FROM joined""",
 )
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -185,6 +185,7 @@ def test_sanitised_record(spark):
         ("a<br>b<br/>c", "a\nb\nc"),
         ("<li>one<li>two", "one\ntwo"),
         ("1 < 2 &lt; 3", "1 < 2 < 3"),
+        ("<p>cut &amp</p>&nope; &#150;&#8364;&#xe9;&#x110000;", "cut &\n&nope –€é\ufffd"),
         ("<pre>  </pre>x", "x"),
         ("", ""),
     ],
