@@ -35,9 +35,21 @@ def parse_results(lines: DataFrame, position: str, line: str = "value") -> DataF
     return last_by_key(filled, ["url_hash"], position)
 
 
-def write_back(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Postings with the new vector where there is one, else the one they had."""
+def write_back(jobs: DataFrame, vectors: DataFrame, few_vectors: bool = False) -> DataFrame:
+    """Postings with the new vector where there is one, else the one they had.
+
+    When ``is_small`` holds for the vectors, pass ``few_vectors``: only the postings they belong to
+    are shuffled then, all others are copied where they lie.
+    """
     fresh = vectors.select("url_hash", F.col("embedding").cast("array<float>").alias("_new"))
+    if not few_vectors:
+        return _with_vectors(jobs, fresh)
+    keys = F.broadcast(vectors.select("url_hash"))
+    touched = _with_vectors(jobs.join(keys, "url_hash", "left_semi").select(*jobs.columns), fresh)
+    return jobs.join(keys, "url_hash", "left_anti").select(*jobs.columns).unionByName(touched)
+
+
+def _with_vectors(jobs: DataFrame, fresh: DataFrame) -> DataFrame:
     joined = jobs.join(fresh, "url_hash", "left")
     return joined.withColumn("embedding", F.coalesce("_new", "embedding")).select(*jobs.columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions.text import squeeze
 from rolecall.operators import embeddings, matching, reports
+from rolecall.operators.joins import is_small
 from rolecall.operators.screening import above_score
 from rolecall.plans.inputs import SCORED_SQL, cv_row, load, moment, shown, shown_sql
 from rolecall.plans.registry import query
@@ -160,7 +161,8 @@ def _documents_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def write_back(spark: SparkSession, sf: str) -> DataFrame:
     vectors = embeddings.parse_results(_result_lines(spark, sf), "pos")
-    updated = embeddings.write_back(_documents_with_vectors(spark, sf), vectors)
+    jobs = _documents_with_vectors(spark, sf)
+    updated = embeddings.write_back(jobs, vectors, few_vectors=is_small(vectors.select("url_hash")))
     return updated.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 

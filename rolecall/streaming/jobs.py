@@ -131,7 +131,7 @@ class IngestJob:
         delta = persist_jobs(
             earlier, kept, "_order", as_of=self.as_of, new_is_small=is_small(kept), **self.dimensions
         )
-        write_load(delta, self.store, load_id)
+        write_load(delta, self.store, load_id, lookup=("url", "url_hash"))
         stored = read_load(spark, self.store, load_id, STORED_JOB)
         write_load(request_lines(stored, self.model), f"{self.root}/requests", load_id, "text")
         entry = stored.limit(1).select(

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 from rolecall.sources.readers import read_if_present
 
 
-def write_load(df: DataFrame, path: str, load_id: int, form: str = "parquet") -> None:
-    df.write.mode("overwrite").format(form).save(f"{path}/load_id={load_id}")
+def write_load(df: DataFrame, path: str, load_id: int, form: str = "parquet", lookup: tuple[str, ...] = ()) -> None:
+    """Write one load. ``lookup`` names the columns that point lookups ask for: they get bloom filters."""
+    writer = df.write.mode("overwrite").format(form)
+    for column in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.save(f"{path}/load_id={load_id}")
 
 
 def read_load(spark: SparkSession, path: str, load_id: int, schema: T.StructType) -> DataFrame:

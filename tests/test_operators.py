@@ -398,3 +398,11 @@ def test_add_synonyms(spark):
     assert change.rows.count() >= 2
     left = tables.delete_synonyms(change.snapshot, spark.createDataFrame([("Coding",)], "synonym string"))
     assert left.count() == 0
+
+
+def test_write_back_of_few_vectors_equals_the_full_join(spark):
+    jobs = spark.createDataFrame([(str(i), [float(i)], i) for i in range(40)], "url_hash string, embedding array<float>, n int")
+    vectors = spark.createDataFrame([(str(i), [-1.0]) for i in range(30, 50)], "url_hash string, embedding array<double>")
+    few = embeddings.write_back(jobs, vectors, few_vectors=True)
+    assert few.columns == jobs.columns
+    assert rows(few, *jobs.columns) == rows(embeddings.write_back(jobs, vectors), *jobs.columns)
