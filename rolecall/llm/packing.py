@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, filterfalse
+from unicodedata import is_normalized
 
 import public_tokenizers
 import pyarrow as pa
@@ -22,12 +25,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 RANK_BUCKETS = 256
 CACHED_CHUNKS = 600_000
+CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
 BATCH_CHUNKS = 200_000
 
 #: White space on which the tokenizer and Python may differ; only blanks of ASCII split such a text.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+STOPS = ".,;:!?"
+#: Special tokens, and letters whose lower case hangs on their place or is more than one character.
+CASED_APART = re.compile("<\\||[\u0130\u03a3]")
+
 
 class ChunkIds:
     """Token ids, as little-endian 32-bit numbers, by a tokenizer that drops white space.
@@ -41,24 +49,46 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.blanks = re.compile("[^ \t\n\r\x0b\x0c]+").findall
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in encoded]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Keep the ids of chunks: those of the lower-case word, then those of the stops that end it.
+
+        The tokenizer lower-cases and parts letters from signs itself, so both come from the library.
+        """
+        apart = [self._word_and_stops(c) for c in chunks]
+        unknown = {word for word, _ in apart}.union(stops for _, stops in apart).difference(self.words)
+        if len(self.words) + len(unknown) > CACHED_WORDS:
+            self.words.clear()
+            unknown = {word for word, _ in apart}.union(stops for _, stops in apart)
+        self.words.update(zip(unknown, self._ids(list(unknown)), strict=True))
+        ids = self.words
+        self.known.update((c, ids[word] + ids[stops]) for c, (word, stops) in zip(chunks, apart, strict=True))
+
+    @staticmethod
+    def _word_and_stops(chunk: str) -> tuple[str, str]:
+        word = chunk.rstrip(STOPS)
+        if not word or not word[-1].isalpha() or CASED_APART.search(chunk) or not is_normalized("NFC", chunk):
+            return chunk, ""
+        return word.lower(), chunk[len(word) :]
 
     def split(self, text: str) -> list[str]:
         return self.blanks(text) if ODD_SPACE.search(text) else text.split()
 
     def encode(self, split: list[list[str]]) -> list[bytes]:
-        unknown = set().union(*split).difference(self.known)
+        unknown = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         long = [c for c in unknown if len(c) > LONGEST_CACHED]
         once = dict(zip(long, self._ids(long), strict=True))
         short = [c for c in unknown if len(c) <= LONGEST_CACHED]
         if len(self.known) + len(short) > CACHED_CHUNKS:
             self.known.clear()
             short = list({c for chunks in split for c in chunks if len(c) <= LONGEST_CACHED})
-        self.known.update(zip(short, self._ids(short), strict=True))
+        self._learn(short)
         if once:
             look = lambda c: once[c] if len(c) > LONGEST_CACHED else self.known[c]
         else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import public_tokenizers
 import pyarrow as pa
@@ -50,7 +51,7 @@ class ChunkCounter:
     def count(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece."""
         split = [self.split(p) for p in pieces]
-        unknown = set().union(*split).difference(self.known)
+        unknown = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         long = [c for c in unknown if len(c) > LONGEST_CACHED]
         once = dict(zip(long, self._lengths(long), strict=True))
         short = [c for c in unknown if len(c) <= LONGEST_CACHED]
