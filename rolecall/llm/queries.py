@@ -1,4 +1,4 @@
 """Every query of this subpackage; importing it fills the registry."""
 
-from rolecall.llm import packing, token_counts  # noqa: F401
+from rolecall.llm import line_dedup, mixing, packing, sharding, token_counts  # noqa: F401
 from rolecall.llm.registry import ORACLES, QUERIES  # noqa: F401
