@@ -14,10 +14,7 @@ from rolecall.llm.registry import query
 
 BATCHES = 4
 FANOUT = 2
-BUCKETS = 24
 LEAST_LENGTH = 10
-#: Keys that make up a 1024th of a batch's lines or more, so 1024 keys at most, are joined by broadcast.
-HEAVY_SHARE = 1024
 BLANKS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
 HASH = ["h1", "h2"]
@@ -35,11 +32,11 @@ class LineRuns:
     A run is a table bucketed and sorted by key, so a batch is dealt into the same buckets and
     merged with it while the run itself stays where it is. Runs share no keys. Once a level has
     ``fanout`` runs they are rewritten as one run of the next level, so a store of n batches has
-    about ``fanout * log(n)`` runs.
+    about ``fanout * log(n)`` runs. ``buckets`` stays as it is for the life of a store.
     """
 
     spark: SparkSession
-    buckets: int = BUCKETS
+    buckets: int
     fanout: int = FANOUT
     levels: list[list[str]] = field(default_factory=list)
     name: str = field(default_factory=lambda: f"line_runs_{uuid.uuid4().hex}")
@@ -50,17 +47,29 @@ class LineRuns:
         return reduce(DataFrame.union, tables) if tables else None
 
     def unknown(self, keys: DataFrame) -> DataFrame:
-        """Rows of ``keys`` that no run holds: one merge with each run."""
-        dealt = keys.repartition(self.buckets, *HASH)
+        """Rows of dealt ``keys`` that no run holds: one merge with each run."""
         for level in self.levels:
             for run in level:
-                dealt = dealt.join(self.spark.table(run), HASH, "left_anti")
-        return dealt
+                keys = keys.join(self.spark.table(run), HASH, "left_anti")
+        return keys
+
+    def deal(self, keys: DataFrame) -> DataFrame:
+        """``keys`` of several batches as one table, a folder per batch, in the buckets of the runs."""
+        name = f"{self.name}_keys"
+        dealt = keys.repartition(self.buckets, *HASH).write.partitionBy("batch").bucketBy(self.buckets, *HASH)
+        dealt.sortBy(*HASH).saveAsTable(name)
+        return self.spark.table(name)
+
+    @staticmethod
+    def _merge(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Two runs as one, bucket by bucket; they share no keys."""
+        both = left.join(right.withColumnRenamed("first", "other"), HASH, "full_outer")
+        return both.select(*HASH, F.coalesce("first", "other").alias("first"))
 
     def _write(self, rows: DataFrame) -> str:
         run = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(run)
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(run)
         return run
 
     def add(self, rows: DataFrame) -> None:
@@ -73,16 +82,15 @@ class LineRuns:
             if len(self.levels[depth]) < self.fanout:
                 return
             old = self.levels[depth]
-            run = self._write(reduce(DataFrame.union, [self.spark.table(t) for t in old]))
+            run = self._write(reduce(self._merge, [self.spark.table(t) for t in old]))
             self.levels[depth] = []
             for t in old:
                 self.spark.sql(f"DROP TABLE {t}")
             depth += 1
 
     def drop(self) -> None:
-        for level in self.levels:
-            for run in level:
-                self.spark.sql(f"DROP TABLE {run}")
+        for run in [run for level in self.levels for run in level] + [f"{self.name}_keys"]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
         self.levels = []
 
 
@@ -95,9 +103,10 @@ def batch_of(ids: DataFrame, batches: int) -> list[int]:
 def dropped_lines(docs: DataFrame, runs: LineRuns, batches: int = BATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, _row, drop``: for each row that loses lines the sorted positions (from 0) of those lines.
 
-    The documents come in batches of rising ids. In a batch a key's first holder is the smallest id
-    of the batch unless a run knows the key already. Counts per key are summed before their shuffle;
-    the few heaviest keys of a batch meet its lines by broadcast, the others by a merge join.
+    Keys come to the runs in batches of rising ids, so the id that a run holds for a key is the
+    smallest of all. Keys are counted before they are dealt into buckets; after that no batch and
+    no run is shuffled again. At the end the lines meet the runs in one join, in which AQE splits
+    what a common line makes large.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("_id"), whole.alias("_text"))
@@ -107,30 +116,15 @@ def dropped_lines(docs: DataFrame, runs: LineRuns, batches: int = BATCHES, key:
         ids.select("_id", F.xxhash64("_id", "_text").alias("_row"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
         .withColumn("line", line_key(F.col("line")))
         .where(F.length("line") >= LEAST_LENGTH)
-        .select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "_id", "_row", "pos", batch.alias("batch")),
+        .select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "_id", "_row", "pos"),
         "lines",
     )
-    found = []
+    keys = lines.groupBy(batch.alias("batch"), *HASH).agg(F.min("_id").alias("first"))
+    dealt = runs.deal(keys)
     for n in range(len(cuts) + 1):
-        part = lines.where(F.col("batch") == n).drop("batch")
-        counted = stage(part.groupBy(*HASH).agg(F.min("_id").alias("first"), F.count("*").alias("n")), "line-keys")
-        known = runs.known()
-        firsts = counted.drop("n")
-        if known is not None:
-            firsts = firsts.join(known.withColumnRenamed("first", "older"), HASH, "left").select(
-                *HASH, F.least("first", F.coalesce("older", "first")).alias("first")
-            )
-        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        heavy = counted.where(F.col("n") * HEAVY_SHARE >= max(total, HEAVY_SHARE * 2)).select(*HASH)
-        heavy_firsts = F.broadcast(firsts.join(F.broadcast(heavy), HASH, "left_semi"))
-        later = F.col("first") < F.col("_id")
-        out = ["_id", "_row", "pos"]
-        by_heavy = part.join(heavy_firsts, HASH).where(later).select(*out)
-        rest = part.join(F.broadcast(heavy), HASH, "left_anti").join(firsts, HASH).where(later).select(*out)
-        found.append(stage(by_heavy.union(rest).withColumn("pos", F.col("pos").cast("int")), "line-drops"))
-        runs.add(runs.unknown(counted.select(*HASH, "first")))
-    every = reduce(DataFrame.union, found)
-    return every.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+        runs.add(runs.unknown(dealt.where(F.col("batch") == n).drop("batch")))
+    later = lines.join(runs.known(), HASH).where(F.col("first") < F.col("_id"))
+    return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def kept_lines(lines: Column, drop: Column) -> Column:
@@ -155,8 +149,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     them. A null or empty text is one empty line. Rows that share an id count as one document; rows
     without id count as one document after all others. An empty table stays empty.
     """
-    runs = LineRuns(docs.sparkSession)
-    drops = dropped_lines(docs, runs, batches, key, text)
+    spark = docs.sparkSession
+    runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drops = stage(dropped_lines(docs, runs, batches, key, text), "line-drops")
     runs.drop()
     own = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
     own = own.withColumn("_row", F.xxhash64("_id", F.coalesce(F.col(text), F.lit(""))))
