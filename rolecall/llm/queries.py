@@ -1,4 +1,4 @@
 """Every query of this subpackage; importing it fills the registry."""
 
-from rolecall.llm import fingerprints, line_dedup, mixing, near_dups, packing, sharding, token_counts, toxicity  # noqa: F401
+from rolecall.llm import fingerprints, line_dedup, mixing, near_dups, packing, passages, sharding, token_counts, toxicity  # noqa: F401
 from rolecall.llm.registry import ORACLES, QUERIES  # noqa: F401
