@@ -1,29 +1,65 @@
-"""The corpus pipeline: filters and mixes ``documents`` and packs what is left."""
+"""The corpus pipeline: toxic documents and repeated text go, sources are mixed, the rest is packed.
+
+``STAGES`` are functions of ``(spark, docs, sf_dir)``. All but the last return the columns of
+``documents``; each reads what the one before it kept.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rolecall.llm.common import stage, table
+from rolecall.llm.line_dedup import dedup_lines
+from rolecall.llm.mixing import mix
+from rolecall.llm.near_dups import keep_one
 from rolecall.llm.packing import pack_documents
+from rolecall.llm.toxicity import reject_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, as they are."""
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a document of smaller id has; ``n_chars`` follows the text."""
+    kept = dedup_lines(docs)
+    changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their sequences and places."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
+#: A kernel machine, sampled signatures and a tokenizer are not for SQL; see tests/llm for the brute-force check.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is staged as Parquet for the next."""
-    from rolecall.llm.common import stage
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    """All stages over ``documents``; what a stage returns is staged as Parquet for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
