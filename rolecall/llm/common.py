@@ -27,11 +27,12 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def keep_in_worker(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker builds once and keeps for its later tasks."""
+    """An object that a Python worker builds once and keeps for its later tasks, until one of another name comes."""
     shelf = sys.modules.setdefault("_rolecall_worker", types.ModuleType("_rolecall_worker"))
-    if not hasattr(shelf, name):
-        setattr(shelf, name, make())
-    return getattr(shelf, name)
+    if getattr(shelf, "name", None) != name:
+        shelf.name, shelf.value = name, None  # the old one goes before the new one is built
+        shelf.value = make()
+    return shelf.value
 
 
 def places(

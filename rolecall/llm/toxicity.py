@@ -23,15 +23,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bounds of what is learnt from: labelled documents of each class, and sentences of each class of these.
 TOXIC_DOCUMENTS, CLEAN_DOCUMENTS = 3_000, 6_000
-TRAIN_SENTENCES = 20_000
+TRAIN_SENTENCES = 15_000
 LONGEST_SENTENCE = 2_000
 LANDMARKS = 128
 DECAY = 0.75
 #: A subsequence's last character lies at most this far after its first.
 SPAN = 5
 FEATURE_BITS = 18
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 LONGEST, OVERLAP = 48, 12
+STEP = 4_000
 #: Three or more characters one by one, with a blank or a sign between them.
 SPELLED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\w)")
 #: What stands for no word where a text has fewer than a feature looks at.
@@ -79,11 +80,17 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised subsequence kernel between words and landmarks."""
     out = np.empty((len(words), len(landmarks)), np.float32)
     l_row, l_feature, l_weight = subsequences(landmarks)
-    dense = [np.bincount(l_feature[l_row == j], l_weight[l_row == j], 1 << FEATURE_BITS) for j in range(len(landmarks))]
-    for at in range(0, len(words), 10_000):
-        row, feature, weight = subsequences(words[at : at + 10_000])
+    known, place = np.unique(l_feature, return_inverse=True)
+    dense = np.zeros((len(landmarks), len(known)))
+    np.add.at(dense, (l_row, place), l_weight)
+    for at in range(0, len(words), STEP):
+        row, feature, weight = subsequences(words[at : at + STEP])
+        near = np.searchsorted(known, feature)
+        near[near == len(known)] = 0
+        some = known[near] == feature
+        row, near, weight = row[some], near[some], weight[some]
         for j, mark in enumerate(dense):
-            out[at : at + 10_000, j] = np.bincount(row, weight * mark[feature], len(words[at : at + 10_000]))
+            out[at : at + STEP, j] = np.bincount(row, weight * mark[near], len(words[at : at + STEP]))
     return out
 
 
@@ -224,32 +231,33 @@ class WordScores:
         if len(self.known) + len(unknown) > CACHED_WORDS:
             self.known.clear()
             unknown = list(set(chain.from_iterable(split)))
-        for at in range(0, len(unknown), 10_000):
-            words = unknown[at : at + 10_000]
+        for at in range(0, len(unknown), STEP):
+            words = unknown[at : at + STEP]
             self.known.update(zip(words, self.model.words(words).tolist(), strict=True))
         return [describe(np.array(list(map(self.known.__getitem__, words)))) for words in split]
 
 
 def descriptions(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``found``, what the machine finds in each whole text; a null text counts as empty."""
-    narrow = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    narrow = docs.select(*keys) if text in keys else docs.select(*keys, text)
+    at = narrow.columns.index(text)
     shared, name = docs.sparkSession.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = keep_in_worker(name, lambda: WordScores(shared.value))
         for batch in batches:
             found, texts, held = [], [], 0
-            for value in batch.column(batch.num_columns - 1):
-                texts.append(value.as_py())
+            for value in batch.column(at):
+                texts.append(value.as_py() or "")
                 held += len(texts[-1])
-                if held >= 1 << 21:
+                if held >= 1 << 20:
                     found += scores.describe(texts)
                     texts, held = [], 0
             found += scores.describe(texts)
             column = pa.array(found, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, "found"])
 
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in narrow.dtypes[:-1])
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in narrow.dtypes[: len(keys)])
     return narrow.mapInArrow(score, f"{kinds}, found array<double>")
 
 
