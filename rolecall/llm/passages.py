@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import WORDS, banded_pairs, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.shingles import WORDS, mix, shingled, starts_of, uneven, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A paragraph is this many words from its anchor; an anchor is the least shingle of some run of this many shingles.
 #: Together they are under 52, so of any passage of 50 words two copies have a whole paragraph in common.
-PARAGRAPH, RUN = 27, 24
+PARAGRAPH, RUN = 22, 29
 SIMILARITY = 0.8
-#: 4 bands of 2 hashes: a pair at 0.8 shares a band with probability 0.983.
-BANDS, ROWS = 4, 2
+#: 3 bands of 2 hashes: a pair at 0.8 shares a band with probability 0.953, equal paragraphs always do.
+BANDS, ROWS = 3, 2
 NO_ID = 1 << 62
 
 
@@ -123,6 +123,19 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, shingles array<long>")
 
 
+def colliding(kinds: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of distinct paragraphs ``(id, keys)`` that share a band.
+
+    Each meets its bucket's first member and the two before it in order of id, so a bucket costs its
+    size times a constant, and its rows pass through a window of constant memory.
+    """
+    order = Window.partitionBy("band", "key").orderBy("id")
+    before = F.array(F.first("id").over(order), F.lag("id", 1).over(order), F.lag("id", 2).over(order))
+    members = kinds.select("id", F.posexplode("keys").alias("band", "key"))
+    met = members.select("id", before.alias("before")).select(F.explode("before").alias("a"), F.col("id").alias("b"))
+    return met.where("a <> b").distinct()
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``_id, class_id, first_word, n_words``: the spans of words that several documents have.
 
@@ -135,17 +148,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     own = F.coalesce(F.col(key).cast("long"), F.xxhash64(whole).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
-    rows = docs.select(own.alias("_id"), word_hashes(whole).alias("words"))
-    found = stage(paragraph_rows(rows), "paragraphs")
-    held = found.groupBy(F.col("paragraph").alias("id")).agg(
-        F.any_value("keys").alias("keys"), F.min("_id").alias("least"), F.max("_id").alias("most")
-    )
-    kinds = stage(held, "paragraph-kinds")
-    pairs = stage(banded_pairs(kinds.select("id", "keys"), BANDS), "paragraph-pairs")
+    texts = docs.select(own.alias("_id"), whole.alias("text"))
+    hashed = lambda df: df.select("_id", word_hashes(F.col("text")).alias("words"))
+    found = stage(paragraph_rows(hashed(texts)), "paragraphs")
+    kinds = found.groupBy(F.col("paragraph").alias("id")).agg(F.any_value("keys").alias("keys"))
+    pairs = stage(colliding(kinds), "paragraph-pairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paragraph-wanted")
-    holders = kinds.join(wanted, "id").select(F.col("least").alias("_id")).distinct()
+    spread = found.groupBy(F.col("paragraph").alias("id")).agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
+    spread = stage(spread.join(wanted.withColumn("met", F.lit(True)), "id", "left").where("met or least < most"), "paragraph-spread")
+    holders = stage(spread.where("met").select(F.col("least").alias("_id")).distinct(), "paragraph-holders")
     sets = stage(
-        shingle_sets(rows.join(holders, "_id", "left_semi")).join(wanted, "id", "left_semi").dropDuplicates(["id"]),
+        shingle_sets(hashed(texts.join(holders, "_id", "left_semi"))).join(wanted, "id", "left_semi").dropDuplicates(["id"]),
         "paragraph-sets",
     )
     both = F.size(F.array_intersect("x", "y"))
@@ -154,7 +167,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
     )
     classes = components(links).withColumnRenamed("class_id", "class")
-    named = kinds.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    named = spread.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id"), "repeated")
     caught = found.select("_id", "first", "paragraph").join(repeated, "paragraph")
