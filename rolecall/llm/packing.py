@@ -24,8 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 RANK_BUCKETS = 256
-CACHED_CHUNKS = 600_000
-CACHED_WORDS = 600_000
+CACHED_CHUNKS = 450_000
+CACHED_WORDS = 500_000
 LONGEST_CACHED = 64
 BATCH_CHUNKS = 200_000
 
