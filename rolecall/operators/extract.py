@@ -154,7 +154,7 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     listed = reduce(Column.__or__, [page.contains(mark) for mark in LISTING_MARKS])
     staged = (
         pages.withColumn("_json", empty_to_null(embedded))
-        .withColumn("_positions", F.from_json("_json", T.ArrayType(POSITION)))
+        .withColumn("_positions", F.from_json("_json", T.ArrayType(POSITION), {"allowSingleQuotes": "false"}))
         .withColumn("_found", F.coalesce(F.size("_positions") > 0, F.lit(False)))
     )
     values = F.transform("_positions", lambda p: F.transform(usable_details(p), lambda d: d["value"]))

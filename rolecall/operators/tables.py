@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,8 @@ def mark_new(incoming: DataFrame, stored: DataFrame, key: str, position: str) ->
     """Incoming rows with ``is_new``: first of its key and not stored yet. Rows without a key are not new."""
     usable = F.coalesce(F.col(key), F.lit("")) != ""
     winners = first_by_key(incoming.where(usable).select(key, position), [key], position)
-    winners = drop_known(winners, stored, key).select(position, F.lit(True).alias("_won"))
-    return incoming.join(winners, position, "left").withColumn("is_new", F.coalesce("_won", F.lit(False))).drop("_won")
+    winners = drop_known(winners, stored, key).select(position, key, F.lit(True).alias("_won"))
+    return incoming.join(winners, [position, key], "left").select(*incoming.columns, "_won").withColumn("is_new", F.coalesce("_won", F.lit(False))).drop("_won")
 
 
 def insert_companies(
@@ -177,13 +177,18 @@ def insert_dimension(dimension: DataFrame, incoming: DataFrame) -> Change:
 
 
 def update_dimension(dimension: DataFrame, changes: DataFrame) -> Change:
-    """Replace rows by id, one change per id. Refused: blank names and names that another row holds."""
+    """Replace rows by id. Refused: blank names, names that another row holds, and of several changes of one
+    id or to one name all but the first in order of the new values and ids."""
     values = [c for c in dimension.columns if c != "id"]
     tidy = changes.select("id", *[blank_to_null(F.col(c)).alias(c) for c in values])
     holders = dimension.select("canonical_name", F.col("id").alias("_holder"))
     checked = tidy.join(holders, "canonical_name", "left").withColumn(
         "_ok", F.col("canonical_name").isNotNull() & F.coalesce(F.col("_holder") == F.col("id"), F.lit(True))
     )
+    per_id = Window.partitionBy("id", "_ok").orderBy(*values)
+    per_name = Window.partitionBy("canonical_name", "_ok").orderBy("id")
+    checked = checked.withColumn("_ok", F.col("_ok") & (F.row_number().over(per_id) == 1))
+    checked = checked.withColumn("_ok", F.col("_ok") & (F.row_number().over(per_name) == 1))
     accepted = checked.where("_ok").select("id", *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_hit"))
     merged = dimension.join(accepted, "id", "left")
     new = [F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values]

@@ -42,9 +42,10 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType, missin
 
 
 def read_jobs(spark: SparkSession, path: str, schema: T.StructType, max_jobs: int = 30) -> DataFrame:
-    """First records of a JSON array file in file order."""
+    """First records of JSON array files, in order of file name and then of record."""
     rows = read_json_array(spark, path, schema, missing_ok=False)
-    return first_rows(rows.withColumn("pos", F.monotonically_increasing_id()), "pos", max_jobs)
+    position = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("row"))
+    return first_rows(rows.withColumn("pos", position), "pos", max_jobs)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +54,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a sortable position: later files and later lines are greater."""
+    """Text lines with a sortable position: files by name, then lines; parts are written in no order of time."""
     return with_line_order(
         spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path",
                                      "_metadata.file_block_start")
@@ -61,9 +62,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_order(lines: DataFrame) -> DataFrame:
-    position: Column = F.struct(
-        "file_modification_time", "file_path", "file_block_start", F.monotonically_increasing_id().alias("row")
-    )
+    position: Column = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("row"))
     return lines.withColumn("pos", position).drop("file_modification_time", "file_path", "file_block_start")
 
 
