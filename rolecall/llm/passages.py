@@ -78,16 +78,22 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         at = to
 
 
+def _whole(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph."""
+    whole = np.zeros(len(shingles), np.uint64)
+    for k in range(shingles.shape[1]):
+        whole = mix(whole + shingles[:, k])
+    return whole
+
+
 def paragraph_rows(rows: DataFrame) -> DataFrame:
-    """``_id, first, paragraph, keys`` from rows ``_id, words``: a hash of the paragraph's words and its band keys."""
+    """``_id, place, first, paragraph, keys`` from rows ``_id, place, words``: a hash of the paragraph's words and its band keys."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words, lengths in _blocks(batch):
                 row, first, shingles = paragraphs(words, lengths)
-                whole = np.zeros(len(row), np.uint64)
-                for k in range(shingles.shape[1]):
-                    whole = mix(whole + shingles[:, k])
+                whole = _whole(shingles)
                 keys = np.zeros((len(row), BANDS), np.uint64)
                 for k in range(BANDS * ROWS):
                     least = mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(axis=1) if len(row) else whole
@@ -96,31 +102,37 @@ def paragraph_rows(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row + at)),
+                        batch.column(1).take(pa.array(row + at)),
                         pa.array(first.astype(np.int64)),
                         pa.array(whole.view(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
                     ],
-                    names=["_id", "first", "paragraph", "keys"],
+                    names=["_id", "place", "first", "paragraph", "keys"],
                 )
 
-    return rows.mapInArrow(cut, "_id long, first long, paragraph long, keys array<long>")
+    return rows.mapInArrow(cut, "_id long, place long, first long, paragraph long, keys array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``id, shingles`` of each paragraph of rows ``_id, words``."""
+    """``id, shingles`` of those paragraphs of rows ``ids, words`` that ``ids`` asks for.
+
+    32 bits of each shingle's hash: two of the at most 36 shingles of a pair are taken for one
+    with probability under 2e-7, and sets are half as large where they are joined.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, words, lengths in _blocks(batch):
+            for at, words, lengths in _blocks(batch):
+                asked, _ = uneven(batch.column(0).slice(at, len(lengths)))
                 _, _, shingles = paragraphs(words, lengths)
-                whole = np.zeros(len(shingles), np.uint64)
-                for k in range(shingles.shape[1]):
-                    whole = mix(whole + shingles[:, k])
-                offsets = pa.array(np.arange(len(shingles) + 1, dtype=np.int32) * shingles.shape[1])
-                sets = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(shingles).view(np.int64).ravel()))
+                whole, once = np.unique(_whole(shingles), return_index=True)
+                wanted = np.isin(whole, asked)
+                whole, low = whole[wanted], shingles[once[wanted]].astype(np.uint32)
+                offsets = pa.array(np.arange(len(low) + 1, dtype=np.int32) * low.shape[1])
+                sets = pa.ListArray.from_arrays(offsets, pa.array(low.view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), sets], names=["id", "shingles"])
 
-    return rows.mapInArrow(cut, "id long, shingles array<long>")
+    return rows.mapInArrow(cut, "id long, shingles array<int>")
 
 
 def colliding(kinds: DataFrame) -> DataFrame:
@@ -148,17 +160,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     own = F.coalesce(F.col(key).cast("long"), F.xxhash64(whole).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
-    texts = docs.select(own.alias("_id"), whole.alias("text"))
-    hashed = lambda df: df.select("_id", word_hashes(F.col("text")).alias("words"))
-    found = stage(paragraph_rows(hashed(texts)), "paragraphs")
+    texts = docs.select(own.alias("_id"), F.xxhash64(own, whole).alias("place"), whole.alias("text"))
+    words = word_hashes(F.col("text")).alias("words")
+    found = stage(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
     kinds = found.groupBy(F.col("paragraph").alias("id")).agg(F.any_value("keys").alias("keys"))
     pairs = stage(colliding(kinds), "paragraph-pairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paragraph-wanted")
-    spread = found.groupBy(F.col("paragraph").alias("id")).agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
+    spread = found.groupBy(F.col("paragraph").alias("id")).agg(
+        F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place")
+    )
     spread = stage(spread.join(wanted.withColumn("met", F.lit(True)), "id", "left").where("met or least < most"), "paragraph-spread")
-    holders = stage(spread.where("met").select(F.col("least").alias("_id")).distinct(), "paragraph-holders")
+    # one text gives the set of a paragraph, however many have it; what is asked of a text is bounded by its length
+    asked = spread.where("met").groupBy("place").agg(F.collect_list("id").alias("ids"))
     sets = stage(
-        shingle_sets(hashed(texts.join(holders, "_id", "left_semi"))).join(wanted, "id", "left_semi").dropDuplicates(["id"]),
+        shingle_sets(texts.join(asked, "place").select("ids", words)).dropDuplicates(["id"]),
         "paragraph-sets",
     )
     both = F.size(F.array_intersect("x", "y"))
