@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
 import struct
 import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, filterfalse
 from unicodedata import is_normalized
 
@@ -32,9 +33,32 @@ BATCH_CHUNKS = 200_000
 #: White space on which the tokenizer and Python may differ; only blanks of ASCII split such a text.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-STOPS = ".,;:!?"
-#: Special tokens, and letters whose lower case hangs on their place or is more than one character.
-CASED_APART = re.compile("<\\||[\u0130\u03a3]")
+#: A run of these after a letter is one piece to the tokenizer, whatever the letter's word.
+STOPS = string.punctuation
+#: Letters whose lower case hangs on their place or is more than one character.
+CASED_APART = re.compile("[\u0130\u03a3]")
+
+
+class Recent:
+    """Values of at most ``size`` keys or those of one batch: when half are new, the older half goes.
+
+    What a batch uses moves to the newer half, so that the many keys seen once never push out the
+    common ones.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.half = size // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def hold(self, keys: set[str], unseen: set[str], make: Callable[[list[str]], Iterable[bytes]]) -> None:
+        """Bring all ``keys`` of a batch into the newer half; ``unseen`` are those not in it."""
+        if len(self.new) + len(unseen) > self.half:
+            self.old, self.new, unseen = self.new, {}, keys
+        found = unseen & self.old.keys()
+        self.new.update((k, self.old[k]) for k in found)
+        rest = list(unseen - found)
+        self.new.update(zip(rest, make(rest), strict=True))
 
 
 class ChunkIds:
@@ -48,32 +72,30 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = Recent(CACHED_CHUNKS), Recent(CACHED_WORDS)
         self.blanks = re.compile("[^ \t\n\r\x0b\x0c]+").findall
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Keep the ids of chunks: those of the lower-case word, then those of the stops that end it.
+    def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of chunks: those of the lower-case word, then those of the stops that end it.
 
         The tokenizer lower-cases and parts letters from signs itself, so both come from the library.
         """
-        apart = [self._word_and_stops(c) for c in chunks]
-        unknown = {word for word, _ in apart}.union(stops for _, stops in apart).difference(self.words)
-        if len(self.words) + len(unknown) > CACHED_WORDS:
-            self.words.clear()
-            unknown = {word for word, _ in apart}.union(stops for _, stops in apart)
-        self.words.update(zip(unknown, self._ids(list(unknown)), strict=True))
-        ids = self.words
-        self.known.update((c, ids[word] + ids[stops]) for c, (word, stops) in zip(chunks, apart, strict=True))
+        apart = list(map(self._word_and_stops, chunks))
+        keys = set(chain.from_iterable(apart))
+        self.words.hold(keys, keys.difference(self.words.new), self._ids)
+        ids = self.words.new
+        return (ids[word] + ids[stops] for word, stops in apart)
 
     @staticmethod
     def _word_and_stops(chunk: str) -> tuple[str, str]:
         word = chunk.rstrip(STOPS)
-        if not word or not word[-1].isalpha() or CASED_APART.search(chunk) or not is_normalized("NFC", chunk):
+        if not word or not word[-1].isalpha():
+            return chunk, ""
+        if not chunk.isascii() and (CASED_APART.search(chunk) or not is_normalized("NFC", chunk)) or "<|" in chunk:
             return chunk, ""
         return word.lower(), chunk[len(word) :]
 
@@ -81,18 +103,17 @@ class ChunkIds:
         return self.blanks(text) if ODD_SPACE.search(text) else text.split()
 
     def encode(self, split: list[list[str]]) -> list[bytes]:
-        unknown = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
-        long = [c for c in unknown if len(c) > LONGEST_CACHED]
+        unseen = set(filterfalse(self.known.new.__contains__, chain.from_iterable(split)))
+        long = [c for c in unseen if len(c) > LONGEST_CACHED]
         once = dict(zip(long, self._ids(long), strict=True))
-        short = [c for c in unknown if len(c) <= LONGEST_CACHED]
-        if len(self.known) + len(short) > CACHED_CHUNKS:
-            self.known.clear()
-            short = list({c for chunks in split for c in chunks if len(c) <= LONGEST_CACHED})
-        self._learn(short)
+        unseen.difference_update(long)
+        full = len(self.known.new) + len(unseen) > self.known.half
+        self.known.hold(set(chain.from_iterable(split)).difference(long) if full else unseen, unseen, self._learn)
+        known = self.known.new
         if once:
-            look = lambda c: once[c] if len(c) > LONGEST_CACHED else self.known[c]
+            look = lambda c: once[c] if len(c) > LONGEST_CACHED else known[c]
         else:
-            look = self.known.__getitem__
+            look = known.__getitem__
         return [b"".join(map(look, chunks)) for chunks in split]
 
 

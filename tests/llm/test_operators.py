@@ -73,7 +73,8 @@ def test_packing(odd, empty):
 
 def test_chunks_are_encoded_as_the_library_does():
     ids = packing.ChunkIds(WORDS)
-    for chunk in ["Word.", "it's", "a.b.c!!", "<|endoftext|>", "<|ENDOFTEXT|>.", "I'LL.", "á.", "ΑΣ.", "İ!", "é.", "\x1c.", "1."]:
+    for chunk in ["Word.", "it's", "a.b.c!!", "<|endoftext|>", "<|ENDOFTEXT|>.", "I'LL.", "á.", "ΑΣ.", "İ!", "é.", "\x1c.", "1.",
+                  "dogs'", "it's-", "End.###", "a<b>.", "é&&&", "x'll'?", "s'"]:
         want = ids.tokenizer.encode(chunk, add_special_tokens=False).ids
         assert ids.encode([ids.split(chunk)])[0] == struct.pack(f"<{len(want)}I", *want), chunk
 
