@@ -109,9 +109,14 @@ def _mistyped(variant: Column) -> Column:
 
 
 def usable_details(position: Column) -> Column:
-    """Named details with a filled value."""
-    details = F.coalesce(position["custom_fields"]["details"], F.array().cast("array<struct<name:string,value:string>>"))
-    return F.filter(details, lambda d: d["name"].isNotNull() & (F.coalesce(d["value"], F.lit("")) != ""))
+    """Details whose value is a filled text; values of other types go, a missing name is empty."""
+    details = F.coalesce(position["custom_fields"]["details"], F.array().cast("array<struct<name:string,value:variant>>"))
+
+    def text_of(detail: Column) -> Column:
+        text = F.when(F.schema_of_variant(detail["value"]) == "STRING", F.try_variant_get(detail["value"], "$", "string"))
+        return F.struct(F.coalesce(detail["name"], F.lit("")).alias("name"), text.alias("value"))
+
+    return F.filter(F.transform(details, text_of), lambda d: F.coalesce(d["value"], F.lit("")) != "")
 
 
 def position_to_job(position: Column, texts: Column, type_errors: Column) -> Column:

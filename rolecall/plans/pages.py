@@ -30,8 +30,12 @@ def json_page() -> Column:
                     detail("REQUIREMENTS", F.col("p_brand"))).alias("details")
         ).alias("custom_fields"),
     )
+    # a number, an object and a text without a name beside them
+    odd = F.concat(F.lit('{"name":"description","value":'), F.col("p_size"), F.lit('},{"name":"requirements","value":{"a":1}},'
+                   '{"value":"'), F.col("p_type"), F.lit('"}]}'))
+    first = F.replace(F.to_json(first), F.lit("]}"), F.concat(F.lit(","), odd))
     second = F.struct(F.concat(F.lit("Second "), F.col("p_name")).alias("name"))
-    positions = F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]"))
+    positions = F.concat(F.lit("["), first, F.lit(","), F.to_json(second), F.lit("]"))
     return F.concat(F.lit("<html><script>var COMPANY_POSITIONS_DATA =\n "), positions, F.lit(";</script></html>"))
 
 
@@ -77,8 +81,8 @@ def _part_pages(spark: SparkSession, sf: str, html: Column) -> DataFrame:
 _EMBEDDED_SQL = """SELECT p_partkey AS page_key, 0::BIGINT AS job_pos, p_name AS title, p_brand AS department,
  'Haifa, ISRAEL' AS location, p_type AS employment_type, 'https://jobs.example.com/' || p_partkey AS url,
  CASE WHEN p_size > 20 THEN 'https://own.example.com/' || p_partkey END AS original,
- p_name || chr(10) || p_type || ' & co' AS description, p_brand AS requirements, 0::BIGINT AS type_errors FROM part
-UNION ALL SELECT p_partkey, 1, 'Second ' || p_name, NULL, 'Not specified', NULL, NULL, NULL, NULL, NULL, 0 FROM part"""
+ p_name || chr(10) || p_type || ' & co' AS description, p_brand AS requirements, p_type AS nameless, 0::BIGINT AS type_errors FROM part
+UNION ALL SELECT p_partkey, 1, 'Second ' || p_name, NULL, 'Not specified', NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM part"""
 
 
 @query("x2_embedded_json", _EMBEDDED_SQL)
@@ -88,6 +92,7 @@ def embedded_json(spark: SparkSession, sf: str) -> DataFrame:
         "employment_type", "url", F.col("original_website_job_url").alias("original"),
         F.try_element_at("description_map", F.lit("description")).alias("description"),
         F.try_element_at("description_map", F.lit("requirements")).alias("requirements"),
+        F.try_element_at("description_map", F.lit("")).alias("nameless"),
         F.size("type_errors").cast("long").alias("type_errors"),
     )
 

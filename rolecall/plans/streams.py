@@ -139,13 +139,16 @@ def company_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scrape(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """One page per part is scraped; relative links fail validation, postings of supplier ids are on file."""
+    """One page per part is scraped, though an older one landed too; relative links fail validation,
+    postings of supplier ids are on file."""
     queue, root, out, store, mark = (
         shared_path(spark, name) for name in ("companies", "scrape", "documents", "store", "checkpoint")
     )
     page = F.concat(F.lit("https://site.example.com/"), F.col("page_key"))
-    pages = mixed_pages(spark, sf).select(page.alias("url"), "html")
-    messages = pages.select(
+    latest = mixed_pages(spark, sf).select(page.alias("url"), "html", F.lit(2).alias("landed"))
+    older = latest.select("url", F.lit("<p>old</p>").alias("html"), F.lit(1).alias("landed"))
+    pages = latest.unionByName(older)
+    messages = latest.select(
         F.lit("x").alias("company_name"), F.lit("comeet.com").alias("domain"), F.col("url").alias("company_page_url")
     )
     company_messages(messages).write.text(queue)
@@ -153,7 +156,7 @@ def _scrape(spark: SparkSession, sf: str) -> tuple[str, str]:
         F.md5(F.concat(F.lit("https://jobs.example.com/"), F.col("s_suppkey"))).alias("url_hash")
     )
     write_load(_as_stored(known), store, 0)
-    ScrapeJob(pages, store, root, out, _now()).run(company_stream(spark, queue), mark)
+    ScrapeJob(pages, store, root, out, _now(), "landed").run(company_stream(spark, queue), mark)
     return root, out
 
 

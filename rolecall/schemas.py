@@ -18,7 +18,7 @@ POSITION = _struct(
     url_comeet_hosted_page=STR, url_active_page=STR, url_detected_page=STR, company_name=STR, email=STR,
     time_updated=STR,
     location=_struct(name=STR, city=STR, country=STR, is_remote=BOOL),
-    custom_fields=_struct(details=T.ArrayType(_struct(name=STR, value=STR))),
+    custom_fields=_struct(details=T.ArrayType(_struct(name=STR, value=T.VariantType()))),
 )
 
 # the text columns that a posting must carry as strings

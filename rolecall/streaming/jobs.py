@@ -67,7 +67,8 @@ class ScrapeJob:
     """Company messages to batch documents of new, valid postings.
 
     Beside the ``queue`` of documents, ``root`` receives the scraped page URLs with their time and
-    one row of counters per micro-batch. Pages that did not land, or landed empty, count as failed.
+    one row of counters per micro-batch, which count page URLs. Of several pages of a URL the one with
+    the greatest ``landed`` is scraped. URLs whose page did not land, or landed empty, count as failed.
     """
 
     pages: DataFrame
@@ -75,6 +76,7 @@ class ScrapeJob:
     root: str
     queue: str
     as_of: Column
+    landed: str = "html"
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
@@ -87,9 +89,10 @@ class ScrapeJob:
 
         # the pages are counted in the pass that parses them
         seen = Observation()
-        landed = F.coalesce(F.length("html") > 0, F.lit(False))
-        pages = self.pages.join(small_side(wanted), "url", "left_semi").withColumnRenamed("url", "source_url")
-        jobs = extract_jobs(pages.observe(seen, F.count_if(landed).alias("processed")))
+        filled = F.coalesce(F.length("html") > 0, F.lit(False))
+        found = last_by_key(self.pages.join(small_side(wanted), "url", "left_semi"), ["url"], self.landed)
+        pages = found.select(F.col("url").alias("source_url"), "html")
+        jobs = extract_jobs(pages.observe(seen, F.count_if(filled).alias("processed")))
         checked = valid_jobs(check_jobs(jobs)).withColumn("url_hash", url_hash(F.col("url")))
         fields = [F.col(f.name).cast(f.dataType) for f in STAGED_JOB.fields]
         write_load(checked.select(*fields, "url_hash"), f"{self.root}/valid", load_id)

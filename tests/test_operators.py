@@ -406,3 +406,26 @@ def test_write_back_of_few_vectors_equals_the_full_join(spark):
     few = embeddings.write_back(jobs, vectors, few_vectors=True)
     assert few.columns == jobs.columns
     assert rows(few, *jobs.columns) == rows(embeddings.write_back(jobs, vectors), *jobs.columns)
+
+
+def test_details_keep_texts_only_and_pages_must_hold_json(spark):
+    details = '[{"name":"A","value":"x"},{"name":"B","value":5},{"name":"C","value":{"a":1}},{"value":"y"},{"name":"D","value":true},null]'
+    good = 'var COMPANY_POSITIONS_DATA = [{"name":"t","custom_fields":{"details":' + details + '}}];'
+    single = "var COMPANY_POSITIONS_DATA = [{'name':'x'}];"
+    pages = spark.createDataFrame([(1, good), (2, single)], "id long, html string")
+    assert [(r["id"], r["description_map"]) for r in extract_jobs(pages).collect()] == [(1, {"a": "x", "": "y"})]
+
+
+def test_two_named_hits_of_one_page(spark):
+    incoming = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c")], "pos long, url string")
+    stored = spark.createDataFrame([("c",)], "url string")
+    got = rows(tables.mark_new(incoming, stored, "url", "pos"), "pos", "url", "is_new")
+    assert sorted(got) == [(1, "a", True), (1, "b", True), (2, "a", False), (2, "c", False)]
+
+
+def test_one_change_per_dimension_row_and_name(spark):
+    dimension = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, canonical_name string")
+    changes = spark.createDataFrame([(1, "N"), (2, "N"), (3, "X"), (3, "Y")], "id long, canonical_name string")
+    change = tables.update_dimension(dimension, changes)
+    assert sorted(rows(change.snapshot, "id", "canonical_name")) == [(1, "N"), (2, "B"), (3, "X")]
+    assert sorted(rows(change.rows, "id", "canonical_name")) == [(2, "N"), (3, "Y")]
