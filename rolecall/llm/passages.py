@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import WORDS, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.shingles import WORDS, band_buckets, bucket_links, mix, shingled, starts_of, uneven, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -135,17 +135,17 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, shingles array<int>")
 
 
-def colliding(kinds: DataFrame) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of distinct paragraphs ``(id, keys)`` that share a band.
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``id, group, rest, whole`` of the rarest shingles of ``sets`` ``(id, shingles)``.
 
-    Each meets its bucket's first member and the two before it in order of id, so a bucket costs its
-    size times a constant, and its rows pass through a window of constant memory.
+    A set like this one shares ``similarity`` of it at least, so one of the others and one more.
     """
-    order = Window.partitionBy("band", "key").orderBy("id")
-    before = F.array(F.first("id").over(order), F.lag("id", 1).over(order), F.lag("id", 2).over(order))
-    members = kinds.select("id", F.posexplode("keys").alias("band", "key"))
-    met = members.select("id", before.alias("before")).select(F.explode("before").alias("a"), F.col("id").alias("b"))
-    return met.where("a <> b").distinct()
+    each = sets.select("id", F.size("shingles").cast("double").alias("whole"), F.explode("shingles").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "h"))
+    placed = each.join(often, "h").withColumn("rest", F.col("whole") - place + 1)
+    needed = placed.where((F.col("rest") >= F.col("whole") * similarity * (1 - 1e-5)) & (F.col("n") > 1))
+    return needed.select("id", F.col("h").cast("long").alias("group"), "rest", "whole")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -164,8 +164,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     words = word_hashes(F.col("text")).alias("words")
     found = stage(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
     kinds = found.groupBy(F.col("paragraph").alias("id")).agg(F.any_value("keys").alias("keys"))
-    pairs = stage(colliding(kinds), "paragraph-pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paragraph-wanted")
+    buckets = stage(band_buckets(kinds), "paragraph-buckets")
+    wanted = stage(buckets.select("id").distinct(), "paragraph-wanted")
     spread = found.groupBy(F.col("paragraph").alias("id")).agg(
         F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place")
     )
@@ -176,11 +176,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         shingle_sets(texts.join(asked, "place").select("ids", words)).dropDuplicates(["id"]),
         "paragraph-sets",
     )
-    both = F.size(F.array_intersect("x", "y"))
-    links = (
-        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        .where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
-    )
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("x", "y"))
+        sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return sides.where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
+
+    distinct_sets = sets.select("id", F.array_distinct("shingles").alias("shingles"))
+    links = bucket_links(buckets, verify, lambda ids: rare_shingles(distinct_sets.join(ids, "id", "left_semi"), similarity), similarity)
     classes = components(links).withColumnRenamed("class_id", "class")
     named = spread.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import stage
+from rolecall.llm.common import components, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,6 +70,76 @@ def distinct(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[at], times, np.bincount(row[at], minlength=len(lengths))
 
 
+#: In buckets of at most this many members all pairs are candidates at once.
+FEW = 16
+
+
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    return pairs.where(F.col(one) != F.col(other)).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def band_buckets(rows: DataFrame) -> DataFrame:
+    """``id, band, key, n, first, second`` of rows ``(id, keys)`` whose buckets have several members, with two leaders a bucket."""
+    members = rows.select("id", F.posexplode("keys").alias("band", "key"))
+    sizes = members.groupBy("band", "key").agg(
+        F.count("*").alias("n"),
+        F.min_by("id", F.struct(F.xxhash64("id"), F.col("id"))).alias("first"),
+        F.min_by("id", F.struct(F.xxhash64("id", "band"), F.col("id"))).alias("second"),
+    )
+    return members.join(sizes.where("n > 1"), ["band", "key"])
+
+
+def reaching(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Members that can meet another one of their group, with ``reach``: the weight that the other's set has at most.
+
+    Where a group's element is the first that two sets have in common, they share at most what is
+    left of either from there on, ``rest``; at ``similarity`` that bounds the sum of their weights.
+    """
+    reach = F.col("rest") * ((1 + similarity) / similarity * (1 + 1e-5)) - F.col("whole")
+    rows = prefixes.withColumn("reach", reach)
+    least = rows.groupBy("group").agg(F.min("whole").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(least, "group").where("reach >= least").select("id", "group", "whole", "reach")
+
+
+def bucket_links(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], prefixes: Callable[[DataFrame], DataFrame], similarity: float
+) -> DataFrame:
+    """Links ``(a, b)`` with the components of all verified pairs that share one of ``buckets``; no partner is capped.
+
+    All pairs of small buckets are verified; members of crowded ones meet two leaders first. Where a
+    crowded bucket is then in several classes, its members are dealt anew by ``prefixes``, rows
+    ``(id, group, rest, whole)`` of the rarest elements of each set: sets that are alike have a group
+    in common. Groups meet their leader, and what is in different classes still is verified pair by pair.
+    """
+    few = buckets.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    each = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    crowded = buckets.where(F.col("n") > FEW)
+    led = crowded.select(F.col("id").alias("a"), F.explode(F.array("first", "second")).alias("b"))
+    links = stage(verify(_ordered(few.select(F.explode(each).alias("p")).select("p.*").union(led), "a", "b")), "bucket-links")
+
+    def classed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(stage(components(links), "bucket-classes"), "id", "left").withColumn("class", F.coalesce("class_id", "id")).drop("class_id")
+
+    def divided(rows: DataFrame, by: list[str]) -> DataFrame:
+        several = rows.groupBy(*by).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        return rows.join(several.select(*by), by, "left_semi")
+
+    ids = stage(divided(classed(crowded.select("id", "band", "key"), links), ["band", "key"]).select("id").distinct(), "bucket-divided")
+    if ids.isEmpty():
+        return links
+    groups = stage(reaching(prefixes(ids), similarity), "bucket-reaching")
+    leaders = groups.groupBy("group").agg(
+        F.max_by("id", F.struct("reach", F.xxhash64("id"), F.col("id"))).alias("leader"), F.count("*").alias("n")
+    )
+    groups = stage(groups.join(leaders.where("n > 1"), "group"), "bucket-groups")
+    links = stage(links.union(verify(_ordered(groups, "id", "leader"))), "bucket-led")
+    open_ = stage(divided(classed(groups.select("id", "group", "whole", "reach"), links), ["group"]), "bucket-open")
+    one, other = (open_.select("group", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "whole", "reach", "class"))) for x in "ab")
+    met = one.join(other, "group").where("id_a < id_b and class_a <> class_b and reach_a >= whole_b and reach_b >= whole_a")
+    rest = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return links.union(verify(_ordered(rest, "a", "b")))
+
+
 def banded_pairs(rows: DataFrame, bands: int, window: int = 3) -> DataFrame:
     """Candidate pairs ``(a, b)`` of rows ``(id, keys)`` that share a band, without all pairs of a bucket.
 

@@ -178,3 +178,41 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near duplicates", "mixing", "packing"]
+
+
+def components_of(ids, links):
+    least = {i: i for i in ids}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        least[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_a_crowded_bucket_of_paragraphs_keeps_every_link(spark):
+    from pyspark.sql import functions as F
+
+    from rolecall.llm.shingles import band_buckets, bucket_links
+
+    sets = {}
+    for g in range(60):  # groups of three with a template in common; some sets are smaller
+        own = [1000 * g + k for k in range(8)]
+        for m, last in enumerate(([1], [2], [])):
+            sets[len(sets) * 7919 % 10007] = [*range(-10, 0), *own[: 8 - len(last)], *(1000 * g + 100 + m for _ in last)]
+    want = [(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    assert len(want) == 180
+    frame = spark.createDataFrame(list(sets.items()), "id long, shingles array<int>")
+
+    def verify(pairs):
+        both, either = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
+        return pairs.join(frame.toDF("a", "x"), "a").join(frame.toDF("b", "y"), "b").where(both >= 0.8 * either).select("a", "b")
+
+    buckets = band_buckets(frame.select("id", F.array(F.lit(5)).cast("array<long>").alias("keys")))
+    links = bucket_links(buckets, verify, lambda ids: passages.rare_shingles(frame.join(ids, "id", "left_semi"), 0.8), 0.8)
+    got = [tuple(r) for r in links.collect()]
+    assert set(got) <= set(want) and components_of(sets, got) == components_of(sets, want)
