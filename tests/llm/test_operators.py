@@ -216,3 +216,14 @@ def test_a_crowded_bucket_of_paragraphs_keeps_every_link(spark):
     links = bucket_links(buckets, verify, lambda ids: passages.rare_shingles(frame.join(ids, "id", "left_semi"), 0.8), 0.8)
     got = [tuple(r) for r in links.collect()]
     assert set(got) <= set(want) and components_of(sets, got) == components_of(sets, want)
+
+
+def test_near_dups_of_a_hot_template(spark):
+    template = [f"t{n}" for n in range(1000)]
+    texts = {}
+    for g in range(200):
+        for m in range(2):
+            texts[len(texts)] = " ".join([*template, *(f"g{g}.{n}" for n in range(6)), *(f"o{g}.{m}.{n}" for n in range(10))])
+    # a text is 0.86 like its twin and 0.79 like all others, weighed by log(1 + 400 / documents)
+    classes = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(frame(spark, list(texts.items()))).collect()}
+    assert classes == {i: i - i % 2 for i in texts}
