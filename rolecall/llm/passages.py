@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import WORDS, band_buckets, bucket_links, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.shingles import ODD, WORDS, band_buckets, bucket_links, mix, shingled, starts_of, uneven, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -135,6 +135,78 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, shingles array<int>")
 
 
+def context_keys(rows: DataFrame, ends_only: bool) -> DataFrame:
+    """``_id, first, paragraph, side, j, key`` of occurrences ``_id, firsts, held, words``, a text a row.
+
+    ``key`` is a hash of the paragraph and the ``j`` words before it (side 0) or after it (side 1), of
+    ``j`` up to ``RUN - 1``; further on the next paragraph covers a shared run. With ``ends_only`` the largest j alone.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, words, lengths in _blocks(batch):
+                first, n = uneven(batch.column(1).slice(at, len(lengths)))
+                held, _ = uneven(batch.column(2).slice(at, len(lengths)))
+                first, row = first.astype(np.int64), np.repeat(np.arange(len(lengths)), n)
+                start = starts_of(lengths)[row]
+                for side in (0, 1):
+                    room = first if side == 0 else lengths[row] - first - PARAGRAPH
+                    own, key = np.arange(len(first)), mix(held ^ np.uint64(side + 1))
+                    for j in range(1, RUN):
+                        more = room[own] >= j
+                        own, key = own[more], key[more]
+                        word = words[start[own] + (first[own] - j if side == 0 else first[own] + PARAGRAPH + j - 1)]
+                        key = mix(key * ODD[0] + word)
+                        told = (room[own] == j) | (j == RUN - 1) if ends_only else np.ones(len(own), bool)
+                        out = own[told]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).take(pa.array(row[out] + at)), pa.array(first[out]), pa.array(held[out].view(np.int64)),
+                                pa.array(np.full(len(out), side, np.int32)), pa.array(np.full(len(out), j, np.int32)),
+                                pa.array(key[told].view(np.int64)),
+                            ],
+                            names=["_id", "first", "paragraph", "side", "j", "key"],
+                        )
+
+    return rows.mapInArrow(cut, "_id long, first long, paragraph long, side int, j int, key long")
+
+
+def extensions(texts: DataFrame, caught: DataFrame) -> DataFrame:
+    """``_id, class_id, first, end``: words next to ``caught`` occurrences that another document has there too.
+
+    What a document of smaller id has is a piece whose ``class_id`` is that document; what only later
+    ones have beyond it is a piece of the own id. Occurrences whose whole context is shared with a
+    smaller id are settled at once; the paragraphs of all others are looked at word by word.
+    """
+
+    def keyed(rows: DataFrame, ends_only: bool) -> DataFrame:
+        asked = rows.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("first", "paragraph"))).alias("o"))
+        asked = asked.select("place", F.col("o.first").alias("firsts"), F.col("o.paragraph").alias("held"))
+        return context_keys(texts.join(asked, "place").select("_id", "firsts", "held", "words"), ends_only)
+
+    def shared(keys: DataFrame) -> DataFrame:
+        both = keys.groupBy("key").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
+        return both.select("key", "least")
+
+    ends = stage(keyed(caught, True), "passage-ends")
+    settled = stage(ends.join(shared(ends), "key", "left"), "passage-settled")
+    whole = settled.where("least < _id").select("_id", "first", "paragraph", "side", F.col("j").alias("gone"), "least", F.col("j").alias("kept"))
+    loose = settled.where("least is null or least >= _id").select("paragraph").distinct()
+    keys = stage(keyed(caught.join(loose, "paragraph", "left_semi"), False), "passage-contexts")
+    found = keys.join(shared(keys), "key").groupBy("_id", "first", "paragraph", "side").agg(
+        F.coalesce(F.max(F.when(F.col("least") < F.col("_id"), F.col("j"))), F.lit(0)).alias("gone"),
+        F.max_by("least", F.when(F.col("least") < F.col("_id"), F.col("j"))).alias("least"), F.max("j").alias("kept"),
+    )
+    rows = whole.join(loose, "paragraph", "left_anti").select(*found.columns).union(found)
+    piece = lambda i, near, far: F.struct(
+        F.col(i).alias("class_id"),
+        F.when(F.col("side") == 0, F.col("first") - F.col(far)).otherwise(F.col("first") + PARAGRAPH + near).alias("first"),
+        F.when(F.col("side") == 0, F.col("first") - near).otherwise(F.col("first") + PARAGRAPH + F.col(far)).alias("end"),
+    )
+    pieces = F.array(piece("least", F.lit(0), "gone"), piece("_id", F.col("gone"), "kept"))
+    return rows.select("_id", F.explode(pieces).alias("p")).select("_id", "p.*").where("class_id is not null and first < end")
+
+
 def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     """``id, group, rest, whole`` of the rarest shingles of ``sets`` ``(id, shingles)``.
 
@@ -154,8 +226,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Equal paragraphs are one from the start; others that share a band are linked where the Jaccard
     similarity of their five-word shingles is at least ``similarity``; a class is a component of
     links and its ``class_id`` the smallest id of a document with it. A class that documents of at
-    least two ids hold is repeated. Overlapping and touching paragraphs of a document whose classes
-    have one first holder make up a span. Null and short texts (under ``PARAGRAPH`` words) have no
+    least two ids hold is repeated. Equal paragraphs reach on to both sides, word by word, as far as
+    another document has the same words. Overlapping and touching pieces of a document that have one
+    first holder make up a span. Null and short texts (under ``PARAGRAPH`` words) have no
     paragraph, rows of one id are one document, rows without id have an id of their text's hash.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -188,12 +261,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = spread.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id"), "repeated")
-    caught = found.select("_id", "first", "paragraph").join(repeated, "paragraph")
-    order = Window.partitionBy("_id", "class_id").orderBy("first")
-    new = F.coalesce(F.col("first") > F.lag("first").over(order) + PARAGRAPH, F.lit(True)).cast("int")
-    numbered = caught.select("_id", "class_id", "first").distinct().withColumn("new", new).withColumn("span", F.sum("new").over(order))
+    caught = stage(found.join(repeated, "paragraph"), "passage-caught")
+    exact = spread.where("least < most").select(F.col("id").alias("paragraph"))
+    own_words = texts.dropDuplicates(["place"]).select("_id", "place", words)
+    occurrences = caught.select("place", "first", "paragraph").distinct().join(exact, "paragraph", "left_semi")
+    pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(own_words, occurrences))
+    order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("first") > reached, F.lit(True)).cast("int")
+    numbered = pieces.distinct().withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("_id", "class_id", "span").agg(
-        F.min("first").alias("first_word"), (F.max("first") - F.min("first") + PARAGRAPH).alias("n_words")
+        F.min("first").alias("first_word"), (F.max("end") - F.min("first")).alias("n_words")
     ).drop("span")
 
 

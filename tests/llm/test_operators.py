@@ -227,3 +227,29 @@ def test_near_dups_of_a_hot_template(spark):
     # a text is 0.86 like its twin and 0.79 like all others, weighed by log(1 + 400 / documents)
     classes = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(frame(spark, list(texts.items()))).collect()}
     assert classes == {i: i - i % 2 for i in texts}
+
+
+def test_passages_reach_the_ends_of_shared_runs(spark):
+    import random
+
+    draw = random.Random(3)
+    fresh = lambda n: [f"u{draw.random()}" for _ in range(n)]
+    common = [fresh(n) for n in (50, 57, 64, 100, 90)]
+    docs = {i: [w for _ in range(2) for part in (fresh(draw.randint(0, 45)), draw.choice(common)[: draw.randint(50, 100)]) for w in part] for i in range(30)}
+    docs[30] = docs[29]
+    got = passages.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()
+    runs = {}
+    for i, w in docs.items():
+        for at in range(len(w) - 49):
+            runs.setdefault(tuple(w[at : at + 50]), set()).add(i)
+    for i, w in docs.items():
+        spans = [(r["first_word"], r["first_word"] + r["n_words"], r["class_id"]) for r in got if r["_id"] == i]
+        for at in range(len(w) - 49):
+            holders = runs[tuple(w[at : at + 50])]
+            if len(holders) > 1:
+                for n in range(at, at + 50):
+                    assert any(a <= n < b for a, b, _ in spans)
+                    assert min(holders) == i or any(a <= n < b and c != i for a, b, c in spans)
+        seen = " | ".join(" ".join(v) for k, v in docs.items() if k != i)
+        whole = {n for at in range(len(w) - 21) if " ".join(w[at : at + 22]) in seen for n in range(at - 2, at + 24)}
+        assert {n for a, b, _ in spans for n in range(a, b)} <= whole  # a near paragraph has two other words at most
