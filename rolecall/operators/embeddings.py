@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.functions.text import has_text
 from rolecall.operators.dedupe import last_by_key
@@ -35,6 +36,51 @@ def parse_results(lines: DataFrame, position: str, line: str = "value") -> DataF
     return last_by_key(filled, ["url_hash"], position)
 
 
+#: What becomes of a result line: a vector, nothing, or a reject of one of three kinds.
+VECTOR_LINE, BLANK_LINE, REJECTS = "vector", "blank", ("malformed", "error", "no vector")
+
+
+def sort_result_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Every line with ``url_hash``, ``embedding`` and its ``outcome``; no line is left out.
+
+    A line that is not whole JSON of the expected types is malformed, also where its key could be read; one that
+    names an error message is an error; one without a key or with no or an empty vector has no vector.
+    """
+    form = T.StructType([*EMBEDDING_RESULT.fields, T.StructField("_damage", T.StringType())])
+    parsed = lines.withColumn("_r", F.from_json(line, form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damage"}))
+    key, vector = F.col("_r.custom_id"), F.get(F.col("_r.response.body.data"), F.lit(0))["embedding"]
+    outcome = (
+        F.when(~F.coalesce(has_text(F.col(line)), F.lit(False)), BLANK_LINE)
+        .when(F.col("_r").isNull() | F.col("_r._damage").isNotNull(), REJECTS[0])
+        .when(F.col("_r.error.message").isNotNull(), REJECTS[1])
+        .when(key.isNull() | (F.coalesce(F.size(vector), F.lit(0)) <= 0), REJECTS[2])
+        .otherwise(VECTOR_LINE)
+    )
+    sorted_lines = parsed.withColumn("outcome", outcome).withColumn("url_hash", key)
+    usable = F.when(F.col("outcome") == VECTOR_LINE, vector)
+    return sorted_lines.withColumn("embedding", usable).drop("_r")
+
+
+def batch_counters(lines: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per batch the lines read and what became of them; ``lines`` are sorted ones with their ``batch_id``.
+
+    ``lines = blank + malformed + error + no vector + superseded + updated + failed``: of equal keys of a batch the
+    last line counts as updated, where a posting has the key, or as failed, the others as superseded.
+    """
+    keys = lines.where(F.col("outcome") == VECTOR_LINE).groupBy("batch_id", "url_hash").agg(F.count("*").alias("_lines"))
+    matched = match_results(jobs, keys.select("url_hash").distinct()).where("matched").select("url_hash", F.lit(True).alias("_known"))
+    vectors = keys.join(matched, "url_hash", "left").groupBy("batch_id").agg(
+        (F.sum("_lines") - F.count("*")).alias("superseded"),
+        F.count("_known").alias("updated"),
+        F.count_if(F.col("_known").isNull()).alias("failed"),
+    )
+    others = [BLANK_LINE, *REJECTS]
+    outcomes = lines.groupBy("batch_id").agg(
+        F.count("*").alias("lines"), *[F.count_if(F.col("outcome") == o).alias(o.replace(" ", "_")) for o in others]
+    )
+    return outcomes.join(vectors, "batch_id", "left").na.fill(0, ["superseded", "updated", "failed"])
+
+
 def write_back(jobs: DataFrame, vectors: DataFrame, few_vectors: bool = False) -> DataFrame:
     """Postings with the new vector where there is one, else the one they had.
 

@@ -26,7 +26,6 @@ from rolecall.plans.inputs import (
     moment,
     postings,
 )
-from rolecall.plans.matching import _result_lines
 from rolecall.plans.pages import mixed_pages
 from rolecall.plans.registry import query
 from rolecall.schemas import COMPANY_MESSAGE
@@ -34,6 +33,7 @@ from rolecall.session import shared_path
 from rolecall.sources.readers import stream_json
 from rolecall.sources.writers import company_messages, job_batches
 from rolecall.streaming.jobs import (
+    BATCH_COUNTERS,
     JOB_DOCUMENT,
     QUEUED_JOB,
     RUN_COUNTERS,
@@ -41,19 +41,23 @@ from rolecall.streaming.jobs import (
     TOUCHED,
     HASHED_URL,
     IngestJob,
+    PollJob,
     ScrapeJob,
     UniqueJob,
-    WriteBackJob,
     company_stream,
     consume,
     current_vectors,
     document_stream,
     drain,
+    ledger,
     publish_stale,
-    result_stream,
+    poll_stream,
+    rejected_lines,
     unpack_documents,
 )
-from rolecall.streaming.tables import read_loads, write_load
+from rolecall.streaming.pages import PageStore
+from rolecall.streaming.seen import SeenUrls
+from rolecall.streaming.tables import read_committed, read_loads, write_load
 
 NOW = "2024-02-01 08:00:00"
 
@@ -145,9 +149,11 @@ def _scrape(spark: SparkSession, sf: str) -> tuple[str, str]:
         shared_path(spark, name) for name in ("companies", "scrape", "documents", "store", "checkpoint")
     )
     page = F.concat(F.lit("https://site.example.com/"), F.col("page_key"))
-    latest = mixed_pages(spark, sf).select(page.alias("url"), "html", F.lit(2).alias("landed"))
-    older = latest.select("url", F.lit("<p>old</p>").alias("html"), F.lit(1).alias("landed"))
-    pages = latest.unionByName(older)
+    latest = mixed_pages(spark, sf).select(page.alias("url"), "html", _now().alias("landed"))
+    older = latest.select("url", F.lit("<p>old</p>").alias("html"), (_now() - F.expr("INTERVAL 1 DAY")).alias("landed"))
+    pages = PageStore(shared_path(spark, "pages"), 16)
+    pages.land(latest)
+    pages.land(older)
     messages = latest.select(
         F.lit("x").alias("company_name"), F.lit("comeet.com").alias("domain"), F.col("url").alias("company_page_url")
     )
@@ -156,7 +162,7 @@ def _scrape(spark: SparkSession, sf: str) -> tuple[str, str]:
         F.md5(F.concat(F.lit("https://jobs.example.com/"), F.col("s_suppkey"))).alias("url_hash")
     )
     write_load(_as_stored(known), store, 0)
-    ScrapeJob(pages, store, root, out, _now(), "landed").run(company_stream(spark, queue), mark)
+    ScrapeJob(pages, store, root, out, _now()).run(company_stream(spark, queue), mark)
     return root, out
 
 
@@ -268,7 +274,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     schema = T.StructType([T.StructField("url", T.StringType())])
     for _ in range(2):
         postings(spark, sf).select("url").write.mode("append").json(queue)
-        UniqueJob(store).run(stream_json(spark, queue, schema), mark)
+        UniqueJob(SeenUrls(store)).run(stream_json(spark, queue, schema), mark)
     return read_loads(spark, store, HASHED_URL).select("url_hash")
 
 
@@ -291,42 +297,100 @@ def consumed(spark: SparkSession, sf: str) -> DataFrame:
     return read_loads(spark, sink, schema).groupBy("role").agg(F.count("*").alias("turns"))
 
 
-def _written_back(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """Result lines of all vectors landed and drained against the postings on file (all documents)."""
-    lines, store, vectors, counters, mark = (
-        shared_path(spark, name) for name in ("results", "store", "vectors", "counters", "checkpoint")
+#: States of the batches, by label, in two polls. Batch 7 completes but nothing landed of it; what is final stays so.
+POLLS = (
+    {0: "completed", 1: "completed", 2: "completed", 3: "completed", 4: "in_progress", 5: "failed", 6: "expired", 7: "completed", 8: "validating", 9: "finalizing"},
+    {0: "failed", 4: "completed", 5: "completed", 8: "failed", 9: "completed"},
+)
+_INGESTED = "label IN (0, 1, 2, 3, 4, 9)"
+
+
+def _landed_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Six lines per vector: the vector, a blank, the vector halved, a cut-off line, an error, and an answer without a vector."""
+    double = F.transform("embedding", lambda x: x.cast("double"))
+    half = F.transform("embedding", lambda x: x.cast("double") / 2)
+    key = F.col("vec_id").cast("string")
+
+    def result(*vectors):
+        data = F.array(*[F.struct(v.alias("embedding")) for v in vectors])
+        return F.to_json(F.struct(key.alias("custom_id"), F.struct(F.struct(data.alias("data")).alias("body")).alias("response")))
+
+    opening = F.concat(F.lit('{"custom_id":"'), key)
+    lines = F.array(
+        result(double), F.lit("  "), result(half), F.concat(opening, F.lit('","response":{"body":')),
+        F.concat(opening, F.lit('","error":{"message":"rate limit"}}')), F.concat(opening, F.lit('","response":{"body":{"data":[]}}}')),
+    )
+    rows = load(spark, sf, "embeddings")
+    batch = F.concat(F.lit("batch-"), F.col("label")).alias("batch_id")
+    return rows.where("label <> 7").select(batch, "vec_id", F.posexplode(lines).alias("n", "value"))
+
+
+def _polled(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Registered batches, one per label, polled twice; the results of a batch are on file before it completes."""
+    results, registry, polls, store, root, mark = (
+        shared_path(spark, name) for name in ("results", "registry", "polls", "store", "polled", "checkpoint")
     )
-    _result_lines(spark, sf).orderBy("pos").select("value").write.text(lines)
+    landed = _landed_results(spark, sf).repartition("batch_id").sortWithinPartitions("batch_id", "vec_id", "n")
+    landed.select("value", "batch_id").write.partitionBy("batch_id").text(results)
+    batches = load(spark, sf, "embeddings").select("label", F.concat(F.lit("batch-"), F.col("label")).alias("batch_id")).distinct()
+    entries = batches.select("batch_id", F.lit("processing").alias("status"), _now().alias("created_at"))
+    write_load(entries, f"{registry}/ledger", 0)
     keys = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url_hash"))
     write_load(_as_stored(keys), store, 0)
-    WriteBackJob(store, vectors, counters).run(result_stream(spark, lines), mark)
-    return vectors, counters
+    job = PollJob(registry, results, store, root)
+    for states in POLLS:
+        state = F.try_element_at(F.create_map(*[F.lit(x) for pair in states.items() for x in pair]), F.col("label").cast("int"))
+        asked = batches.select("batch_id", state.alias("status"))
+        asked.where("status IS NOT NULL").write.mode("append").json(polls)
+        job.run(poll_stream(spark, polls), mark)
+    return registry, root
 
 
 @query(
     "t8_write_back",
-    """SELECT d.doc_id, round(e.embedding[1]::DOUBLE / 2, 5) AS first FROM documents d
-    LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+    f"""SELECT d.doc_id, round(e.embedding[1]::DOUBLE / 2, 5) AS first FROM documents d
+    LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND {_INGESTED}""",
 )
 def written_back(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed result lines become the vectors of the postings; of equal keys the last line stays."""
-    vectors, _ = _written_back(spark, sf)
+    """Lines of completed batches become the vectors of the postings; of equal keys the last line stays."""
     jobs = load(spark, sf, "documents").select(
         "doc_id", F.col("doc_id").cast("string").alias("url_hash"), F.lit(None).cast("array<float>").alias("embedding")
     )
-    updated = write_back(jobs, current_vectors(spark, vectors))
+    updated = write_back(jobs, current_vectors(spark, _polled(spark, sf)[1]))
     return updated.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 
 @query(
     "t8_counters",
-    """SELECT count(d.doc_id) AS updated, count(*) - count(d.doc_id) AS failed FROM embeddings
-    LEFT JOIN documents d ON doc_id = vec_id""",
+    f"""SELECT 'batch-' || label AS batch_id, 6 * count(*) AS lines, count(*) AS blank, count(*) AS malformed, count(*) AS error,
+    count(*) AS no_vector, count(*) AS superseded, count(d.doc_id) AS updated, count(*) - count(d.doc_id) AS failed
+    FROM embeddings LEFT JOIN documents d ON doc_id = vec_id WHERE {_INGESTED} GROUP BY 1""",
 )
 def written_back_counters(spark: SparkSession, sf: str) -> DataFrame:
-    _, counters = _written_back(spark, sf)
-    schema = T.StructType([T.StructField("updated", T.LongType()), T.StructField("failed", T.LongType())])
-    return read_loads(spark, counters, schema).agg(F.sum("updated").alias("updated"), F.sum("failed").alias("failed"))
+    """What became of each line of the ingested batches."""
+    return read_committed(spark, _polled(spark, sf)[1], "counters", BATCH_COUNTERS).drop("load_id")
+
+
+@query(
+    "t8_ledger",
+    f"""SELECT DISTINCT 'batch-' || label AS batch_id, CASE WHEN {_INGESTED} THEN 'completed' WHEN label IN (5, 8) THEN 'failed'
+    ELSE 'processing' END AS status FROM embeddings""",
+)
+def polled_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """States after two polls: final ones stay, a completed batch without output is still open."""
+    return ledger(spark, *_polled(spark, sf)).select("batch_id", "status")
+
+
+@query(
+    "t8_rejects",
+    f"""WITH ingested AS (SELECT 'batch-' || label AS batch_id, '{{"custom_id":"' || vec_id AS opening FROM embeddings WHERE {_INGESTED})
+    SELECT batch_id, 'malformed' AS reason, opening || '","response":{{"body":' AS line FROM ingested
+    UNION ALL SELECT batch_id, 'error', opening || '","error":{{"message":"rate limit"}}}}' FROM ingested
+    UNION ALL SELECT batch_id, 'no vector', opening || '","response":{{"body":{{"data":[]}}}}}}' FROM ingested""",
+)
+def polled_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cut-off, erroneous or empty line of the ingested batches, as it came."""
+    return rejected_lines(spark, _polled(spark, sf)[1]).drop("load_id")
 
 
 @query(

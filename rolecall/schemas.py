@@ -68,4 +68,5 @@ EMBEDDING_RESULT = _struct(
     response=_struct(body=_struct(data=T.ArrayType(_struct(embedding=T.ArrayType(DBL))))),
     error=_struct(message=STR),
 )
+REMOTE_BATCH = _struct(batch_id=STR, status=STR)
 CV_VECTOR = _struct(embedding=VECTOR, model_name=STR, source_file=STR, text_length=LONG, timestamp=STR)

@@ -61,6 +61,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_batch_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Result lines that landed below ``batch_id=<id>``, with their batch and what orders them; none where none landed."""
+    order = ["file_path", "file_block_start"]
+    lines = spark.read.schema("value STRING, batch_id STRING").format("text")
+    try:
+        return lines.load(path).select("batch_id", "value", *[f"_metadata.{c}" for c in order])
+    except AnalysisException as error:
+        if not _is_absent(error):
+            raise
+        return spark.createDataFrame([], "batch_id STRING, value STRING, file_path STRING, file_block_start LONG")
+
+
 def with_line_order(lines: DataFrame) -> DataFrame:
     position: Column = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("row"))
     return lines.withColumn("pos", position).drop("file_modification_time", "file_path", "file_block_start")
@@ -79,9 +91,3 @@ def stream_json(spark: SparkSession, path: str, schema: T.StructType, files_per_
     """Queue of JSON documents as a stream; a broker topic takes its place in production."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
-
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
-    stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return stream.select(
-        "value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"
-    )

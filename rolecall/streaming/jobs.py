@@ -12,17 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolecall.functions.urls import url_hash
 from rolecall.operators.dedupe import first_by_key, last_by_key
-from rolecall.operators.embeddings import match_results, parse_results, request_lines, write_back_counters
+from rolecall.operators.embeddings import REJECTS, VECTOR_LINE, batch_counters, request_lines, sort_result_lines
 from rolecall.operators.extract import extract_jobs
-from rolecall.operators.joins import drop_known, is_small, small_side
+from rolecall.operators.joins import drop_known, is_small
 from rolecall.operators.lookup import stale
 from rolecall.operators.screening import kept_jobs, reject_counts, screen
-from rolecall.operators.tables import persist_jobs
+from rolecall.operators.tables import persist_jobs, route_batches
 from rolecall.operators.validate import check_jobs, valid_jobs
-from rolecall.schemas import BATCH_LEDGER, COMPANY_MESSAGE, JOB, RAW_JOB, VECTOR
-from rolecall.sources.readers import stream_json, stream_lines, with_line_order
+from rolecall.schemas import BATCH_LEDGER, COMPANY_MESSAGE, JOB, RAW_JOB, REMOTE_BATCH, VECTOR
+from rolecall.sources.readers import read_batch_lines, stream_json, with_line_order
 from rolecall.sources.writers import company_messages, job_batches
-from rolecall.streaming.tables import read_load, read_loads, write_load
+from rolecall.streaming.pages import LATEST, PageStore
+from rolecall.streaming.seen import SeenUrls
+from rolecall.streaming.tables import commit, last_commit, read_committed, read_load, read_loads, write_load
 
 STAGED_JOB = T.StructType(
     [T.StructField("source_url", T.StringType()), T.StructField("job_pos", T.LongType())]
@@ -40,7 +42,30 @@ JOB_DOCUMENT = T.StructType(
     [T.StructField("jobs", T.ArrayType(QUEUED_JOB)), T.StructField("source_url", T.StringType())]
 )
 STORED_JOB = T.StructType([*JOB.fields, T.StructField("embed_text", T.StringType())])
-STORED_VECTOR = T.StructType([T.StructField("url_hash", T.StringType()), T.StructField("embedding", VECTOR)])
+ROUTE = T.StructType(
+    [*BATCH_LEDGER.fields]
+    + [T.StructField(name, T.StringType()) for name in ("remote_status", "action", "next_status")]
+)
+RESULT_LINE = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("pos", T.StructType(
+            [T.StructField("file_path", T.StringType()), T.StructField("file_block_start", T.LongType()), T.StructField("row", T.LongType())]
+        )),
+        T.StructField("url_hash", T.StringType()),
+        T.StructField("embedding", VECTOR),
+        T.StructField("line", T.StringType()),
+        T.StructField("outcome", T.StringType()),
+    ]
+)
+BATCH_COUNTERS = T.StructType(
+    [T.StructField("batch_id", T.StringType())]
+    + [
+        T.StructField(name, T.LongType())
+        for name in ("lines", "blank", "malformed", "error", "no_vector", "superseded", "updated", "failed")
+    ]
+)
 
 
 def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -67,16 +92,15 @@ class ScrapeJob:
     """Company messages to batch documents of new, valid postings.
 
     Beside the ``queue`` of documents, ``root`` receives the scraped page URLs with their time and
-    one row of counters per micro-batch, which count page URLs. Of several pages of a URL the one with
-    the greatest ``landed`` is scraped. URLs whose page did not land, or landed empty, count as failed.
+    one row of counters per micro-batch, which count page URLs. Of several pages of a URL the one that
+    landed last is scraped. URLs whose page did not land, or landed empty, count as failed.
     """
 
-    pages: DataFrame
+    pages: PageStore
     store: str
     root: str
     queue: str
     as_of: Column
-    landed: str = "html"
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
@@ -90,7 +114,8 @@ class ScrapeJob:
         # the pages are counted in the pass that parses them
         seen = Observation()
         filled = F.coalesce(F.length("html") > 0, F.lit(False))
-        found = last_by_key(self.pages.join(small_side(wanted), "url", "left_semi"), ["url"], self.landed)
+        write_load(self.pages.latest(wanted), f"{self.root}/found", load_id)
+        found = self.pages.fetch(read_load(spark, f"{self.root}/found", load_id, LATEST))
         pages = found.select(F.col("url").alias("source_url"), "html")
         jobs = extract_jobs(pages.observe(seen, F.count_if(filled).alias("processed")))
         checked = valid_jobs(check_jobs(jobs)).withColumn("url_hash", url_hash(F.col("url")))
@@ -153,7 +178,7 @@ def unpack_documents(documents: DataFrame) -> DataFrame:
 class UniqueJob:
     """Postings to the URL hashes not seen before. The table, not stream state, remembers the old ones."""
 
-    store: str
+    store: SeenUrls
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
@@ -161,37 +186,97 @@ class UniqueJob:
     def handle(self, batch: DataFrame, load_id: int) -> None:
         hashed = batch.select("url", url_hash(F.col("url")).alias("url_hash"))
         unique = first_by_key(hashed, ["url_hash"], "url")
-        earlier = read_loads(batch.sparkSession, self.store, HASHED_URL, before=load_id)
-        write_load(drop_known(unique, earlier, "url_hash"), self.store, load_id)
+        self.store.remember(self.store.unseen(unique, load_id), load_id)
 
 
 @dataclass(frozen=True)
-class WriteBackJob:
-    """Landed result lines to stored vectors, with counters of matched and unknown keys."""
+class PollJob:
+    """Landed states of remote batches to stored vectors, rejected lines, counters and the next ledger state.
+
+    A batch is ``processing`` from its entry in the ledger of ``registry`` until a poll finds it completed with
+    landed results, or failed; both states are final. ``results`` holds the lines of each batch below
+    ``batch_id=<id>``; only folders of batches that complete now are read. A completed batch without a landed line
+    stays open. Of several states of a batch in one micro-batch the furthest counts.
+
+    A micro-batch writes ``routes`` (batch, action, next status), ``results`` (every line by its outcome) and
+    ``counters`` (per batch), then commits the three together. What was committed is not done again, what was
+    not is invisible.
+    """
 
+    registry: str
+    results: str
     store: str
-    vectors: str
-    counters: str
+    root: str
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
 
     def handle(self, batch: DataFrame, load_id: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_results(with_line_order(batch), "pos")
-        write_load(parsed.select("url_hash", F.col("embedding").cast(VECTOR)), self.vectors, load_id)
-        vectors = read_load(spark, self.vectors, load_id, STORED_VECTOR)
-        matches = match_results(read_loads(spark, self.store, STORED_JOB), vectors)
-        write_load(write_back_counters(matches), self.counters, load_id)
-
-
-def current_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Latest vector per posting over all loads."""
-    return last_by_key(read_loads(spark, path, STORED_VECTOR), ["url_hash"], "load_id").drop("load_id")
-
-
-def ledger(spark: SparkSession, root: str) -> DataFrame:
-    return read_loads(spark, f"{root}/ledger", BATCH_LEDGER).drop("load_id")
+        if last_commit(spark, self.root) >= load_id:
+            return
+        routed = route_batches(ledger(spark, self.registry, self.root, before=load_id), furthest_state(batch))
+        # what was not polled has nothing to route
+        polled = routed.where(F.col("remote_status").isNotNull()).select(*ROUTE.names)
+        write_load(polled, f"{self.root}/asked", load_id)
+        asked = read_load(spark, f"{self.root}/asked", load_id, ROUTE)
+
+        done = asked.where(F.col("action") == "ingest").select("batch_id", "created_at")
+        lines = lines_of(read_batch_lines(spark, self.results), done)
+        kept = sort_result_lines(lines).withColumn("line", F.when(F.col("outcome").isin(*REJECTS), F.col("value")))
+        write_load(kept.select(*[F.col(f.name).cast(f.dataType) for f in RESULT_LINE.fields]), f"{self.root}/results", load_id, parts=("outcome",))
+
+        read = read_load(spark, f"{self.root}/results", load_id, RESULT_LINE).select("batch_id", "url_hash", "outcome")
+        counted = batch_counters(read, read_loads(spark, self.store, STORED_JOB))
+        write_load(counted.select(*BATCH_COUNTERS.names), f"{self.root}/counters", load_id)
+
+        counters = read_load(spark, f"{self.root}/counters", load_id, BATCH_COUNTERS).select("batch_id", F.lit(True).alias("_landed"))
+        landed = asked.join(counters, "batch_id", "left")
+        waits = (F.col("action") == "ingest") & F.col("_landed").isNull()
+        routes = landed.withColumn("next_status", F.when(waits, F.col("status")).otherwise(F.col("next_status")))
+        routes = routes.withColumn("action", F.when(waits, F.lit("wait")).otherwise(F.col("action")))
+        write_load(routes.select(*ROUTE.names), f"{self.root}/routes", load_id)
+        commit(spark, self.root, load_id, ["results", "counters", "routes"])
+
+
+def lines_of(lines: DataFrame, batches: DataFrame) -> DataFrame:
+    """Lines of the given batches with their place. Few batches, counted in a written table, prune the folders read."""
+    if is_small(batches):
+        return with_line_order(lines.join(F.broadcast(batches), "batch_id"))
+    return with_line_order(lines).join(batches, "batch_id")  # a shuffle would mix the order
+
+
+def furthest_state(remote: DataFrame) -> DataFrame:
+    """One state per batch: failed or completed before any other, else the last in the order of names."""
+    final = F.col("status").isin("completed", "failed")
+    last = F.max_by("status", F.struct(final.alias("final"), F.col("status")))
+    return remote.where(F.col("batch_id").isNotNull() & F.col("status").isNotNull()).groupBy("batch_id").agg(last.alias("status"))
+
+
+def current_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Latest vector per posting over all committed polls: later polls first, then later batches, then later lines."""
+    results = read_committed(spark, root, "results", RESULT_LINE).where(F.col("outcome") == VECTOR_LINE)
+    latest = last_by_key(
+        results.select("url_hash", "embedding", F.struct("load_id", "created_at", "batch_id", "pos").alias("_at")), ["url_hash"], "_at"
+    )
+    return latest.select("url_hash", "embedding")
+
+
+def rejected_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The dead letters of all committed polls: batch, reason and the line as it came."""
+    results = read_committed(spark, root, "results", RESULT_LINE).where(F.col("outcome").isin(*REJECTS))
+    return results.select("batch_id", F.col("outcome").alias("reason"), "line", "load_id")
+
+
+def ledger(spark: SparkSession, registry: str, polls: str | None = None, before: int | None = None) -> DataFrame:
+    """Every registered batch with its state: processing, or what a committed poll made of it."""
+    entries = read_loads(spark, f"{registry}/ledger", BATCH_LEDGER).drop("load_id")
+    if polls is None:
+        return entries
+    final = read_committed(spark, polls, "routes", ROUTE, before).where(F.col("next_status") != F.col("status"))
+    final = final.select("batch_id", F.col("next_status").alias("_final"))
+    state = F.coalesce("_final", "status").alias("status")
+    return entries.join(final, "batch_id", "left").select("batch_id", state, "created_at")
 
 
 def company_stream(spark: SparkSession, queue: str) -> DataFrame:
@@ -202,5 +287,6 @@ def document_stream(spark: SparkSession, queue: str, files_per_trigger: int = 10
     return stream_json(spark, queue, JOB_DOCUMENT, files_per_trigger)
 
 
-def result_stream(spark: SparkSession, path: str) -> DataFrame:
-    return stream_lines(spark, path)
+def poll_stream(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
+    """Landed states of remote batches."""
+    return stream_json(spark, path, REMOTE_BATCH, files_per_trigger)

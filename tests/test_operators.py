@@ -63,7 +63,7 @@ def test_embedded_json(spark):
     assert set(got) == {(1, 0), (1, 1), (2, 0)}
     first = got[1, 0]
     assert (first.title, first.location, first.type_errors) == ("Dev", "TA, ISRAEL, (Remote)", ["department"])
-    assert first.description_map == {"req": "last"} and first.original_website_job_url == "https://b.com"
+    assert first.description_map == {"req": "last", "": "z"} and first.original_website_job_url == "https://b.com"
     assert got[1, 1].location == "Not specified" and got[1, 1].description_map == {}
     assert got[2, 0].title == "Card"
     report = site_report(spark.createDataFrame(pages, "id int, html string"))
