@@ -105,8 +105,8 @@ def match_results(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Result keys are unique; while they are few the stored postings are scanned, not shuffled.
     """
-    keys = vectors.select("url_hash")
-    known = jobs.select("url_hash").join(small_side(keys), "url_hash", "left_semi").distinct()
+    keys = small_side(vectors.select("url_hash"))
+    known = jobs.select("url_hash").join(keys, "url_hash", "left_semi").distinct()
     return keys.join(known.withColumn("_known", F.lit(True)), "url_hash", "left").select(
         "url_hash", F.coalesce("_known", F.lit(False)).alias("matched")
     )

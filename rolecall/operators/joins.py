@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolecall.session import cut_lineage
+
 SMALL_ROWS = 200_000
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Counted per split and summed, so no split's rows meet in one task."""
+    """Counted per split and summed, so no split's rows meet in one task. For written tables: a plan would run twice."""
     return df.count() <= rows
 
 
 def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint for a narrow table of at most ``rows`` rows; else a shuffled join that AQE may split."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """A narrow table, worked out once, with a broadcast hint if it has at most ``rows`` rows; else for a shuffled join."""
+    once = cut_lineage(df)
+    return F.broadcast(once) if is_small(once, rows) else once
 
 
 def drop_known(new: DataFrame, known: DataFrame, key: str, new_is_small: bool = False) -> DataFrame:

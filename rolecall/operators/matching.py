@@ -30,8 +30,11 @@ def top_matches(scored: DataFrame, position: str, limit: int = 10) -> DataFrame:
 
 
 def rank_all(scored: DataFrame, position: str) -> DataFrame:
-    """Every posting with its rank, by a spread-out sort."""
-    return number_rows(scored, _order(position), "rank")
+    """Every posting with its rank, by a spread-out sort of scores and positions; ``position`` is unique."""
+    ranks = number_rows(scored.select(position, SCORE), _order(position), "rank")
+    others = [c for c in scored.columns if c not in (position, SCORE)]
+    ranked = ranks.join(scored.select(position, *others), position) if others else ranks
+    return ranked.select(*scored.columns, "rank")
 
 
 def score_statistics(scored: DataFrame) -> DataFrame:

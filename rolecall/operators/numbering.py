@@ -10,6 +10,17 @@ from rolecall.session import cut_lineage
 _ROW_BITS = (1 << 33) - 1
 
 
+def number_keys(df: DataFrame, key: str, order_by: list[str], name: str, start: int | Column = 1) -> DataFrame:
+    """As ``number_rows``, for bulky rows with a unique key: only key and order are sorted and checkpointed.
+
+    The numbers then join the rows by their key; rows that a window or an aggregate over the key has placed
+    already do not move again.
+    """
+    narrow = df.select(key, *[c for c in order_by if c != key])
+    numbered = number_rows(narrow, list(order_by), name, start).select(key, name)
+    return df.join(numbered, key)
+
+
 def number_rows(df: DataFrame, order_by: list[Column | str], name: str, start: int | Column = 1) -> DataFrame:
     """Add consecutive numbers in a global order.
 

@@ -17,7 +17,7 @@ from rolecall.functions.urls import netloc, url_hash
 from rolecall.operators.dedupe import first_by_key, keep_one
 from rolecall.operators.dimensions import with_department_id, with_location_id
 from rolecall.operators.joins import drop_known, small_side
-from rolecall.operators.numbering import number_rows
+from rolecall.operators.numbering import number_keys, number_rows
 from rolecall.operators.validate import valid_states, with_raw_fields
 from rolecall.schemas import COMPANY, JOB
 
@@ -47,15 +47,18 @@ def mark_new(incoming: DataFrame, stored: DataFrame, key: str, position: str) ->
 
 
 def insert_companies(
-    companies: DataFrame, incoming: DataFrame, position: str, as_of: Column, new_is_small: bool = False
+    companies: DataFrame, incoming: DataFrame, position: str, as_of: Column, new_is_small: bool = False, first_id: int | None = None
 ) -> Change:
-    """Insert companies whose page URL is new; the first writer of a URL wins."""
+    """Insert companies whose page URL is new; the first writer of a URL wins.
+
+    Pass ``first_id`` where the highest id is known, from the last load; else the ids are scanned for it.
+    """
     required = F.col("company_name").isNotNull() & F.col("domain").isNotNull()
     usable = incoming.where(required & (F.coalesce("company_page_url", F.lit("")) != ""))
     fresh = drop_known(
         first_by_key(usable, ["company_page_url"], position), companies, "company_page_url", new_is_small
     )
-    numbered = number_rows(fresh, [position], "id", next_id(companies))
+    numbered = number_keys(fresh, "company_page_url", [position], "id", next_id(companies) if first_id is None else first_id)
     have = set(incoming.columns)
     source = F.col("source") if "source" in have else F.lit(DEFAULT_SOURCE)
     values = {
@@ -116,14 +119,15 @@ def insert_jobs(
     """The delta to append: postings whose URL is new, in stored form, with ids in insert order.
 
     The delta also carries ``embed_text``, the text to embed for each newly stored row. Known
-    and repeated URLs leave before the bulky columns are built or the reference joins run.
+    and repeated URLs leave before the bulky columns are built or the reference joins run. Pass
+    ``first_id`` where the highest id is known, from the last load; else the ids are scanned for it.
     """
     usable = incoming.where(F.col("title").isNotNull() & (F.coalesce("url", F.lit("")) != ""))
     hashed = usable.withColumn("url_hash", url_hash(F.col("url")))
     fresh = drop_known(first_by_key(hashed, ["url_hash"], position), stored, "url_hash", new_is_small)
     start = next_id(stored) if first_id is None else first_id
-    # numbered before the stored form is built, which repeats the bulky texts
-    numbered = number_rows(fresh.drop("url_hash"), [position], "id", start)
+    # only hashes and positions are sorted; the texts stay where the search for first copies has put them
+    numbered = number_keys(fresh, "url_hash", [position], "id", start).drop("url_hash")
     rows = job_rows(numbered, departments, department_synonyms, locations, location_synonyms, as_of)
     return rows.select(*JOB.names, "embed_text")
 

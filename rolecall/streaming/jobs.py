@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rolecall.functions.urls import url_hash
-from rolecall.operators.dedupe import first_by_key, last_by_key
+from rolecall.operators.dedupe import first_by_key
 from rolecall.operators.embeddings import REJECTS, VECTOR_LINE, batch_counters, request_lines, sort_result_lines
 from rolecall.operators.extract import extract_jobs
 from rolecall.operators.joins import drop_known, is_small
@@ -23,8 +23,9 @@ from rolecall.schemas import BATCH_LEDGER, COMPANY_MESSAGE, JOB, RAW_JOB, REMOTE
 from rolecall.sources.readers import read_batch_lines, stream_json, with_line_order
 from rolecall.sources.writers import company_messages, job_batches
 from rolecall.streaming.pages import LATEST, PageStore
+from rolecall.streaming.runs import Runs
 from rolecall.streaming.seen import SeenUrls
-from rolecall.streaming.tables import commit, last_commit, read_committed, read_load, read_loads, write_load
+from rolecall.streaming.tables import commit, last_commit, last_mark, read_committed, read_load, read_loads, write_load
 
 STAGED_JOB = T.StructType(
     [T.StructField("source_url", T.StringType()), T.StructField("job_pos", T.LongType())]
@@ -46,13 +47,20 @@ ROUTE = T.StructType(
     [*BATCH_LEDGER.fields]
     + [T.StructField(name, T.StringType()) for name in ("remote_status", "action", "next_status")]
 )
+RESULT_PLACE = T.StructType(
+    [
+        T.StructField("load", T.LongType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("file_block_start", T.LongType()),
+        T.StructField("row", T.LongType()),
+    ]
+)
 RESULT_LINE = T.StructType(
     [
         T.StructField("batch_id", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("pos", T.StructType(
-            [T.StructField("file_path", T.StringType()), T.StructField("file_block_start", T.LongType()), T.StructField("row", T.LongType())]
-        )),
+        T.StructField("at", RESULT_PLACE),
         T.StructField("url_hash", T.StringType()),
         T.StructField("embedding", VECTOR),
         T.StructField("line", T.StringType()),
@@ -134,7 +142,10 @@ class ScrapeJob:
 
 @dataclass(frozen=True)
 class IngestJob:
-    """Batch documents to stored postings, embedding requests and a ledger entry."""
+    """Batch documents to stored postings, embedding requests and a ledger entry.
+
+    Each load leaves its highest id in ``marks``, so that the next one need not look at stored ids.
+    """
 
     dimensions: dict[str, DataFrame]
     root: str
@@ -157,10 +168,12 @@ class IngestJob:
         kept = kept_jobs(screened).withColumn("_order", F.struct("source_url", "job_pos", "url"))
         earlier = read_loads(spark, self.store, STORED_JOB, before=load_id)
         delta = persist_jobs(
-            earlier, kept, "_order", as_of=self.as_of, new_is_small=is_small(kept), **self.dimensions
+            earlier, kept, "_order", as_of=self.as_of, new_is_small=is_small(kept),
+            first_id=last_mark(spark, f"{self.root}/marks", before=load_id) + 1, **self.dimensions,
         )
         write_load(delta, self.store, load_id, lookup=("url", "url_hash"))
         stored = read_load(spark, self.store, load_id, STORED_JOB)
+        write_load(stored.agg(F.max("id").alias("mark")), f"{self.root}/marks", load_id)
         write_load(request_lines(stored, self.model), f"{self.root}/requests", load_id, "text")
         entry = stored.limit(1).select(
             F.lit(f"batch-{load_id}").alias("batch_id"), F.lit("processing").alias("status"),
@@ -200,13 +213,14 @@ class PollJob:
 
     A micro-batch writes ``routes`` (batch, action, next status), ``results`` (every line by its outcome) and
     ``counters`` (per batch), then commits the three together. What was committed is not done again, what was
-    not is invisible.
+    not is invisible. Vectors of several polls are merged to runs, ``fan`` at a time.
     """
 
     registry: str
     results: str
     store: str
     root: str
+    fan: int = 8
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         drain(stream, self.handle, checkpoint)
@@ -224,8 +238,11 @@ class PollJob:
         done = asked.where(F.col("action") == "ingest").select("batch_id", "created_at")
         lines = lines_of(read_batch_lines(spark, self.results), done)
         kept = sort_result_lines(lines).withColumn("line", F.when(F.col("outcome").isin(*REJECTS), F.col("value")))
+        place = F.struct(F.lit(load_id).alias("load"), "created_at", "batch_id", "pos.*")
+        kept = kept.withColumn("at", place)
         write_load(kept.select(*[F.col(f.name).cast(f.dataType) for f in RESULT_LINE.fields]), f"{self.root}/results", load_id, parts=("outcome",))
 
+        vector_runs(self.root, self.fan).merge(spark, load_id)
         read = read_load(spark, f"{self.root}/results", load_id, RESULT_LINE).select("batch_id", "url_hash", "outcome")
         counted = batch_counters(read, read_loads(spark, self.store, STORED_JOB))
         write_load(counted.select(*BATCH_COUNTERS.names), f"{self.root}/counters", load_id)
@@ -253,13 +270,16 @@ def furthest_state(remote: DataFrame) -> DataFrame:
     return remote.where(F.col("batch_id").isNotNull() & F.col("status").isNotNull()).groupBy("batch_id").agg(last.alias("status"))
 
 
-def current_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Latest vector per posting over all committed polls: later polls first, then later batches, then later lines."""
-    results = read_committed(spark, root, "results", RESULT_LINE).where(F.col("outcome") == VECTOR_LINE)
-    latest = last_by_key(
-        results.select("url_hash", "embedding", F.struct("load_id", "created_at", "batch_id", "pos").alias("_at")), ["url_hash"], "_at"
-    )
-    return latest.select("url_hash", "embedding")
+def vector_runs(root: str, fan: int) -> Runs:
+    return Runs(f"{root}/results", f"{root}/vectors", RESULT_LINE, "url_hash", "at", f"outcome = '{VECTOR_LINE}'", fan)
+
+
+def current_vectors(spark: SparkSession, root: str, fan: int = 8) -> DataFrame:
+    """Latest vector per posting over all committed polls: later polls first, then later batches, then later lines.
+
+    ``fan`` must be that of the job. Lines that gave no vector are not read.
+    """
+    return vector_runs(root, fan).current(spark, last_commit(spark, root)).select("url_hash", "embedding")
 
 
 def rejected_lines(spark: SparkSession, root: str) -> DataFrame:

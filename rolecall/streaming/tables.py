@@ -59,3 +59,9 @@ def read_committed(spark: SparkSession, root: str, table: str, schema: T.StructT
     latest = last_commit(spark, root)
     bound = latest + 1 if before is None else min(before, latest + 1)
     return read_loads(spark, f"{root}/{table}", schema, before=bound)
+
+
+def last_mark(spark: SparkSession, path: str, before: int) -> int:
+    """The highest id that loads before the given one have given out, or 0; one row a load is read."""
+    marks = read_loads(spark, path, T.StructType([T.StructField("mark", T.LongType())]), before)
+    return marks.agg(F.coalesce(F.max("mark"), F.lit(0))).first()[0]

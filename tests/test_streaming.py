@@ -6,6 +6,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall import reference_data
 from rolecall.session import shared_path
@@ -22,6 +23,7 @@ from rolecall.streaming.jobs import (
     unpack_documents,
 )
 from rolecall.streaming.pages import LATEST, PageStore
+from rolecall.streaming.runs import Runs, spans
 from rolecall.streaming.seen import SeenUrls
 from rolecall.streaming.tables import read_committed, read_load, read_loads, write_load
 
@@ -112,7 +114,7 @@ def polls(spark, tmp_path):
     stored = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "url_hash string")
     fields = [(F.col(f.name) if f.name == "url_hash" else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED_JOB.fields]
     write_load(stored.select(*fields), f"{root}/jobs", 0)
-    return PollJob(f"{root}/registry", str(results), f"{root}/jobs", f"{root}/polled")
+    return PollJob(f"{root}/registry", str(results), f"{root}/jobs", f"{root}/polled", 2)
 
 
 def states(spark, **status):
@@ -120,7 +122,7 @@ def states(spark, **status):
 
 
 def tables_of(spark, job):
-    vectors = {r.url_hash: r.embedding for r in current_vectors(spark, job.root).collect()}
+    vectors = {r.url_hash: r.embedding for r in current_vectors(spark, job.root, job.fan).collect()}
     rejects = sorted((r.batch_id, r.reason) for r in rejected_lines(spark, job.root).collect())
     counters = {r[0]: tuple(r)[1:-1] for r in read_committed(spark, job.root, "counters", BATCH_COUNTERS).collect()}
     return vectors, rejects, counters, {r.batch_id: r.status for r in ledger(spark, job.registry, job.root).collect()}
@@ -145,6 +147,7 @@ def test_polls(spark, polls):
     )
     # every line is in one counter
     assert all(row[0] == sum(row[1:]) for row in after[2].values())
+    assert spark.read.parquet(f"{polls.root}/vectors").count() == 3  # both polls in one run
     polls.handle(states(spark, b="failed"), 1)  # committed already
     assert tables_of(spark, polls) == after
 
@@ -208,3 +211,29 @@ def test_pages_are_read_by_bucket_and_day(spark):
     filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
     assert "day" in filters and "bucket" in filters
     assert store.fetch(latest.where("false")).collect() == []
+
+
+def test_spans():
+    assert [b - a for a, b in spans(27, 4)] == [16, 4, 4, 1, 1, 1]
+    assert spans(0, 2) == [] and spans(8, 2) == [(0, 8)]
+    for loads in range(1, 200):
+        runs = spans(loads, 3)
+        assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == loads
+        assert len(runs) <= 2 * len(str(loads)) * 3
+
+
+def test_runs_keep_the_last_rows(spark):
+    root = shared_path(spark, "runs")
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.LongType()), T.StructField("kind", T.StringType())])
+    runs = Runs(f"{root}/loads", f"{root}/merged", schema, "key", "at", "kind = 'good'", 2)
+    assert runs.current(spark, -1).collect() == []
+    want = {}
+    for load in range(6):
+        rows = [(f"k{n}", 100 * load + n, "good" if (n + load) % 5 else "bad") for n in range(load % 3, 8, 1 + load % 2)]
+        want.update({key: at for key, at, kind in rows if kind == "good"})
+        write_load(spark.createDataFrame(rows, schema), runs.loads, load)
+        for _ in range(2):  # a replay merges the same again
+            runs.merge(spark, load)
+        assert {r.key: r["at"] for r in runs.current(spark, load).collect()} == want
+    folders = {line.split("run=")[1][:3] for line in runs.current(spark, 5).inputFiles() if "run=" in line}
+    assert folders == {"0-4", "4-6"} and len(runs.current(spark, 5).inputFiles()) <= 2 * 8
