@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions.text import stable_job_id
+from rolecall.session import cut_lineage
 
 
 def distribution(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
@@ -27,10 +28,13 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     ).select("column", "value", "rows")
 
 
-def verify_tables(tables: dict[str, DataFrame | None], required: dict[str, list[str]] | None = None) -> DataFrame:
+def verify_tables(
+    tables: dict[str, DataFrame | None], required: dict[str, list[str]] | None = None, keys: dict[str, list[str]] | None = None
+) -> DataFrame:
     """One row per table: present, row count, missing columns, one sample row as JSON.
 
-    The report is as long as the list of names; each table is counted where it lies.
+    The report is as long as the list of names; each table is read once, by one aggregate. The sample is the row
+    of the least values of the columns in ``keys`` (all columns by default) and shows these.
     """
     rows = []
     spark = next(df for df in tables.values() if df is not None).sparkSession
@@ -43,10 +47,10 @@ def verify_tables(tables: dict[str, DataFrame | None], required: dict[str, list[
         else:
             lacking = [c for c in (required or {}).get(name, []) if c not in df.columns]
             error = F.lit(f"missing columns: {', '.join(lacking)}") if lacking else F.lit(None).cast("string")
-            sample = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-            row = df.agg(F.count("*").alias("rows")).select(
+            shown = F.struct(*[F.col(f"`{c}`") for c in (keys or {}).get(name, df.columns)])
+            row = df.agg(F.count("*").alias("rows"), F.min(shown).alias("_least")).select(
                 F.lit(name).alias("table"), F.lit(True).alias("present"), "rows", error.alias("error"),
-                df.limit(1).select(sample).scalar().alias("sample"),
+                F.to_json("_least").alias("sample"),
             )
         rows.append(row)
     return reduce(DataFrame.unionByName, rows)
@@ -72,11 +76,11 @@ def digest(ranked: DataFrame) -> DataFrame:
         F.format_string("   Highlights: %s", F.array_join("highlights", ", ")),
     )
     line = F.struct(F.col("rank").cast("long").alias("rank"), block.alias("value"))
-    # the few ranked rows are gathered once, so the ranking behind them runs once
-    lines = ranked.agg(F.collect_list(line).alias("lines"))
-    title = F.concat(F.lit("Daily matched jobs ("), F.size("lines").cast("string"), F.lit(")"))
-    header = F.struct(F.lit(0).cast("long").alias("rank"), title.alias("value"))
-    return lines.select(F.inline(F.array_sort(F.concat(F.array(header), F.col("lines")))))
+    # written once, so that the ranking behind it runs once; nothing is gathered
+    lines = cut_lineage(ranked.select(line.alias("line")).select("line.*"))
+    title = F.concat(F.lit("Daily matched jobs ("), F.count("*").cast("string"), F.lit(")"))
+    header = lines.agg(title.alias("value")).select(F.lit(0).cast("long").alias("rank"), "value")
+    return header.unionByName(lines).orderBy("rank")
 
 
 def export_rows(jobs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from rolecall.operators.joins import drop_known, small_side
 from rolecall.operators.numbering import number_keys, number_rows
 from rolecall.operators.validate import valid_states, with_raw_fields
 from rolecall.schemas import COMPANY, JOB
+from rolecall.session import cut_lineage
 
 # Defaults of the stored columns.
 DEFAULT_SOURCE = "google_serper"
@@ -39,11 +40,16 @@ def next_id(table: DataFrame) -> int:
 
 
 def mark_new(incoming: DataFrame, stored: DataFrame, key: str, position: str) -> DataFrame:
-    """Incoming rows with ``is_new``: first of its key and not stored yet. Rows without a key are not new."""
-    usable = F.coalesce(F.col(key), F.lit("")) != ""
-    winners = first_by_key(incoming.where(usable).select(key, position), [key], position)
-    winners = drop_known(winners, stored, key).select(position, key, F.lit(True).alias("_won"))
-    return incoming.join(winners, [position, key], "left").select(*incoming.columns, "_won").withColumn("is_new", F.coalesce("_won", F.lit(False))).drop("_won")
+    """Incoming rows with ``is_new``: first of its key and not stored yet. Rows without a key are not new.
+
+    Of rows that share key and position one is new: rows are worked out and told apart once, before they meet.
+    """
+    rows = cut_lineage(incoming.withColumn("_row", F.monotonically_increasing_id()))
+    usable = rows.where(F.coalesce(F.col(key), F.lit("")) != "")
+    winners = first_by_key(usable.select(key, F.struct(position, "_row").alias("_at")), [key], "_at")
+    won = drop_known(winners, stored, key).select(F.col("_at._row").alias("_row"), F.lit(True).alias("is_new"))
+    marked = rows.join(won, "_row", "left").select(*incoming.columns, "is_new")
+    return marked.withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 def insert_companies(

@@ -9,9 +9,9 @@ from rolecall.operators import discovery, tables
 from rolecall.plans.inputs import load, moment, shown, shown_sql
 from rolecall.plans.registry import query
 from rolecall.plans.scalars import NETLOC_SQL
-from rolecall.schemas import LEGACY_COMPANY
 from rolecall.session import shared_path
-from rolecall.sources.writers import write_json
+from rolecall.sources.readers import read_legacy_companies
+from rolecall.sources.writers import write_json_arrays
 
 
 def _result_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +103,7 @@ def search_log(spark: SparkSession, sf: str) -> DataFrame:
      AS discovered_at FROM customer) c""",
 )
 def legacy_companies(spark: SparkSession, sf: str) -> DataFrame:
-    """Old records landed as JSON, read back, renamed, epoch seconds to times."""
+    """Old records landed as JSON arrays, read back, renamed, epoch seconds to times."""
     path = shared_path(spark, "legacy")
     old = load(spark, sf, "customer").select(
         F.col("c_name").alias("company_name"), F.lit("comeet.com").alias("domain"),
@@ -111,8 +111,7 @@ def legacy_companies(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("t").alias("title"), (F.lit(1704067200) + F.col("c_nationkey")).cast("double").alias("discovered_at"),
         F.lit(None).cast("double").alias("last_scraped"),
     )
-    write_json(old, path)
-    landed = spark.read.schema(LEGACY_COMPANY).json(path)
-    found = discovery.legacy_companies(landed)
+    write_json_arrays(old, path)
+    found = discovery.legacy_companies(read_legacy_companies(spark, path))
     utc = F.to_utc_timestamp("discovered_at", F.current_timezone())
     return found.withColumn("discovered_at", utc).select("company_name", "company_page_url", shown("discovered_at"))

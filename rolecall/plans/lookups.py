@@ -191,6 +191,18 @@ def top_departments(spark: SparkSession, sf: str) -> DataFrame:
     return named.withColumnRenamed("jobs", "rows").orderBy(F.col("rows").desc(), "canonical_name").limit(3)
 
 
+@query(
+    "a15_top_locations",
+    f"""WITH {NORMALISED_SQL} SELECT canonical_name, count(*) AS rows FROM normalised JOIN locations l
+    ON l.id = location_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
+)
+def top_locations(spark: SparkSession, sf: str) -> DataFrame:
+    dims = seed_dimensions(spark)
+    jobs = dimensions.with_location_id(postings(spark, sf), dims["locations"], dims["location_synonyms"])
+    named = dimensions.rolled_up(jobs, dims["locations"], "location_id", "canonical_name")
+    return named.withColumnRenamed("jobs", "rows").orderBy(F.col("rows").desc(), "canonical_name").limit(5)
+
+
 @query(
     "a15_top_companies",
     f"""WITH {ORDER_JOBS_SQL} SELECT company_name, count(*) AS rows FROM order_jobs GROUP BY 1
@@ -350,6 +362,25 @@ def auto_created(spark: SparkSession, sf: str) -> DataFrame:
     return dimensions.auto_create(seed_dimensions(spark)["departments"], unknown)
 
 
+@query(
+    "d6_auto_create_locations",
+    f"""WITH {NORMALISED_SQL}, heads AS (SELECT trim(string_split(location, ',')[1]) AS name FROM normalised WHERE location_id IS NULL
+     UNION ALL SELECT 'City of ' || n_name FROM nation), unknown AS (SELECT DISTINCT name FROM heads WHERE name <> ''
+     AND name NOT IN (SELECT canonical_name FROM locations))
+    SELECT id::BIGINT AS id, canonical_name, country, region FROM locations
+    UNION ALL SELECT (SELECT max(id) FROM locations) + row_number() OVER (ORDER BY name), name, NULL, NULL FROM unknown""",
+)
+def auto_created_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Places that no reference row matches: those of the postings, and a city per nation."""
+    places = seed_dimensions(spark)["locations"]
+    unknown = dimensions.unresolved(_normalised(spark, sf), "location", "location_id", head=True)
+    cities = load(spark, sf, "nation").select(
+        F.concat(F.lit("City of "), F.col("n_name"), F.lit(", XX")).alias("location"), F.lit(None).cast("long").alias("location_id")
+    )
+    more = dimensions.unresolved(cities, "location", "location_id", head=True)
+    return dimensions.auto_create(places, unknown.unionByName(more))
+
+
 @query(
     "s14_seed_coverage",
     f"""WITH {NORMALISED_SQL}, named AS (SELECT coalesce(canonical_name, '-') AS name, pos FROM normalised
@@ -367,18 +398,28 @@ def seed_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return named.select(F.coalesce("canonical_name", F.lit("-")).alias("name"), "jobs")
 
 
-_TABLES = ("customer", "documents", "events", "lineitem", "orders", "pages", "part")
+_SAMPLES = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name"], "customer": ["c_custkey", "c_name"],
+    "supplier": ["s_suppkey", "s_name"], "part": ["p_partkey", "p_name"], "orders": ["o_orderkey", "o_orderstatus"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id", "event_type"], "documents": ["doc_id", "lang", "source"],
+    "embeddings": ["vec_id", "label"], "pages": ["page_id", "url"], "benchmark": ["item_id"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role"],
+}
+
+
+def _table_sql(name: str, columns: list[str]) -> str:
+    shown = ", ".join(f"'{c}': {c}" for c in columns)
+    return f"""SELECT '{name}' AS "table", true AS present, (SELECT count(*) FROM {name}) AS rows, CAST(NULL AS VARCHAR) AS error,
+     (SELECT CAST(to_json({{{shown}}}) AS VARCHAR) FROM {name} ORDER BY {", ".join(columns)} LIMIT 1) AS sample"""
 
 
 @query(
     "a7_verify_tables",
-    " UNION ALL ".join(
-        f"""SELECT '{t}' AS "table", true AS present, count(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM {t}"""
-        for t in _TABLES
-    )
-    + " UNION ALL SELECT 'salaries', false, 0, 'table salaries is missing'",
+    " UNION ALL ".join(_table_sql(*item) for item in _SAMPLES.items())
+    + " UNION ALL SELECT 'salaries', false, 0, 'table salaries is missing', NULL",
 )
 def verified(spark: SparkSession, sf: str) -> DataFrame:
-    tables: dict[str, DataFrame | None] = {name: load(spark, sf, name) for name in _TABLES}
+    """All given tables and one that is not there."""
+    tables: dict[str, DataFrame | None] = {name: load(spark, sf, name) for name in _SAMPLES}
     tables["salaries"] = None
-    return reports.verify_tables(tables, {"pages": ["url", "html"]}).drop("sample")
+    return reports.verify_tables(tables, {"pages": ["url", "html"]}, _SAMPLES)

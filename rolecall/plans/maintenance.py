@@ -272,6 +272,41 @@ def add_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     return tables.add_synonyms(empty, _supplier_dimension(spark, sf), offered, "supplier_id").snapshot
 
 
+@query(
+    "m7_refused",
+    """WITH one AS (SELECT arg_min(s_name, s_suppkey) AS name, min(s_suppkey) AS id FROM supplier)
+    SELECT 'insert' AS change, NULL::BIGINT AS id, s_name AS name FROM supplier UNION ALL SELECT 'insert', NULL, NULL FROM nation
+    UNION ALL SELECT 'update', s_suppkey, name FROM supplier, one WHERE s_suppkey <> id
+    UNION ALL SELECT 'update', n_nationkey, NULL FROM nation
+    UNION ALL SELECT 'synonym', -1 - s_suppkey, 'S ' || s_suppkey FROM supplier UNION ALL SELECT 'synonym', s_suppkey, NULL FROM supplier""",
+)
+def refused(spark: SparkSession, sf: str) -> DataFrame:
+    """What each change refuses: known and blank names, the name of another row, synonyms of unknown rows and blank ones."""
+    dimension, supplier = _supplier_dimension(spark, sf), load(spark, sf, "supplier")
+    key, nations = F.col("s_suppkey"), load(spark, sf, "nation")
+    blank = nations.select(F.lit("  ").alias("canonical_name"))
+    fresh = supplier.select(F.concat(F.lit("new "), F.col("s_name")).alias("canonical_name"))
+    inserted = tables.insert_dimension(dimension, dimension.select("canonical_name").unionByName(blank).unionByName(fresh)).rows
+    first = supplier.agg(F.min_by("s_name", "s_suppkey")).scalar()
+    changes = supplier.select(key.alias("id"), first.alias("canonical_name"), F.lit("c").alias("category")).unionByName(
+        nations.select(F.col("n_nationkey").alias("id"), F.lit(" ").alias("canonical_name"), F.lit("c").alias("category"))
+    )
+    updated = tables.update_dimension(dimension, changes).rows
+    named = F.concat(F.lit("S "), key)
+    offered = supplier.select(F.inline(F.array(
+        F.struct(named.alias("synonym"), (-key - 1).alias("supplier_id")), F.struct(F.lit(" ").alias("synonym"), key.alias("supplier_id")),
+        F.struct(F.concat(F.lit("known "), key).alias("synonym"), key.alias("supplier_id")),
+    )))
+    empty = spark.createDataFrame([], "id BIGINT, synonym STRING, supplier_id BIGINT")
+    added = tables.add_synonyms(empty, dimension, offered, "supplier_id").rows
+    tagged = lambda change, rows, id_, name: rows.select(F.lit(change).alias("change"), id_.cast("long").alias("id"), F.col(name).alias("name"))
+    return (
+        tagged("insert", inserted, F.lit(None), "canonical_name")
+        .unionByName(tagged("update", updated, F.col("id"), "canonical_name"))
+        .unionByName(tagged("synonym", added, F.col("supplier_id"), "synonym"))
+    )
+
+
 @query(
     "m8_delete_dimension",
     """WITH doomed AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0),

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolecall.functions.text import squeeze
+from rolecall.functions.text import cut, squeeze
 from rolecall.operators import embeddings, matching, reports
 from rolecall.operators.joins import is_small
 from rolecall.operators.screening import above_score
 from rolecall.plans.inputs import SCORED_SQL, cv_row, load, moment, shown, shown_sql
 from rolecall.plans.registry import query
 from rolecall.session import shared_path
-from rolecall.sources.readers import read_cv, read_json_array, read_table
-from rolecall.sources.writers import export_json, write_json, write_lines, write_report, write_vectors
+from rolecall.sources.readers import read_cv, read_jobs, read_json_array, read_table
+from rolecall.sources.writers import export_json, write_json, write_json_arrays, write_lines, write_report, write_vectors
 
 MODEL = "text-embedding-small"
 
@@ -68,6 +68,19 @@ def formats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "p12_cuts",
+    "SELECT doc_id, md5(left(text, 500)) AS head, md5(left(text, 200)) AS snippet, length(text) AS text_length FROM documents",
+)
+def cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a report shows of a text, and how long the text is."""
+    rows = load(spark, sf, "documents")
+    text = F.col("text")
+    return rows.select(
+        "doc_id", F.md5(cut(text, 500)).alias("head"), F.md5(cut(text, 200)).alias("snippet"), F.length(text).cast("long").alias("text_length")
+    )
+
+
 @query(
     "d2_min_score",
     f"WITH {SCORED_SQL} SELECT vec_id FROM scored WHERE similarity_score >= 0.6",
@@ -257,16 +270,18 @@ def ranked_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s6_export_matches",
-    f"WITH {SCORED_SQL} SELECT vec_id, 'Team ' || label AS company_name, round(similarity_score, 6) AS score, 9::BIGINT AS columns FROM scored",
+    f"""WITH {SCORED_SQL} SELECT vec_id, 'Team ' || label AS company_name, round(similarity_score, 6) AS score,
+    'vec_id,title,company_name,location,url,highlights,description,similarity_score' AS columns FROM scored""",
 )
 def export_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Scored postings without vector and full text, through JSON."""
     path = shared_path(spark, "matches")
-    rows = matching.for_export(_job_matches(spark, sf)).withColumn("columns", F.lit(9).cast("long"))
-    write_json(rows, path)
-    schema = "vec_id BIGINT, company_name STRING, similarity_score DOUBLE, columns BIGINT"
-    back = spark.read.schema(schema).json(path)
-    return back.select("vec_id", "company_name", F.round(matching.SCORE, 6).alias("score"), "columns")
+    write_json(matching.for_export(_job_matches(spark, sf)), path)
+    lines = spark.read.text(path)
+    record = F.from_json("value", "vec_id BIGINT, company_name STRING, similarity_score DOUBLE")
+    columns = F.array_join(F.json_object_keys("value"), ",").alias("columns")  # what each record really has
+    back = lines.select(record.alias("r"), columns)
+    return back.select("r.vec_id", "r.company_name", F.round("r.similarity_score", 6).alias("score"), "columns")
 
 
 @query(
@@ -343,6 +358,25 @@ def seen_store(spark: SparkSession, sf: str) -> DataFrame:
     return reports.remember(seen, jobs, moment("2024-02-01 00:00:00")).select("job_id", shown("first_seen"))
 
 
+@query(
+    "s3_first_jobs",
+    """SELECT row_number() OVER (ORDER BY doc_id) AS place, doc_id, md5(text) AS text, source FROM documents
+    ORDER BY doc_id LIMIT 150""",
+)
+def first_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents landed as several array files in order of their ids; the first records, with their places."""
+    path = shared_path(spark, "job-files")
+    docs = load(spark, sf, "documents").select("doc_id", "text", "source")
+    write_json_arrays(docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    taken = read_jobs(spark, path, docs.schema, 150)
+    # records before this one: those of earlier files, all of which are taken, and the index in its own
+    earlier = taken.groupBy("file").agg(F.count("*").alias("_n")).select(
+        "file", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    place = (F.col("_before") + F.col("index") + 1).alias("place")
+    return taken.join(earlier, "file").select(place, "doc_id", F.md5("text").alias("text"), "source")
+
+
 @query("s2_json_arrays", "SELECT doc_id, md5(text) AS text, source FROM documents")
 def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
     """Landed as JSON array files of at most 500 records each, read back record by record."""

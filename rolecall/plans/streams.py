@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.functions.urls import url_hash
 from rolecall.operators import tables
-from rolecall.operators.dimensions import with_department_id, with_location_id
 from rolecall.operators.embeddings import write_back
-from rolecall.operators.screening import kept_jobs, screen
 from rolecall.plans.inputs import (
     COMPANIES_SQL,
     LATIN_LETTERS,
@@ -30,8 +27,8 @@ from rolecall.plans.pages import mixed_pages
 from rolecall.plans.registry import query
 from rolecall.schemas import COMPANY_MESSAGE
 from rolecall.session import shared_path
-from rolecall.sources.readers import stream_json
-from rolecall.sources.writers import company_messages, job_batches
+from rolecall.sources.readers import read_json_array, stream_json
+from rolecall.sources.writers import company_messages, job_batches, write_json_arrays
 from rolecall.streaming.jobs import (
     BATCH_COUNTERS,
     JOB_DOCUMENT,
@@ -212,42 +209,24 @@ _KEPT_SQL = f"""WITH {NORMALISED_SQL}, bodies AS (SELECT *, title || ' ' || desc
  AND coalesce(lower(trim(department)) <> 'general', true))"""
 
 
-def _ingest(spark: SparkSession, sf: str, runs: int = 1) -> str:
-    """Drain the published postings into a fresh store."""
+def _ingest(spark: SparkSession, sf: str, runs: int = 1, files: int = 10) -> str:
+    """Drain the published postings into a fresh store, so many files a micro-batch."""
     root, mark, queue = shared_path(spark, "store"), shared_path(spark, "checkpoint"), _publish(spark, sf)
     job = IngestJob(dimensions(spark), root, "text-embedding-small", _now(), {"block": LATIN_LETTERS})
     for _ in range(runs):
-        job.run(document_stream(spark, queue), mark)
+        job.run(document_stream(spark, queue, files), mark)
     return root
 
 
 @query(
     "t6_ingest",
-    f"""{_KEPT_SQL} SELECT md5(url) AS url_hash, md5(min(description_text)) AS description,
-    CASE WHEN count(DISTINCT coalesce(department_id, 0)) = 1 THEN min(department_id) END AS department_id,
-    CASE WHEN count(DISTINCT coalesce(location_id, 0)) = 1 THEN min(location_id) END AS location_id
-    FROM kept GROUP BY url""",
+    f"""{_KEPT_SQL} SELECT md5(url) AS url_hash, md5(description_text) AS description, department_id, location_id FROM kept
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY company_name, pos) = 1""",
 )
 def ingested(spark: SparkSession, sf: str) -> DataFrame:
-    """All stored postings. Ids show where the copies of a posting agree, whichever copy came first."""
-    stored = read_loads(spark, f"{_ingest(spark, sf)}/jobs", STORED_JOB)
-    rows = stored.join(_agreement(spark, sf), "url_hash")
-    shown_id = lambda name: F.when(F.col(f"one_{name}"), F.col(name)).alias(name)
-    return rows.select(
-        "url_hash", F.md5("description").alias("description"), shown_id("department_id"), shown_id("location_id")
-    )
-
-
-def _agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Per posting, whether its copies agree on the reference ids."""
-    dims = dimensions(spark)
-    jobs = kept_jobs(screen(postings(spark, sf), block=LATIN_LETTERS))
-    jobs = with_department_id(jobs, dims["departments"], dims["department_synonyms"])
-    jobs = with_location_id(jobs, dims["locations"], dims["location_synonyms"])
-    value = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return jobs.groupBy(url_hash(F.col("url")).alias("url_hash")).agg(
-        *[(F.min(value(c)) == F.max(value(c))).alias(f"one_{c}") for c in ("department_id", "location_id")]
-    )
+    """All stored postings, of copies that come in one micro-batch the first by source and place there."""
+    stored = read_loads(spark, f"{_ingest(spark, sf, files=1_000_000)}/jobs", STORED_JOB)
+    return stored.select("url_hash", F.md5("description").alias("description"), "department_id", "location_id")
 
 
 @query(
@@ -399,10 +378,10 @@ def polled_rejects(spark: SparkSession, sf: str) -> DataFrame:
     SELECT row_number() OVER (ORDER BY pos) AS id, md5(url) AS url_hash FROM firsts""",
 )
 def migrated(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON records on disk become stored postings with ids in record order."""
+    """Records of JSON array files become stored postings with ids in record order."""
     path = shared_path(spark, "jobs-json")
-    _queued_jobs(spark, sf).write.json(path)
-    landed = spark.read.schema(QUEUED_JOB).json(path)
+    write_json_arrays(_queued_jobs(spark, sf), path)
+    landed = read_json_array(spark, path, QUEUED_JOB, missing_ok=False)
     empty = spark.createDataFrame([], "id BIGINT, url_hash STRING")
     delta = tables.insert_jobs(empty, landed, "job_pos", as_of=_now(), **dimensions(spark))
     return delta.select("id", "url_hash")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,16 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType, missin
 
 
 def read_jobs(spark: SparkSession, path: str, schema: T.StructType, max_jobs: int = 30) -> DataFrame:
-    """First records of JSON array files, in order of file name and then of record."""
+    """First records of JSON array files with their ``file`` and ``index`` there, by file name and then record.
+
+    An array file is never split, so rows come in its order; what is taken of a file is its first records, so
+    their numbers among the rows taken are their numbers in the file. Only ``max_jobs`` rows are numbered.
+    """
     rows = read_json_array(spark, path, schema, missing_ok=False)
     position = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("row"))
-    return first_rows(rows.withColumn("pos", position), "pos", max_jobs)
+    taken = first_rows(rows.withColumn("pos", position), "pos", max_jobs)
+    index = F.row_number().over(Window.partitionBy("pos.file_path").orderBy("pos.row")) - 1
+    return taken.withColumn("file", F.col("pos.file_path")).withColumn("index", index.cast("long"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

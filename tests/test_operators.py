@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from rolecall.operators import (
     dimensions,
     discovery,
     embeddings,
+    joins,
     lookup,
     matching,
     numbering,
@@ -29,7 +31,7 @@ from rolecall.operators.joins import drop_known
 from rolecall.schemas import BATCH_LEDGER, COMPANY, DEPARTMENT_SYNONYM, JOB, SEARCH_LOG
 from rolecall.session import shared_path
 from rolecall.sources.readers import read_jobs, read_json_array, read_legacy_companies, read_lines
-from rolecall.sources.writers import job_batches, write_lines
+from rolecall.sources.writers import job_batches, write_json_arrays, write_lines
 
 NOW = dt.datetime(2024, 2, 1, 8)
 
@@ -429,3 +431,83 @@ def test_one_change_per_dimension_row_and_name(spark):
     change = tables.update_dimension(dimension, changes)
     assert sorted(rows(change.snapshot, "id", "canonical_name")) == [(1, "N"), (2, "B"), (3, "X")]
     assert sorted(rows(change.rows, "id", "canonical_name")) == [(2, "N"), (3, "Y")]
+
+
+def test_equal_hits_count_once(spark):
+    incoming = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "")], "pos long, url string")
+    stored = spark.createDataFrame([("z",)], "url string")
+    got = rows(tables.mark_new(incoming, stored, "url", "pos"), "pos", "url", "is_new")
+    assert sorted(got, key=str) == sorted([(1, "a", True), (1, "a", False), (2, "b", True), (3, None, False), (4, "", False)], key=str)
+
+
+def test_job_batches_do_not_depend_on_splits(spark):
+    kinds = F.when(F.col("id") < 700, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id")))
+    source = F.when(F.col("id") % 3 == 0, F.lit("a")).when(F.col("id") % 3 == 1, F.lit('b"')).otherwise(F.lit(None))
+    jobs = spark.range(2000).select(source.alias("source_url"), kinds.alias("title"), F.lit(None).cast("string").alias("none"))
+    batches = [[r.value for r in job_batches(jobs.repartition(n, "title"), "source_url", 50).collect()] for n in (1, 7)]
+    assert sorted(batches[0]) == sorted(batches[1])
+    documents = [json.loads(value) for value in batches[0]]
+    assert max(len(d["jobs"]) for d in documents) < 100
+    got = Counter((d.get("source_url"), job["title"]) for d in documents for job in d["jobs"])
+    assert got == Counter(map(tuple, jobs.select("source_url", "title").collect()))
+
+
+def test_json_array_files(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    records = spark.range(40).selectExpr("id", "IF(id % 3 = 0, NULL, concat('a\\n\"', id)) AS text")
+    write_json_arrays(records.repartitionByRange(4, "id").sortWithinPartitions("id"), path)
+    files = sorted((tmp_path / "arrays").glob("*.txt"))
+    assert [r["id"] for file in files for r in json.loads(file.read_text(encoding="utf-8"))] == list(range(40))
+    assert sorted(map(tuple, read_json_array(spark, path, records.schema).collect())) == sorted(map(tuple, records.collect()))
+    first = read_jobs(spark, path, records.schema, 25).collect()
+    sizes = [len(json.loads(file.read_text(encoding="utf-8"))) for file in files]
+    places = [(file.name, n) for file, size in zip(files, sizes, strict=True) for n in range(size)]
+    want = sorted((key, *place) for key, place in zip(range(25), places, strict=False))
+    assert sorted((r["id"], r["file"].rsplit("/", 1)[1], r["index"]) for r in first) == want
+    write_json_arrays(records.where("false").coalesce(1), str(tmp_path / "none"))
+    assert read_json_array(spark, str(tmp_path / "none"), records.schema).count() == 0
+
+
+def test_numbering_moves_keys_only(spark, monkeypatch):
+    sorted_columns = []
+
+    def watch(df):
+        sorted_columns.append(df.columns)
+        return numbering_cut(df)
+
+    numbering_cut = numbering.cut_lineage
+    monkeypatch.setattr(numbering, "cut_lineage", watch)
+    bulky = spark.range(100).selectExpr("concat('k', id) AS key", "100 - id AS pos", "repeat('x', 1000) AS text")
+    got = numbering.number_keys(bulky, "key", ["pos"], "id", 7)
+    assert sorted_columns == [["key", "pos"]]
+    assert sorted((r.id, r.pos, len(r.text)) for r in got.collect()) == [(n + 6, n, 1000) for n in range(1, 101)]
+    scored = spark.createDataFrame([(1, 0.5, "a"), (2, None, "b"), (3, 0.9, "c")], "pos long, similarity_score double, text string")
+    assert sorted(rows(matching.rank_all(scored, "pos"), "rank", "pos", "text")) == [(1, 3, "c"), (2, 1, "a"), (3, 2, "b")]
+    assert sorted_columns[1] == ["pos", "similarity_score"]
+
+
+def test_known_first_id_scans_nothing(spark, monkeypatch):
+    def scan(_):
+        raise AssertionError("the stored ids were scanned")
+
+    monkeypatch.setattr(tables, "next_id", scan)
+    stored = spark.createDataFrame([], "id long, company_name string, company_page_url string, domain string, title string, "
+                                   "discovered_at timestamp, last_scraped timestamp, is_active boolean, source string")
+    incoming = spark.createDataFrame([(1, "A", "u1", "d"), (2, "B", "u2", "d"), (3, "C", "u1", "d")],
+                                     "pos long, company_name string, company_page_url string, domain string")
+    change = tables.insert_companies(stored, incoming, "pos", F.lit(NOW).cast("timestamp"), first_id=42)
+    assert sorted(rows(change.rows, "id", "company_name")) == [(42, "A"), (43, "B")]
+
+
+def test_small_sides_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    keys = spark.range(10).mapInArrow(count, "id long")
+    assert spark.range(20).join(joins.small_side(keys), "id").count() == 10
+    assert spark.range(20).join(joins.small_side(keys, 5), "id").count() == 10
+    assert calls.value == 20
