@@ -8,16 +8,18 @@ import struct
 import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, filterfalse
+from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolecall.llm.byte_level import DistinctIds, LineModel, byte_letters, byte_slices
 from rolecall.llm.common import keep_in_worker, places, stage, table
 from rolecall.llm.registry import query
 
@@ -25,13 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 RANK_BUCKETS = 256
-CACHED_CHUNKS = 450_000
-CACHED_WORDS = 500_000
-LONGEST_CACHED = 64
-BATCH_CHUNKS = 200_000
+CACHED_CHUNKS = 1_500_000
 
-#: White space on which the tokenizer and Python may differ; only blanks of ASCII split such a text.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BLANKS = " \t\n\r\x0b\x0c"
+CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 
 #: A run of these after a letter is one piece to the tokenizer, whatever the letter's word.
 STOPS = string.punctuation
@@ -39,56 +38,49 @@ STOPS = string.punctuation
 CASED_APART = re.compile("[\u0130\u03a3]")
 
 
-class Recent:
-    """Values of at most ``size`` keys or those of one batch: when half are new, the older half goes.
-
-    What a batch uses moves to the newer half, so that the many keys seen once never push out the
-    common ones.
-    """
-
-    def __init__(self, size: int) -> None:
-        self.half = size // 2
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def hold(self, keys: set[str], unseen: set[str], make: Callable[[list[str]], Iterable[bytes]]) -> None:
-        """Bring all ``keys`` of a batch into the newer half; ``unseen`` are those not in it."""
-        if len(self.new) + len(unseen) > self.half:
-            self.old, self.new, unseen = self.new, {}, keys
-        found = unseen & self.old.keys()
-        self.new.update((k, self.old[k]) for k in found)
-        rest = list(unseen - found)
-        self.new.update(zip(rest, make(rest), strict=True))
+#: Words that the tokenizer takes as they are and whole: lower-case letters that every Unicode table agrees on.
+SMALL_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)
+SIMPLE = re.compile(f"[{SMALL_LETTERS}]+").fullmatch
 
 
-class ChunkIds:
-    """Token ids, as little-endian 32-bit numbers, by a tokenizer that drops white space.
+class ChunkIds(DistinctIds):
+    """Ids of whole texts by a tokenizer that drops white space.
 
-    Its tokens never reach over white space, so the ids of a text are those of its chunks between
-    blanks. Ids of short chunks are kept, up to a bound; the library encodes the rest, in batches.
+    Its tokens never reach over white space, nor from a letter to a sign, so the ids of a text are those of its
+    chunks. New words go through the library, simple ones through its model alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__(CACHED_CHUNKS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.words = Recent(CACHED_CHUNKS), Recent(CACHED_WORDS)
-        self.blanks = re.compile("[^ \t\n\r\x0b\x0c]+").findall
+        self.model, self.letter = LineModel(self.tokenizer), byte_letters().__getitem__
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
 
-    def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Simple words go through the model alone, many in one call."""
+        simple = list(filter(SIMPLE, words))
+        found = dict(zip(simple, self.model.encode([w if w.isascii() else "".join(map(self.letter, w)) for w in simple]), strict=True))
+        other = [w for w in words if w not in found]
+        found.update(zip(other, self._ids(other), strict=True))
+        return [found[w] for w in words]
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of chunks: those of the lower-case word, then those of the stops that end it.
 
         The tokenizer lower-cases and parts letters from signs itself, so both come from the library.
         """
-        apart = list(map(self._word_and_stops, chunks))
-        keys = set(chain.from_iterable(apart))
-        self.words.hold(keys, keys.difference(self.words.new), self._ids)
-        ids = self.words.new
-        return (ids[word] + ids[stops] for word, stops in apart)
+        apart = [self._word_and_stops(c.decode("utf-8").lstrip(BLANKS)) for c in chunks]
+        distinct = list(set(chain.from_iterable(apart)))
+        ids = dict(zip(distinct, self._word_ids(distinct), strict=True))
+        return [ids[word] + ids[stops] for word, stops in apart]
+
+    def _unusual(self, text: str) -> list[str] | None:
+        return CHUNK.findall(text) if "<|" in text else None
 
     @staticmethod
     def _word_and_stops(chunk: str) -> tuple[str, str]:
@@ -99,35 +91,6 @@ class ChunkIds:
             return chunk, ""
         return word.lower(), chunk[len(word) :]
 
-    def split(self, text: str) -> list[str]:
-        return self.blanks(text) if ODD_SPACE.search(text) else text.split()
-
-    def encode(self, split: list[list[str]]) -> list[bytes]:
-        unseen = set(filterfalse(self.known.new.__contains__, chain.from_iterable(split)))
-        long = [c for c in unseen if len(c) > LONGEST_CACHED]
-        once = dict(zip(long, self._ids(long), strict=True))
-        unseen.difference_update(long)
-        full = len(self.known.new) + len(unseen) > self.known.half
-        self.known.hold(set(chain.from_iterable(split)).difference(long) if full else unseen, unseen, self._learn)
-        known = self.known.new
-        if once:
-            look = lambda c: once[c] if len(c) > LONGEST_CACHED else known[c]
-        else:
-            look = known.__getitem__
-        return [b"".join(map(look, chunks)) for chunks in split]
-
-
-def _batches(texts: Iterator[str], split) -> Iterator[list[list[str]]]:
-    held, n = [], 0
-    for text in texts:
-        held.append(split(text))
-        n += len(held[-1])
-        if n >= BATCH_CHUNKS:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
 
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text"
@@ -144,18 +107,19 @@ def token_pieces(
         ids_of = keep_in_worker(f"ids {tokenizer_path}", lambda: ChunkIds(tokenizer_path))
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            row = 0
-            for split in _batches((v.as_py() for v in batch.column(1)), ids_of.split):
-                for ids in ids_of.encode(split):
-                    ids += b"\0\0\0\0"
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
+            texts = batch.column(1)
+            for first, to in byte_slices(texts):
+                ids, sizes = ids_of.encode(texts.slice(first, to - first))
+                ends = np.cumsum(sizes)
+                data = memoryview(np.insert(ids, ends, 0)).cast("B")
+                for row, size, end in zip(range(first, to), (sizes + 1).tolist(), np.cumsum(sizes + 1).tolist(), strict=True):
+                    for n, at in enumerate(range(0, size, capacity)):
+                        part = data[4 * (end - size + at) : 4 * min(end, end - size + at + capacity)]
                         rows.append(row)
                         piece.append(n)
-                        start.append(at // 4)
+                        start.append(at)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                    row += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),

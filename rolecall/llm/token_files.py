@@ -23,19 +23,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rolecall.llm.byte_level import DistinctIds, LineModel, byte_letters, byte_slices
 from rolecall.llm.common import keep_in_worker, table
-from rolecall.llm.packing import Recent
 from rolecall.llm.registry import query
 from rolecall.session import shared_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 2
-SLICE_BYTES = 8 << 20
-CHUNKS_A_GATHER = 1 << 18
-CHUNKS_A_CALL = 512
 CACHED_CHUNKS = 1_500_000
-LONGEST_CACHED = 64
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
@@ -55,37 +51,22 @@ PLAIN = re.compile(f"[\x00-\x1b !-;=-{chr(0x24F)}]*").fullmatch
 SIGNS = string.punctuation
 
 
-def byte_letters() -> dict[str, str]:
-    """How byte-level vocabularies write each character below U+0250, byte by byte of its UTF-8 form.
-
-    Printable bytes stand for themselves, the others for the characters from 256 on, in order.
-    """
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = {b: 256 + place for place, b in enumerate(sorted(set(range(256)) - shown))}
-    return {chr(c): "".join(chr(hidden.get(b, b)) for b in chr(c).encode("utf-8")) for c in range(0x250)}
-
-
-class ByteLevelIds:
+class ByteLevelIds(DistinctIds):
     """Ids of whole texts by one byte-level BPE file of the tokenizers library.
 
     A text splits before each run of white space and between a letter and a sign, a plain chunk further into
-    the pieces that the file's pattern makes. Of a batch only the distinct chunks leave Arrow and numpy: new ones
-    go through the library's model, many in one call, and those that are not plain through the whole library.
-    Ids of short chunks are kept, up to a bound; common ones outlive rare ones.
+    the pieces that the file's pattern makes, which go through the library's model. Chunks that are not plain go
+    through the whole library.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
+        super().__init__(CACHED_CHUNKS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.model = LineModel(self.tokenizer)
         self.letter = byte_letters().__getitem__
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks = Recent(CACHED_CHUNKS)
-        self.blank, self.sign, self.ascii_letter = (
-            np.isin(np.arange(256), list(some.encode())) for some in (" \t\n\r\x0b\x0c", SIGNS, string.ascii_letters)
-        )
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,84 +80,23 @@ class ByteLevelIds:
         return "\n".join("".join(map(self.letter, piece)) for piece in self.pattern(chunk))
 
     def _by_model(self, chunks: list[str]) -> list[bytes]:
-        """The model takes many lines a call and says which one each id is from."""
-        lines = list(map(self._lines, chunks))
-        ids, sizes = [], []
-        for at in range(0, len(lines), CHUNKS_A_CALL):
-            whole = "\n".join(lines[at : at + CHUNKS_A_CALL])
-            encoded = self.model.encode(whole, add_special_tokens=False)
-            ids.append(np.array(encoded.ids, "<u4"))
-            sizes.append(np.bincount(encoded.word_ids, minlength=whole.count("\n") + 1))
-        per_line = np.append(0, np.cumsum(np.concatenate(sizes)))
-        ends = 4 * per_line[np.cumsum([line.count("\n") + 1 for line in lines])]
-        data = np.concatenate(ids).tobytes()
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return self.model.encode(list(map(self._lines, chunks)))
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, as little-endian 32-bit numbers."""
         texts = [c.decode("utf-8") for c in chunks]
         plain = [t for t in texts if PLAIN(t)]
         if len(plain) == len(texts):
-            return self._by_model(plain) if plain else []
-        found = dict(zip(plain, self._by_model(plain), strict=True)) if plain else {}
+            return self._by_model(plain)
+        found = dict(zip(plain, self._by_model(plain), strict=True))
         other = [t for t in texts if t not in found]
         found.update(zip(other, self._whole(other), strict=True))
         return [found[t] for t in texts]
 
-    def _known(self, distinct: list[bytes]) -> list[bytes]:
-        long = [c for c in distinct if len(c) > LONGEST_CACHED]
-        once = dict(zip(long, self._learn(long), strict=True))
-        short = set(distinct).difference(long) if long else set(distinct)
-        self.chunks.hold(short, short.difference(self.chunks.new), self._learn)
-        known = self.chunks.new
-        return [once[c] if len(c) > LONGEST_CACHED else known[c] for c in distinct]
-
-    def _starts(self, texts: pa.StringArray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Where chunks start in the bytes of the texts, which lie between ``bounds``: also at a sign after a letter."""
-        blank = self.blank[data]
-        begins = np.zeros(len(data) + 1, bool)
-        begins[1:-1] = (blank[1:] & ~blank[:-1]) | (self.sign[data[1:]] & self.ascii_letter[data[:-1]])
-        begins[bounds] = True
-        for row, value in enumerate(texts):  # special tokens and other white space are rare
-            text = value.as_py()
-            if "<|" in text or not text.isascii() and UNUSUAL.search(text) or DOUBTFUL.search(text):
-                chunks = [text] if DOUBTFUL.search(text) else CHUNK.findall(text)
-                begins[bounds[row] + 1 : bounds[row + 1]] = False
-                begins[bounds[row] + np.cumsum([0] + [len(c.encode("utf-8")) for c in chunks[:-1]])] = True
-        return np.flatnonzero(begins[:-1])
-
-    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        bounds = offsets.astype(np.int64) - int(offsets[0])
-        if not bounds[-1]:
-            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
-        buffer = texts.buffers()[2].slice(int(offsets[0]), int(bounds[-1]))
-        starts = self._starts(texts, np.frombuffer(buffer, np.uint8), bounds)
-        places = pa.py_buffer(np.append(starts, bounds[-1]).astype(np.int32))
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, places, buffer]).dictionary_encode()
-        known = self._known(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        each = sizes[codes]
-        gathered = [np.empty(0, "<u4")]
-        for at in range(0, len(codes), CHUNKS_A_GATHER):
-            some = each[at : at + CHUNKS_A_GATHER]
-            before = np.cumsum(some) - some
-            gathered.append(ids[np.arange(int(some.sum())) + np.repeat(first[codes[at : at + CHUNKS_A_GATHER]] - before, some)])
-        ends = np.append(0, np.cumsum(each))
-        return np.concatenate(gathered), np.diff(ends[np.searchsorted(starts, bounds)])
-
-
-def byte_slices(texts: pa.StringArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive rows ``(from, to)`` of about ``size`` bytes; a longer text stands alone."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    row = 0
-    while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(offsets, int(offsets[row]) + size, "right")) - 1)
-        yield row, to
-        row = to
+    def _unusual(self, text: str) -> list[str] | None:
+        if DOUBTFUL.search(text):
+            return [text]
+        return CHUNK.findall(text) if "<|" in text or not text.isascii() and UNUSUAL.search(text) else None
 
 
 def write_tokens(

@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from rolecall.llm import filter_audit, periodic_runs, token_files
+from rolecall.llm import byte_level, filter_audit, periodic_runs, token_files
 from rolecall.llm.queries import QUERIES
 from rolecall.session import shared_path
 from tests.oracle import TESTDATA
@@ -68,8 +68,8 @@ def test_ids_of_random_texts():
 
 def test_byte_slices():
     texts = pa.array(["a" * n for n in (3, 3, 50, 0, 2, 9)]).slice(1)
-    assert list(token_files.byte_slices(texts, 10)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
-    assert list(token_files.byte_slices(texts.slice(0, 0))) == []
+    assert list(byte_level.byte_slices(texts, 10)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    assert list(byte_level.byte_slices(texts.slice(0, 0))) == []
 
 
 def expected_documents(rows):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,7 +77,7 @@ def test_chunks_are_encoded_as_the_library_does():
     for chunk in ["Word.", "it's", "a.b.c!!", "<|endoftext|>", "<|ENDOFTEXT|>.", "I'LL.", "á.", "ΑΣ.", "İ!", "é.", "\x1c.", "1.",
                   "dogs'", "it's-", "End.###", "a<b>.", "é&&&", "x'll'?", "s'"]:
         want = ids.tokenizer.encode(chunk, add_special_tokens=False).ids
-        assert ids.encode([ids.split(chunk)])[0] == struct.pack(f"<{len(want)}I", *want), chunk
+        assert ids.encode(pa.array([chunk]))[0].tolist() == want, chunk
 
 
 def test_mixing(odd, empty):
@@ -253,3 +254,44 @@ def test_passages_reach_the_ends_of_shared_runs(spark):
         seen = " | ".join(" ".join(v) for k, v in docs.items() if k != i)
         whole = {n for at in range(len(w) - 21) if " ".join(w[at : at + 22]) in seen for n in range(at - 2, at + 24)}
         assert {n for a, b, _ in spans for n in range(a, b)} <= whole  # a near paragraph has two other words at most
+
+
+CLASHING = ["_id", "_row", "_lines", "drop", "score", "found", "_copy", "_near_id", "_n_lines", "_n_dropped", "_all", "_t1", "class_id", "_place", "batch", "h1"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns under the names that operators use inside; each holds its row's number and the name."""
+    texts = ["A shared line of some length\nown line one here", "a shared LINE of some length\nown line two here", None, "", "A shared line of some length"]
+    rows = [(n, t, "s", 9, *[f"{n} {c}" for c in CLASHING]) for n, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+def extras(rows):
+    return {r["doc_id"]: tuple(r[c] for c in CLASHING) for r in rows}
+
+
+def test_extra_columns_come_out_as_they_went_in(spark, clashing):
+    whole = {n: tuple(f"{n} {c}" for c in CLASHING) for n in range(5)}
+    lines = line_dedup.dedup_lines(clashing)
+    assert lines.columns == [*clashing.columns, "_n_lines_", "_n_dropped_"]
+    got = {r["doc_id"]: r for r in lines.collect()}
+    assert extras(got.values()) == whole
+    assert [(got[n]["text"], got[n]["_n_lines_"], got[n]["_n_dropped_"]) for n in range(5)] == [
+        ("A shared line of some length\nown line one here", 2, 0), ("own line two here", 2, 1), ("", 1, 0), ("", 1, 0), ("", 1, 1),
+    ]
+    labels = spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")
+    assert extras(toxicity.reject_toxic(clashing, labels).collect()) == whole
+    kept = near_dups.keep_one(clashing)
+    assert kept.columns == clashing.columns and extras(kept.collect()) == {n: whole[n] for n in (0, 1, 2, 4)}
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns
+    assert all(whole[r["doc_id"]] == tuple(r[c] for c in CLASHING) for r in mixed.collect())
+    staged = corpus_pipeline.lines(spark, clashing, SF_DIR)
+    assert staged.columns == clashing.columns and extras(staged.collect()) == whole
+
+
+def test_texts_of_one_id_stay(spark):
+    rows = [(1, "one text", "b"), (1, "one text", "a"), (1, "another text", "c"), (2, "one text", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    assert sorted(map(tuple, near_dups.keep_one(docs).collect())) == [(1, "another text", "c"), (1, "one text", "a")]
