@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable
@@ -26,6 +27,25 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of this package; tasks call what is returned. Its classes travel by value, so that the
+    workers need no package."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
+def packed_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns as one, so that no name of theirs can meet a name of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def keep_in_worker(name: str, make: Callable[[], object]) -> object:
     """An object that a Python worker builds once and keeps for its later tasks, until one of another name comes."""
     shelf = sys.modules.setdefault("_rolecall_worker", types.ModuleType("_rolecall_worker"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import stage, table
+from rolecall.llm.common import free_name, packed_row, stage, table
 from rolecall.llm.registry import query
 
 BATCHES = 4
@@ -144,6 +144,8 @@ def kept_lines(lines: Column, drop: Column) -> Column:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """All columns of ``docs``, ``text`` without repeated lines, and ``_n_lines`` and ``_n_dropped``.
 
+    Extra columns come out as they went in; where one has the name of a count, the count's has underscores added.
+
     A line's key has no blanks at its ends and A to Z in lower case. A key of at least 10 code
     points that documents of several ids hold keeps its lines in the smallest id only, there all of
     them. A null or empty text is one empty line. Rows that share an id count as one document; rows
@@ -151,20 +153,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", batche
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drops = stage(dropped_lines(docs, runs, batches, key, text), "line-drops")
-    runs.drop()
-    own = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
-    own = own.withColumn("_row", F.xxhash64("_id", F.coalesce(F.col(text), F.lit(""))))
+    try:
+        drops = stage(dropped_lines(docs, runs, batches, key, text), "line-drops")
+    finally:
+        runs.drop()
+    own = docs.select(packed_row(docs, "_all"), F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("_id"))
+    whole = F.coalesce(F.col("_all")[text], F.lit(""))
+    own = own.withColumn("_row", F.xxhash64("_id", whole))
     joined = own.join(drops, ["_id", "_row"], "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.when(F.col("drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(kept_lines(F.col("_lines"), F.col("drop")), "\n")
-    )
-    counted = joined.withColumn("_lines", lines)
+    counted = joined.withColumn("_lines", F.split(whole, "\n"))
+    kept = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(kept_lines(F.col("_lines"), F.col("drop")), "\n"))
     return counted.select(
-        *[kept.alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"),
+        *[kept.alias(c) if c == text else F.col("_all")[c].alias(c) for c in docs.columns],
+        F.size("_lines").cast("long").alias(free_name(docs, "_n_lines")),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(free_name(docs, "_n_dropped")),
     )
 
 

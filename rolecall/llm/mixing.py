@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import stage, table
+from rolecall.llm.common import packed_row, stage, table
 from rolecall.llm.registry import query
 from rolecall.operators.numbering import number_rows
 
@@ -128,9 +128,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", **options)
     _, sources = mix_plan(docs, key=key, source=source, **options)
     plan = sources.select(F.col("source").alias("_source"), "whole", "last_place")
     place = seeded(key, options.get("seed", SEED))
-    joined = docs.alias("d").join(plan.alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p._source")))
-    times = copies(F.col("p.whole"), place, F.col("p.last_place"))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select("d.*")
+    rows = docs.select(packed_row(docs), F.col(source).alias("_of"), place.alias("_place"))
+    joined = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source")))
+    times = copies(F.col("whole"), F.col("_place"), F.col("last_place"))
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 @query(

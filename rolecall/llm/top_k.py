@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolecall.llm.common import stage, table
+from rolecall.llm.common import share, stage, table
 from rolecall.llm.registry import query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,7 +106,7 @@ def annuli(rows: DataFrame, pivots, width: int, k: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = pivots.value.distances(pivots.value.lifted(matrix(batch.column(1), width).astype(np.float64)))
+            far = pivots().distances(pivots().lifted(matrix(batch.column(1), width).astype(np.float64)))
             nearest = far.argmin(1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(far[np.arange(len(far)), nearest])],
@@ -170,12 +170,12 @@ def top_k(rows: DataFrame, k: int = K) -> DataFrame:
         width, longest = 1, longest or 0.0
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
     sample = matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((1, width), np.int64)
-    pivots = spark.sparkContext.broadcast(Pivots(sample, longest))
+    pivots = share(spark, Pivots(sample, longest))
     index = stage(annuli(rows, pivots, width, k), "annuli")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch of queries the distances to each pivot within which its results can lie."""
-        own = pivots.value
+        own = pivots()
         for batch in batches:
             out = {"batch": [], "pivot": [], "from": [], "to": []}
             for row in batch.to_pylist():
@@ -210,7 +210,7 @@ def top_k(rows: DataFrame, k: int = K) -> DataFrame:
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Annuli of a batch's part from the nearest on: each raises the floors, and what is out of reach is passed over."""
-        own, now, state = pivots.value, None, None
+        own, now, state = pivots(), None, None
 
         def results(state) -> pa.RecordBatch:
             kept = [x for x in zip(state["ids"], state["found"], strict=True) if len(x[1][0])]

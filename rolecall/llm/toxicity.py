@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rolecall.llm.common import keep_in_worker, stage, table
+from rolecall.llm.common import keep_in_worker, packed_row, share, stage, table
 from rolecall.llm.registry import query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -241,10 +242,10 @@ def descriptions(docs: DataFrame, model: Model, keys: list[str], text: str = "te
     """``keys`` and ``found``, what the machine finds in each whole text; a null text counts as empty."""
     narrow = docs.select(*keys) if text in keys else docs.select(*keys, text)
     at = narrow.columns.index(text)
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
+    shared, name = share(docs.sparkSession, model), f"toxicity {uuid.uuid4().hex}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = keep_in_worker(name, lambda: WordScores(shared.value))
+        scores = keep_in_worker(name, lambda: WordScores(shared()))
         for batch in batches:
             found, texts, held = [], [], 0
             for value in batch.column(at):
@@ -257,8 +258,8 @@ def descriptions(docs: DataFrame, model: Model, keys: list[str], text: str = "te
             column = pa.array(found, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, "found"])
 
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in narrow.dtypes[: len(keys)])
-    return narrow.mapInArrow(score, f"{kinds}, found array<double>")
+    schema = T.StructType([*narrow.schema.fields[: len(keys)], T.StructField("found", T.ArrayType(T.DoubleType()))])
+    return narrow.mapInArrow(score, schema)
 
 
 def held_out(key: str = "doc_id"):
@@ -313,10 +314,11 @@ def score_documents(docs: DataFrame, model: Model, scale: Scale, keys: list[str]
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
     model, scale = train(docs, labels)
-    scored = score_documents(docs, model, scale, [*docs.columns])
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    packed = docs.select(packed_row(docs), F.col("text").alias("_text"))
+    scored = score_documents(packed, model, scale, ["_row"], "_text")
+    return scored.where(F.col("score") < threshold).select("_row.*")
 
 
 @query("op9_toxicity")
