@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import stage, table
+from rolecall.llm.common import free_name, stage, table
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.mixing import mix
 from rolecall.llm.near_dups import keep_one
@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that a document of smaller id has; ``n_chars`` follows the text."""
     kept = dedup_lines(docs)
-    changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    changed = F.when(F.col(free_name(docs, "_n_dropped")) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*docs.columns)
 
 
@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A kernel machine, sampled signatures and a tokenizer are not for SQL; see tests/llm for the brute-force check.
+#: A kernel machine, sampled signatures and a tokenizer are not for SQL; tests/llm checks the operators on small tables.
 ORACLE_SQL = None
 
 
