@@ -14,8 +14,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LINES_A_CALL = 512
 LONGEST_CACHED = 64
-SLICE_BYTES = 8 << 20
-CHUNKS_A_GATHER = 1 << 18
+SLICE_BYTES = 4 << 20
+CHUNKS_A_GATHER = 1 << 17
 
 
 def byte_letters() -> dict[str, str]:

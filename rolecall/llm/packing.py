@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 RANK_BUCKETS = 256
-CACHED_CHUNKS = 1_500_000
+CACHED_CHUNKS = 800_000
 
 BLANKS = " \t\n\r\x0b\x0c"
 CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")

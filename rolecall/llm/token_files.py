@@ -31,7 +31,7 @@ from rolecall.session import shared_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = 2
-CACHED_CHUNKS = 1_500_000
+CACHED_CHUNKS = 1_000_000
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
