@@ -113,6 +113,8 @@ class DistinctIds:
             before = np.cumsum(some) - some
             gathered.append(ids[np.arange(int(some.sum())) + np.repeat(first[codes[at : at + CHUNKS_A_GATHER]] - before, some)])
         ends = np.append(0, np.cumsum(each))
+        del coded
+        pa.default_memory_pool().release_unused()
         return np.concatenate(gathered), np.diff(ends[np.searchsorted(starts, bounds)])
 
 
