@@ -23,6 +23,8 @@ PARAGRAPH, RUN = 22, 29
 SIMILARITY = 0.8
 #: 3 bands of 2 hashes: a pair at 0.8 shares a band with probability 0.953, equal paragraphs always do.
 BANDS, ROWS = 3, 2
+#: So many words are looked at on each side of a paragraph; further on the next paragraph covers a shared run.
+CONTEXT = RUN - 1
 NO_ID = 1 << 62
 
 
@@ -86,18 +88,54 @@ def _whole(shingles: np.ndarray) -> np.ndarray:
     return whole
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
+    both = []
+    for base in (int(ODD[0]), pow(int(ODD[0]), -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[:1] = 1
+        both.append(np.cumprod(factors, dtype=np.uint64))
+    return both[0], both[1]
+
+
+class Contexts:
+    """Hashes of any run of words of a block, from sums over its words."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray) -> None:
+        up, self.down = powers(len(words) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)])
+        self.starts, self.lengths = starts_of(lengths), lengths
+
+    def room(self, row: np.ndarray, first: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """How many words, up to ``CONTEXT``, stand before a paragraph (side 0) or after it (side 1)."""
+        return np.minimum(np.where(side == 0, first, self.lengths[row] - first - PARAGRAPH), CONTEXT)
+
+    def keys(self, row: np.ndarray, first: np.ndarray, paragraph: np.ndarray, side: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A hash of the paragraph and the ``j`` words next to it on that side."""
+        at = self.starts[row] + np.where(side == 0, first - j, first + PARAGRAPH)
+        run = (self.sums[at + j] - self.sums[at]) * self.down[at]
+        return mix(mix(run + j.astype(np.uint64) * ODD[1]) ^ mix(paragraph + ODD[2] * (side + 1).astype(np.uint64)))
+
+
 def paragraph_rows(rows: DataFrame) -> DataFrame:
-    """``_id, place, first, paragraph, keys`` from rows ``_id, place, words``: a hash of the paragraph's words and its band keys."""
+    """``_id, place, first, paragraph, keys, room_0, room_1, kind_0, kind_1`` from rows ``_id, place, words``.
+
+    ``paragraph`` is a hash of its words, ``keys`` are its bands, ``kind_0`` and ``kind_1`` hashes of it
+    with the ``room_0`` words before it and the ``room_1`` words after it.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words, lengths in _blocks(batch):
                 row, first, shingles = paragraphs(words, lengths)
-                whole = _whole(shingles)
+                whole, contexts = _whole(shingles), Contexts(words, lengths)
                 keys = np.zeros((len(row), BANDS), np.uint64)
                 for k in range(BANDS * ROWS):
                     least = mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(axis=1) if len(row) else whole
                     keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least + np.uint64(k))
+                sides = [np.full(len(row), side, np.int64) for side in (0, 1)]
+                rooms = [contexts.room(row, first, side) for side in sides]
+                kinds = [contexts.keys(row, first, whole, side, room) for side, room in zip(sides, rooms, strict=True)]
                 offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -106,11 +144,16 @@ def paragraph_rows(rows: DataFrame) -> DataFrame:
                         pa.array(first.astype(np.int64)),
                         pa.array(whole.view(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
+                        *[pa.array(room.astype(np.int32)) for room in rooms],
+                        *[pa.array(kind.view(np.int64)) for kind in kinds],
                     ],
-                    names=["_id", "place", "first", "paragraph", "keys"],
+                    names=["_id", "place", "first", "paragraph", "keys", "room_0", "room_1", "kind_0", "kind_1"],
                 )
 
-    return rows.mapInArrow(cut, "_id long, place long, first long, paragraph long, keys array<long>")
+    return rows.mapInArrow(
+        cut,
+        "_id long, place long, first long, paragraph long, keys array<long>, room_0 int, room_1 int, kind_0 long, kind_1 long",
+    )
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -135,69 +178,87 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "id long, shingles array<int>")
 
 
-def context_keys(rows: DataFrame, ends_only: bool) -> DataFrame:
-    """``_id, first, paragraph, side, j, key`` of occurrences ``_id, firsts, held, words``, a text a row.
+def context_keys(rows: DataFrame) -> DataFrame:
+    """``kind, keys`` of rows ``kinds, sides, firsts, paragraphs, words``, a text a row.
 
-    ``key`` is a hash of the paragraph and the ``j`` words before it (side 0) or after it (side 1), of
-    ``j`` up to ``RUN - 1``; further on the next paragraph covers a shared run. With ``ends_only`` the largest j alone.
+    ``keys`` are hashes of the paragraph with 1, 2, ... words next to it, up to what the text has or ``CONTEXT``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words, lengths in _blocks(batch):
-                first, n = uneven(batch.column(1).slice(at, len(lengths)))
-                held, _ = uneven(batch.column(2).slice(at, len(lengths)))
-                first, row = first.astype(np.int64), np.repeat(np.arange(len(lengths)), n)
-                start = starts_of(lengths)[row]
-                for side in (0, 1):
-                    room = first if side == 0 else lengths[row] - first - PARAGRAPH
-                    own, key = np.arange(len(first)), mix(held ^ np.uint64(side + 1))
-                    for j in range(1, RUN):
-                        more = room[own] >= j
-                        own, key = own[more], key[more]
-                        word = words[start[own] + (first[own] - j if side == 0 else first[own] + PARAGRAPH + j - 1)]
-                        key = mix(key * ODD[0] + word)
-                        told = (room[own] == j) | (j == RUN - 1) if ends_only else np.ones(len(own), bool)
-                        out = own[told]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pa.array(row[out] + at)), pa.array(first[out]), pa.array(held[out].view(np.int64)),
-                                pa.array(np.full(len(out), side, np.int32)), pa.array(np.full(len(out), j, np.int32)),
-                                pa.array(key[told].view(np.int64)),
-                            ],
-                            names=["_id", "first", "paragraph", "side", "j", "key"],
-                        )
-
-    return rows.mapInArrow(cut, "_id long, first long, paragraph long, side int, j int, key long")
+                kinds, n = uneven(batch.column(0).slice(at, len(lengths)))
+                side, first, held = (uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (1, 2, 3))
+                side, first, row = side.astype(np.int64), first.astype(np.int64), np.repeat(np.arange(len(lengths)), n)
+                contexts = Contexts(words, lengths)
+                room = contexts.room(row, first, side)
+                each = np.repeat(np.arange(len(row)), room)
+                j = np.arange(len(each)) - starts_of(room)[each] + 1
+                keys = contexts.keys(row[each], first[each], held[each], side[each], j)
+                offsets = pa.array(np.append(starts_of(room), len(each)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(kinds.view(np.int64)),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+                    ],
+                    names=["kind", "keys"],
+                )
+
+    return rows.mapInArrow(cut, "kind long, keys array<long>")
+
+
+def deepest(kinds: DataFrame) -> DataFrame:
+    """``kind, low, gone, gone_id, kept`` of ``kinds`` ``(kind, least, most, keys)``.
+
+    ``kept`` is the longest context that documents of several ids have, ``gone`` the longest that one of an id
+    below ``least`` has, ``gone_id`` the smallest such id and ``low`` the smallest id that has the whole of it.
+    """
+    each = kinds.select("kind", "least", "most", F.size("keys").alias("room"), F.posexplode("keys").alias("j", "key")).withColumn("j", F.col("j") + 1)
+    both = each.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high")).where("low < high")
+    below = F.when(F.col("low") < F.col("least"), F.col("j"))
+    return each.join(both.select("key", "low"), "key").groupBy("kind").agg(
+        F.min(F.when(F.col("j") == F.col("room"), F.col("low"))).alias("low"),
+        F.max(below).alias("gone"), F.max_by("low", below).alias("gone_id"), F.max("j").alias("kept"),
+    )
 
 
 def extensions(texts: DataFrame, caught: DataFrame) -> DataFrame:
     """``_id, class_id, first, end``: words next to ``caught`` occurrences that another document has there too.
 
     What a document of smaller id has is a piece whose ``class_id`` is that document; what only later
-    ones have beyond it is a piece of the own id. Occurrences whose whole context is shared with a
-    smaller id are settled at once; the paragraphs of all others are looked at word by word.
+    ones have beyond it is a piece of the own id. Occurrences with one whole context are one kind, counted
+    before anything moves. Only where a paragraph has several kinds on a side the text of one holder of each
+    kind is read again, and the kinds meet at each length of their contexts.
     """
-
-    def keyed(rows: DataFrame, ends_only: bool) -> DataFrame:
-        asked = rows.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("first", "paragraph"))).alias("o"))
-        asked = asked.select("place", F.col("o.first").alias("firsts"), F.col("o.paragraph").alias("held"))
-        return context_keys(texts.join(asked, "place").select("_id", "firsts", "held", "words"), ends_only)
-
-    def shared(keys: DataFrame) -> DataFrame:
-        both = keys.groupBy("key").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
-        return both.select("key", "least")
-
-    ends = stage(keyed(caught, True), "passage-ends")
-    settled = stage(ends.join(shared(ends), "key", "left"), "passage-settled")
-    whole = settled.where("least < _id").select("_id", "first", "paragraph", "side", F.col("j").alias("gone"), "least", F.col("j").alias("kept"))
-    loose = settled.where("least is null or least >= _id").select("paragraph").distinct()
-    keys = stage(keyed(caught.join(loose, "paragraph", "left_semi"), False), "passage-contexts")
-    found = keys.join(shared(keys), "key").groupBy("_id", "first", "paragraph", "side").agg(
-        F.coalesce(F.max(F.when(F.col("least") < F.col("_id"), F.col("j"))), F.lit(0)).alias("gone"),
-        F.max_by("least", F.when(F.col("least") < F.col("_id"), F.col("j"))).alias("least"), F.max("j").alias("kept"),
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"room_{k}").alias("room"), F.col(f"kind_{k}").alias("kind")) for k in (0, 1)])
+    each = caught.select("_id", "place", "first", "paragraph", F.explode(sides).alias("s")).select("*", "s.*").drop("s").where("room > 0")
+    kinds = stage(
+        each.groupBy("kind").agg(
+            F.any_value("paragraph").alias("paragraph"), F.any_value("side").alias("side"), F.any_value("room").alias("room"),
+            F.min("_id").alias("least"), F.max("_id").alias("most"), F.min(F.struct("place", "first")).alias("at"),
+        ),
+        "passage-kinds",
+    )
+    several = kinds.groupBy("paragraph", "side").agg(F.min("kind").alias("one"), F.max("kind").alias("other")).where("one < other")
+    open_ = kinds.join(several.select("paragraph", "side"), ["paragraph", "side"], "left_semi")
+    asked = open_.select("at.*", "kind", F.col("side").cast("long").alias("side"), "paragraph")
+    asked = asked.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("first", "side", "kind", "paragraph"))).alias("o"))
+    asked = asked.select("place", F.col("o.kind").alias("k"), F.col("o.side").alias("s"), F.col("o.first").alias("f"), F.col("o.paragraph").alias("p"))
+    read = context_keys(texts.join(asked, "place").select("k", "s", "f", "p", word_hashes(F.col("text")).alias("words")))
+    held = read.dropDuplicates(["kind"]).join(kinds.select("kind", "least", "most"), "kind")
+    searched = deepest(stage(held, "passage-contexts"))
+    settled = stage(
+        kinds.join(searched, "kind", "left").select(
+            "kind", "least", F.coalesce("low", "least").alias("low"), F.coalesce("gone", F.lit(0)).alias("gone"), "gone_id",
+            F.greatest(F.coalesce("kept", F.lit(0)), F.when(F.col("least") < F.col("most"), F.col("room"))).alias("kept"),
+        ),
+        "passage-settled",
+    )
+    later = F.col("_id") > F.col("least")  # a document of smaller id has the whole context
+    rows = each.join(settled, "kind").select(
+        "_id", "first", "side", F.when(later, F.col("room")).otherwise(F.col("gone")).alias("gone"),
+        F.when(later, F.col("low")).otherwise(F.col("gone_id")).alias("least"), F.when(later, F.col("room")).otherwise(F.col("kept")).alias("kept"),
     )
-    rows = whole.join(loose, "paragraph", "left_anti").select(*found.columns).union(found)
     piece = lambda i, near, far: F.struct(
         F.col(i).alias("class_id"),
         F.when(F.col("side") == 0, F.col("first") - F.col(far)).otherwise(F.col("first") + PARAGRAPH + near).alias("first"),
@@ -260,16 +321,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = components(links).withColumnRenamed("class_id", "class")
     named = spread.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")
-    repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id"), "repeated")
-    caught = stage(found.join(repeated, "paragraph"), "passage-caught")
-    exact = spread.where("least < most").select(F.col("id").alias("paragraph"))
-    own_words = texts.dropDuplicates(["place"]).select("_id", "place", words)
-    occurrences = caught.select("place", "first", "paragraph").distinct().join(exact, "paragraph", "left_semi")
-    pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(own_words, occurrences))
+    exact = (F.col("least") < F.col("most")).alias("exact")
+    repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id", exact), "repeated")
+    caught = stage(found.drop("keys").join(repeated, "paragraph"), "passage-caught")
+    pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
     order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("first") > reached, F.lit(True)).cast("int")
-    numbered = pieces.distinct().withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = pieces.withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("_id", "class_id", "span").agg(
         F.min("first").alias("first_word"), (F.max("end") - F.min("first")).alias("n_words")
     ).drop("span")

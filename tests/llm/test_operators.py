@@ -10,6 +10,7 @@ from collections import Counter
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,7 +52,7 @@ def test_token_counts(odd, empty):
     tokenizer = Tokenizer.from_file(BYTES)
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(odd, BYTES).collect())
     want = sorted((i or 0, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS)
-    assert got == want
+    assert len(want) > 60 and not got ^ want
     assert token_counts.token_counts(empty, BYTES).count() == 0
 
 
@@ -156,7 +157,7 @@ def test_top_k_of_odd_vectors(spark):
     for q in (0, 20):
         scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:3])]
-    assert got == want
+    assert len(want) > 60 and not got ^ want
     assert top_k.top_k(rows.where("false")).count() == 0
 
 
@@ -256,6 +257,41 @@ def test_passages_reach_the_ends_of_shared_runs(spark):
         assert {n for a, b, _ in spans for n in range(a, b)} <= whole  # a near paragraph has two other words at most
 
 
+def test_longest_shared_contexts_match_brute_force(spark):
+    """What equal paragraphs reach to, word by word, against all pairs of occurrences."""
+    import random
+
+    draw = random.Random(5)
+    common = [f"c{n}" for n in range(passages.PARAGRAPH + passages.RUN + 1)]
+    side = lambda: [f"w{draw.random() < 0.1}.{n}" for n in range(draw.choice([0, 3, 11, 28, 35]))]
+    docs = {i: [*reversed(side()), *common, *side()] for i in range(60)}
+    docs[60], docs[61] = docs[7], docs[8]
+    texts = frame(spark, [(i, " ".join(w)) for i, w in docs.items()]).select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("place"), "text")
+    found = passages.paragraph_rows(texts.select("_id", "place", passages.word_hashes(F.col("text")).alias("words")))
+    most = found.groupBy("paragraph").count().orderBy(F.desc("count"), "paragraph").first()["paragraph"]
+    held = found.where(F.col("paragraph") == most)
+    assert held.count() == len(docs)
+    at = {r["_id"]: r["first"] for r in held.collect()}
+    words = {i: (list(reversed(docs[i][:f]))[: passages.CONTEXT], docs[i][f + passages.PARAGRAPH :][: passages.CONTEXT]) for i, f in at.items()}
+    want = set()
+    for i, f in at.items():
+        for k in (0, 1):
+            own = words[i][k]
+            best = {}
+            for o in at:
+                if o != i:
+                    other = words[o][k]
+                    best[o] = next((n for n, (a, b) in enumerate(zip(own, other)) if a != b), min(len(own), len(other)))
+            kept = max(best.values(), default=0)
+            gone = max((n for o, n in best.items() if o < i), default=0)
+            first = min((o for o, n in best.items() if o < i and n == gone), default=None)
+            for who, near, far in ((first, 0, gone), (i, gone, kept)):
+                if near < far:
+                    want.add((i, who, f - far, f - near) if k == 0 else (i, who, f + passages.PARAGRAPH + near, f + passages.PARAGRAPH + far))
+    got = {tuple(r) for r in passages.extensions(texts, held).collect()}
+    assert len(want) > 60 and not got ^ want
+
+
 CLASHING = ["_id", "_row", "_lines", "drop", "score", "found", "_copy", "_near_id", "_n_lines", "_n_dropped", "_all", "_t1", "class_id", "_place", "batch", "h1"]
 
 
