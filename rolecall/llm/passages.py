@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import ODD, WORDS, band_buckets, bucket_links, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.shingles import ODD, WORDS, bucket_links, mix, shingled, starts_of, uneven, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,6 +23,7 @@ PARAGRAPH, RUN = 22, 29
 SIMILARITY = 0.8
 #: 3 bands of 2 hashes: a pair at 0.8 shares a band with probability 0.953, equal paragraphs always do.
 BANDS, ROWS = 3, 2
+KEYS = [f"key_{k}" for k in range(BANDS)]
 #: So many words are looked at on each side of a paragraph; further on the next paragraph covers a shared run.
 CONTEXT = RUN - 1
 NO_ID = 1 << 62
@@ -118,9 +119,9 @@ class Contexts:
 
 
 def paragraph_rows(rows: DataFrame) -> DataFrame:
-    """``_id, place, first, paragraph, keys, room_0, room_1, kind_0, kind_1`` from rows ``_id, place, words``.
+    """``_id, place, first, paragraph, key_0, ..., room_0, room_1, kind_0, kind_1`` from rows ``_id, place, words``.
 
-    ``paragraph`` is a hash of its words, ``keys`` are its bands, ``kind_0`` and ``kind_1`` hashes of it
+    ``paragraph`` is a hash of its words, ``key_0`` to the last are its bands, ``kind_0`` and ``kind_1`` hashes of it
     with the ``room_0`` words before it and the ``room_1`` words after it.
     """
 
@@ -136,26 +137,35 @@ def paragraph_rows(rows: DataFrame) -> DataFrame:
                 sides = [np.full(len(row), side, np.int64) for side in (0, 1)]
                 rooms = [contexts.room(row, first, side) for side in sides]
                 kinds = [contexts.keys(row, first, whole, side, room) for side, room in zip(sides, rooms, strict=True)]
-                offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row + at)),
                         batch.column(1).take(pa.array(row + at)),
                         pa.array(first.astype(np.int64)),
                         pa.array(whole.view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
+                        *[pa.array(key) for key in np.ascontiguousarray(keys.T).view(np.int64)],
                         *[pa.array(room.astype(np.int32)) for room in rooms],
                         *[pa.array(kind.view(np.int64)) for kind in kinds],
                     ],
-                    names=["_id", "place", "first", "paragraph", "keys", "room_0", "room_1", "kind_0", "kind_1"],
+                    names=["_id", "place", "first", "paragraph", *KEYS, "room_0", "room_1", "kind_0", "kind_1"],
                 )
 
+    keyed = ", ".join(f"{k} long" for k in KEYS)
     return rows.mapInArrow(
-        cut,
-        "_id long, place long, first long, paragraph long, keys array<long>, room_0 int, room_1 int, kind_0 long, kind_1 long",
+        cut, f"_id long, place long, first long, paragraph long, {keyed}, room_0 int, room_1 int, kind_0 long, kind_1 long"
     )
 
 
+def paragraph_buckets(kinds: DataFrame) -> DataFrame:
+    """``id, key, n, first, second, band`` of paragraphs that share a band key with others, with two leaders a bucket.
+
+    Keys differ from band to band and ids are hashes already, so neither the band nor another hash travels.
+    """
+    members = kinds.select("id", F.explode(F.array(*KEYS)).alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("second"))
+    return members.join(sizes.where("n > 1"), "key").withColumn("band", F.lit(0))
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """``id, shingles`` of those paragraphs of rows ``ids, words`` that ``ids`` asks for.
 
@@ -297,15 +307,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = docs.select(own.alias("_id"), F.xxhash64(own, whole).alias("place"), whole.alias("text"))
     words = word_hashes(F.col("text")).alias("words")
     found = stage(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
-    kinds = found.groupBy(F.col("paragraph").alias("id")).agg(F.any_value("keys").alias("keys"))
-    buckets = stage(band_buckets(kinds), "paragraph-buckets")
-    wanted = stage(buckets.select("id").distinct(), "paragraph-wanted")
-    spread = found.groupBy(F.col("paragraph").alias("id")).agg(
-        F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place")
-    )
-    spread = stage(spread.join(wanted.withColumn("met", F.lit(True)), "id", "left").where("met or least < most"), "paragraph-spread")
     # one text gives the set of a paragraph, however many have it; what is asked of a text is bounded by its length
-    asked = spread.where("met").groupBy("place").agg(F.collect_list("id").alias("ids"))
+    kinds = found.groupBy(F.col("paragraph").alias("id")).agg(
+        F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place"), *[F.min(k).alias(k) for k in KEYS]
+    )
+    kinds = stage(kinds, "paragraph-kinds")
+    buckets = stage(paragraph_buckets(kinds), "paragraph-buckets")
+    asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
     sets = stage(
         shingle_sets(texts.join(asked, "place").select("ids", words)).dropDuplicates(["id"]),
         "paragraph-sets",
@@ -318,12 +326,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     distinct_sets = sets.select("id", F.array_distinct("shingles").alias("shingles"))
     links = bucket_links(buckets, verify, lambda ids: rare_shingles(distinct_sets.join(ids, "id", "left_semi"), similarity), similarity)
-    classes = components(links).withColumnRenamed("class_id", "class")
-    named = spread.select("id", "least", "most").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    classes = components(links)
+    named = kinds.select("id", "least", "most").join(classes, "id", "left").where("class_id is not null or least < most")
+    named = named.select("id", "least", "most", F.coalesce("class_id", "id").alias("class"))
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")
     exact = (F.col("least") < F.col("most")).alias("exact")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id", exact), "repeated")
-    caught = stage(found.drop("keys").join(repeated, "paragraph"), "passage-caught")
+    caught = stage(found.drop(*KEYS).join(repeated, "paragraph"), "passage-caught")
     pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
     order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
