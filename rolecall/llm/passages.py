@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import ODD, WORDS, bucket_links, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.shingles import FEW, ODD, WORDS, bucket_links, mix, shingled, starts_of, uneven, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,15 +157,21 @@ def paragraph_rows(rows: DataFrame) -> DataFrame:
 
 
 def paragraph_buckets(kinds: DataFrame) -> DataFrame:
-    """``id, key, n, first, second, band`` of paragraphs that share a band key with others, with two leaders a bucket.
+    """``id, key, n, band`` of paragraphs that share a band key with others.
 
-    Keys differ from band to band and ids are hashes already, so neither the band nor another hash travels.
+    Keys differ from band to band, so the band does not travel.
     """
     members = kinds.select("id", F.explode(F.array(*KEYS)).alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("second"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     return members.join(sizes.where("n > 1"), "key").withColumn("band", F.lit(0))
 
 
+def with_leaders(buckets: DataFrame) -> DataFrame:
+    """``buckets`` with two leaders, ``first`` and ``second``, of each that is too crowded for all its pairs."""
+    led = buckets.where(F.col("n") > FEW).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("second"))
+    return buckets.join(led, "key", "left")
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """``id, shingles`` of those paragraphs of rows ``ids, words`` that ``ids`` asks for.
 
@@ -189,7 +195,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def context_keys(rows: DataFrame) -> DataFrame:
-    """``kind, keys`` of rows ``kinds, sides, firsts, paragraphs, words``, a text a row.
+    """``kind, least, most, keys`` of rows ``kinds, leasts, mosts, sides, firsts, paragraphs, words``, a text a row.
 
     ``keys`` are hashes of the paragraph with 1, 2, ... words next to it, up to what the text has or ``CONTEXT``.
     """
@@ -198,7 +204,8 @@ def context_keys(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at, words, lengths in _blocks(batch):
                 kinds, n = uneven(batch.column(0).slice(at, len(lengths)))
-                side, first, held = (uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (1, 2, 3))
+                side, first, held = (uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (3, 4, 5))
+                holders = [uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (1, 2)]
                 side, first, row = side.astype(np.int64), first.astype(np.int64), np.repeat(np.arange(len(lengths)), n)
                 contexts = Contexts(words, lengths)
                 room = contexts.room(row, first, side)
@@ -208,13 +215,13 @@ def context_keys(rows: DataFrame) -> DataFrame:
                 offsets = pa.array(np.append(starts_of(room), len(each)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(kinds.view(np.int64)),
+                        *[pa.array(c.view(np.int64)) for c in (kinds, *holders)],
                         pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                     ],
-                    names=["kind", "keys"],
+                    names=["kind", "least", "most", "keys"],
                 )
 
-    return rows.mapInArrow(cut, "kind long, keys array<long>")
+    return rows.mapInArrow(cut, "kind long, least long, most long, keys array<long>")
 
 
 def deepest(kinds: DataFrame) -> DataFrame:
@@ -251,12 +258,12 @@ def extensions(texts: DataFrame, caught: DataFrame) -> DataFrame:
     )
     several = kinds.groupBy("paragraph", "side").agg(F.min("kind").alias("one"), F.max("kind").alias("other")).where("one < other")
     open_ = kinds.join(several.select("paragraph", "side"), ["paragraph", "side"], "left_semi")
-    asked = open_.select("at.*", "kind", F.col("side").cast("long").alias("side"), "paragraph")
-    asked = asked.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("first", "side", "kind", "paragraph"))).alias("o"))
-    asked = asked.select("place", F.col("o.kind").alias("k"), F.col("o.side").alias("s"), F.col("o.first").alias("f"), F.col("o.paragraph").alias("p"))
-    read = context_keys(texts.join(asked, "place").select("k", "s", "f", "p", word_hashes(F.col("text")).alias("words")))
-    held = read.dropDuplicates(["kind"]).join(kinds.select("kind", "least", "most"), "kind")
-    searched = deepest(stage(held, "passage-contexts"))
+    told = ["kind", "least", "most", "side", "first", "paragraph"]
+    asked = open_.select("at.*", "kind", "least", "most", F.col("side").cast("long").alias("side"), "paragraph")
+    asked = asked.groupBy("place").agg(F.collect_list(F.struct(*told)).alias("o")).select("place", *[F.col(f"o.{c}").alias(c) for c in told])
+    # a text that is there twice tells its kinds twice, which changes no minimum or maximum
+    read = context_keys(texts.join(asked, "place").select(*told, word_hashes(F.col("text")).alias("words")))
+    searched = deepest(stage(read, "passage-contexts"))
     settled = stage(
         kinds.join(searched, "kind", "left").select(
             "kind", "least", F.coalesce("low", "least").alias("low"), F.coalesce("gone", F.lit(0)).alias("gone"), "gone_id",
@@ -314,10 +321,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kinds = stage(kinds, "paragraph-kinds")
     buckets = stage(paragraph_buckets(kinds), "paragraph-buckets")
     asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
-    sets = stage(
-        shingle_sets(texts.join(asked, "place").select("ids", words)).dropDuplicates(["id"]),
-        "paragraph-sets",
-    )
+    once = texts.groupBy("place").agg(F.first("text").alias("text"))  # meets ``asked`` as it lies
+    sets = stage(shingle_sets(once.join(asked, "place").select("ids", words)), "paragraph-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
@@ -325,7 +330,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return sides.where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
 
     distinct_sets = sets.select("id", F.array_distinct("shingles").alias("shingles"))
-    links = bucket_links(buckets, verify, lambda ids: rare_shingles(distinct_sets.join(ids, "id", "left_semi"), similarity), similarity)
+    links = bucket_links(with_leaders(buckets), verify, lambda ids: rare_shingles(distinct_sets.join(ids, "id", "left_semi"), similarity), similarity)
     classes = components(links)
     named = kinds.select("id", "least", "most").join(classes, "id", "left").where("class_id is not null or least < most")
     named = named.select("id", "least", "most", F.coalesce("class_id", "id").alias("class"))
