@@ -27,6 +27,24 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Staged tables of one job by name; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = self.paths[purpose] = shared_path(self.spark, purpose)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *purposes: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for purpose in purposes:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(purpose))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast an object of this package; tasks call what is returned. Its classes travel by value, so that the
     workers need no package."""

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import components, stage, table
+from rolecall.llm.common import Stages, components, stage, table
 from rolecall.llm.registry import query
 from rolecall.llm.shingles import FEW, ODD, WORDS, bucket_links, mix, shingled, starts_of, uneven, word_hashes
 
@@ -311,18 +311,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     own = F.coalesce(F.col(key).cast("long"), F.xxhash64(whole).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+    staged = Stages(docs.sparkSession)
     texts = docs.select(own.alias("_id"), F.xxhash64(own, whole).alias("place"), whole.alias("text"))
     words = word_hashes(F.col("text")).alias("words")
-    found = stage(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
+    found = staged(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
     # one text gives the set of a paragraph, however many have it; what is asked of a text is bounded by its length
     kinds = found.groupBy(F.col("paragraph").alias("id")).agg(
         F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place"), *[F.min(k).alias(k) for k in KEYS]
     )
-    kinds = stage(kinds, "paragraph-kinds")
-    buckets = stage(paragraph_buckets(kinds), "paragraph-buckets")
+    kinds = staged(kinds, "paragraph-kinds")
+    buckets = staged(paragraph_buckets(kinds), "paragraph-buckets")
     asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
     once = texts.groupBy("place").agg(F.first("text").alias("text"))  # meets ``asked`` as it lies
-    sets = stage(shingle_sets(once.join(asked, "place").select("ids", words)), "paragraph-sets")
+    sets = staged(shingle_sets(once.join(asked, "place").select("ids", words)), "paragraph-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
@@ -338,6 +339,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     exact = (F.col("least") < F.col("most")).alias("exact")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id", exact), "repeated")
     caught = stage(found.drop(*KEYS).join(repeated, "paragraph"), "passage-caught")
+    staged.drop("paragraphs", "paragraph-kinds", "paragraph-buckets", "paragraph-sets")  # later steps read what was caught and the texts
     pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
     order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
