@@ -338,8 +338,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = named.groupBy("class").agg(F.min("least").alias("class_id"), F.max("most").alias("most")).where("class_id < most")
     exact = (F.col("least") < F.col("most")).alias("exact")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id", exact), "repeated")
+    staged.drop("paragraph-kinds", "paragraph-buckets", "paragraph-sets")  # classes are settled
     caught = stage(found.drop(*KEYS).join(repeated, "paragraph"), "passage-caught")
-    staged.drop("paragraphs", "paragraph-kinds", "paragraph-buckets", "paragraph-sets")  # later steps read what was caught and the texts
+    staged.drop("paragraphs")  # later steps read what was caught and the texts
     pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
     order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
