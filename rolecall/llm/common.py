@@ -5,7 +5,8 @@ from __future__ import annotations
 import pickle
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,15 +16,39 @@ from rolecall.session import cut_lineage, shared_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside give up their shuffle files as soon as they end, not when the driver collects garbage.
+
+    For results that are written and read back: nothing asks for those files again, and a lost executor
+    is made good for within the query as ever.
+    """
+    before = spark.conf.get(CLEANUP_CONF)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that leaves no shuffle files behind."""
+    with shuffles_end(df.sparkSession):
+        return cut_lineage(df)
+
+
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write once below the shared folder and read back, so that later passes do not repeat the work."""
     path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -35,7 +60,8 @@ class Stages:
 
     def __call__(self, df: DataFrame, purpose: str) -> DataFrame:
         path = self.paths[purpose] = shared_path(self.spark, purpose)
-        df.write.parquet(path)
+        with shuffles_end(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *purposes: str) -> None:
@@ -100,8 +126,8 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has ids ``a`` and ``b``. Alternates the two star operations on links until nothing
     changes; each round is a minimum per id, aggregated before its shuffle, and one join.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-                        .where("hi <> lo").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+                .where("hi <> lo").distinct())
     state = None
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
@@ -111,7 +137,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "hi").select(
             F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")
         ).select("e.*").where("hi <> lo").distinct()
-        edges = cut_lineage(small)
+        edges = cut(small)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
         if tuple(new) == state:
             return edges.select(F.col("hi").alias("id"), F.col("lo").alias("class_id")).union(
