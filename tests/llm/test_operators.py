@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections import Counter
@@ -331,3 +332,53 @@ def test_texts_of_one_id_stay(spark):
     rows = [(1, "one text", "b"), (1, "one text", "a"), (1, "another text", "c"), (2, "one text", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
     assert sorted(map(tuple, near_dups.keep_one(docs).collect())) == [(1, "another text", "c"), (1, "one text", "a")]
+
+
+def test_kernel_matches_listed_subsequences():
+    words = ["idiot", "id1ot", "i-diot", "haha", "a", "", "mmmm", "idiocy", "stu pid".replace(" ", ""), "größe"]
+
+    def listed(word):
+        marked, found, length = "\x02" + word + "\x03", Counter(), 0.0
+        for i, j, k in itertools.combinations(range(len(marked)), 3):
+            if k - i <= toxicity.SPAN:
+                weight = toxicity.DECAY ** (k - i + 1)
+                found[marked[i] + marked[j] + marked[k]] += weight
+                length += weight * weight
+        return found, length**0.5
+
+    got = toxicity.kernel([w for w in words if w], ["idiot", "haha", "mmmm"])
+    for n, word in enumerate(w for w in words if w):
+        own, length = listed(word)
+        for m, mark in enumerate(["idiot", "haha", "mmmm"]):
+            other, other_length = listed(mark)
+            want = sum(own[s] * other[s] for s in own) / (length * other_length)
+            assert got[n, m] == pytest.approx(want, abs=1e-5), (word, mark)
+
+
+def test_shards_against_plain_python(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = QUERIES["op6_sharding"](spark, SF_DIR).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {
+        i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()
+    }
+    assert len(rows) == len(texts) and {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+    loads, slots = Counter(), {}
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(loads) == set(range(16))
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+    largest = max(r["size"] for r in rows)
+    assert max(loads.values()) - min(loads.values()) <= largest
+
+
+def test_a_grown_map_fills_the_new_shard():
+    import numpy as np
+
+    size = np.random.default_rng(2).integers(1, 1000, 4096).astype(float)
+    before = sharding.rebalance(sharding.first_map(), size, 16)
+    after = sharding.rebalance(before, size, 17)
+    loads = np.bincount(after, weights=size, minlength=17)
+    assert loads.max() - loads.min() <= 2
+    # about a 17th of the bytes has to move, and little more does
+    assert size[after != before].sum() <= 2 * size.sum() / 17
