@@ -11,6 +11,8 @@ from collections import Counter
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -382,3 +384,45 @@ def test_a_grown_map_fills_the_new_shard():
     assert loads.max() - loads.min() <= 2
     # about a 17th of the bytes has to move, and little more does
     assert size[after != before].sum() <= 2 * size.sum() / 17
+
+
+def test_fingerprints_against_plain_python(spark):
+    xx = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()), reverse=True)
+
+    def terms(text):
+        found = regex.split(r"[ \t\n\x0b\f\r\p{P}\p{S}\p{C}]+", text.lower())
+        return {signed(xx(t.encode())) for t in found if t}
+
+    frequency = Counter(h for _, t in docs for h in terms(t))
+    low = max(fingerprints.LEAST_DOCUMENTS, len(docs) * fingerprints.LEAST_SHARE)
+    band = {h for h, n in frequency.items() if low <= n <= max(low, len(docs) * fingerprints.MOST_SHARE)}
+
+    def parts(text):
+        own = sorted(terms(text) & band)
+
+        def short(some):
+            seed = 42
+            for h in some:
+                seed = xx(struct.pack("<q", h), seed)
+            return seed & 0xFFFFFFFF if some else None
+
+        found = [short(own) if own else xx(text.encode()) & 0xFFFFFFFF]
+        for first_bit, values, used in fingerprints.SUBSETS:
+            found += [short([h for h in own if (h % (1 << 64) >> first_bit) % values == k]) for k in range(used)]
+        return found
+
+    def likeness(a, b):
+        told = [x == y for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(told) / len(told)
+
+    printed = lambda some: ".".join("-" if p is None else f"{p:08x}" for p in some)
+    want = {}
+    for n, (i, text) in enumerate(docs):
+        other, half = docs[(n + 1) % len(docs)][1], len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        a, b, c = parts(text), parts(edited), parts(other)
+        want[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), printed(a), printed(b), likeness(a, b), likeness(a, c))
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_fingerprints"](spark, SF_DIR).collect()}
+    assert got == want
