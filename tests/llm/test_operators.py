@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import struct
 import zlib
 from collections import Counter
@@ -426,3 +427,33 @@ def test_fingerprints_against_plain_python(spark):
         want[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), printed(a), printed(b), likeness(a, b), likeness(a, c))
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_fingerprints"](spark, SF_DIR).collect()}
     assert got == want
+
+
+def test_near_dups_against_all_pairs(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+
+    def shingles(text):
+        words = [w for w in regex.split(r"[ \t\n\x0b\f\r]+", text) if w]
+        return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+    sets = {i: shingles(t) for i, t in docs.items()}
+    frequency = Counter(s for own in sets.values() for s in own)
+    weighed = {i: {s: n * math.log1p(len(docs) / frequency[s]) for s, n in own.items()} for i, own in sets.items()}
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        x, y = weighed[a], weighed[b]
+        both = sum(min(w, y[s]) for s, w in x.items() if s in y)
+        either = sum(x.values()) + sum(y.values()) - both
+        if docs[a] == docs[b] or (either and both >= near_dups.SIMILARITY * either):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op5_near_dups"](spark, SF_DIR).collect()}
+    want = {i: find(i) for i in docs}
+    assert len(set(want.values())) < len(want)
+    assert got == want
