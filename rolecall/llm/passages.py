@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from rolecall.llm.common import Stages, components, stage, table
 from rolecall.llm.registry import query
-from rolecall.llm.shingles import FEW, ODD, WORDS, bucket_links, mix, shingled, starts_of, uneven, word_hashes
+from rolecall.llm.byte_level import byte_slices
+from rolecall.llm.shingles import FEW, ODD, SLICE_BYTES, WORDS, bucket_links, mix, shingled, starts_of, text_words, uneven, word_hashes  # noqa: F401
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,9 +72,17 @@ def paragraphs(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows of a batch with their word hashes, about a million words at a time."""
-    words, lengths = uneven(batch.column(batch.num_columns - 1))
-    ends, at = np.cumsum(lengths), 0
+    """Rows of a batch with the hashes of their words, about a megabyte of text or a million words at a time.
+
+    The last column holds texts, or lists of the hashes of their words.
+    """
+    column, at = batch.column(batch.num_columns - 1), 0
+    if pa.types.is_string(column.type):
+        for row, to in byte_slices(column, 2 * SLICE_BYTES):
+            yield row, *text_words(column.slice(row, to - row))
+        return
+    words, lengths = uneven(column)
+    ends = np.cumsum(lengths)
     while at < len(lengths):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + 1_000_000)))
@@ -118,42 +127,43 @@ class Contexts:
         return mix(mix(run + j.astype(np.uint64) * ODD[1]) ^ mix(paragraph + ODD[2] * (side + 1).astype(np.uint64)))
 
 
-def paragraph_rows(rows: DataFrame) -> DataFrame:
-    """``_id, place, first, paragraph, key_0, ..., room_0, room_1, kind_0, kind_1`` from rows ``_id, place, words``.
+def paragraph_rows(rows: DataFrame, bands: bool = True, contexts: bool = True) -> DataFrame:
+    """``_id, place, first, paragraph, key_0, ..., room_0, room_1, kind_0, kind_1`` from rows ``_id, place, text``.
 
     ``paragraph`` is a hash of its words, ``key_0`` to the last are its bands, ``kind_0`` and ``kind_1`` hashes of it
-    with the ``room_0`` words before it and the ``room_1`` words after it.
+    with the ``room_0`` words before it and the ``room_1`` words after it. Without ``bands`` or ``contexts`` those
+    columns are left out.
     """
+    names = ["_id", "place", "first", "paragraph", *(KEYS if bands else []), *(["room_0", "room_1", "kind_0", "kind_1"] if contexts else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, words, lengths in _blocks(batch):
                 row, first, shingles = paragraphs(words, lengths)
-                whole, contexts = _whole(shingles), Contexts(words, lengths)
-                keys = np.zeros((len(row), BANDS), np.uint64)
-                for k in range(BANDS * ROWS):
-                    least = mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(axis=1) if len(row) else whole
-                    keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least + np.uint64(k))
-                sides = [np.full(len(row), side, np.int64) for side in (0, 1)]
-                rooms = [contexts.room(row, first, side) for side in sides]
-                kinds = [contexts.keys(row, first, whole, side, room) for side, room in zip(sides, rooms, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row + at)),
-                        batch.column(1).take(pa.array(row + at)),
-                        pa.array(first.astype(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                        *[pa.array(key) for key in np.ascontiguousarray(keys.T).view(np.int64)],
-                        *[pa.array(room.astype(np.int32)) for room in rooms],
-                        *[pa.array(kind.view(np.int64)) for kind in kinds],
-                    ],
-                    names=["_id", "place", "first", "paragraph", *KEYS, "room_0", "room_1", "kind_0", "kind_1"],
-                )
-
-    keyed = ", ".join(f"{k} long" for k in KEYS)
-    return rows.mapInArrow(
-        cut, f"_id long, place long, first long, paragraph long, {keyed}, room_0 int, room_1 int, kind_0 long, kind_1 long"
-    )
+                whole = _whole(shingles)
+                columns = [
+                    batch.column(0).take(pa.array(row + at)),
+                    batch.column(1).take(pa.array(row + at)),
+                    pa.array(first.astype(np.int64)),
+                    pa.array(whole.view(np.int64)),
+                ]
+                if bands:
+                    keys = np.zeros((BANDS, len(row)), np.uint64)
+                    for k in range(BANDS * ROWS):
+                        least = mix(shingles ^ mix(np.array([k + 1], np.uint64))).min(axis=1) if len(row) else whole
+                        keys[k // ROWS] = mix(keys[k // ROWS] + least + np.uint64(k))
+                    columns += [pa.array(key) for key in keys.view(np.int64)]
+                if contexts:
+                    found = Contexts(words, lengths)
+                    sides = [np.full(len(row), side, np.int64) for side in (0, 1)]
+                    rooms = [found.room(row, first, side) for side in sides]
+                    columns += [pa.array(room.astype(np.int32)) for room in rooms]
+                    for side, room in zip(sides, rooms, strict=True):
+                        columns.append(pa.array(found.keys(row, first, whole, side, room).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {"room_0": "int", "room_1": "int"}
+    return rows.mapInArrow(cut, ", ".join(f"{name} {kinds.get(name, 'long')}" for name in names))
 
 
 def paragraph_buckets(kinds: DataFrame) -> DataFrame:
@@ -173,7 +183,7 @@ def with_leaders(buckets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``id, shingles`` of those paragraphs of rows ``ids, words`` that ``ids`` asks for.
+    """``id, shingles`` of those paragraphs of rows ``ids, text`` that ``ids`` asks for.
 
     32 bits of each shingle's hash: two of the at most 36 shingles of a pair are taken for one
     with probability under 2e-7, and sets are half as large where they are joined.
@@ -195,7 +205,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def context_keys(rows: DataFrame) -> DataFrame:
-    """``kind, least, most, keys`` of rows ``kinds, leasts, mosts, sides, firsts, paragraphs, words``, a text a row.
+    """``kind, least, most, keys`` of rows ``kinds, leasts, mosts, sides, firsts, paragraphs, text``, a text a row.
 
     ``keys`` are hashes of the paragraph with 1, 2, ... words next to it, up to what the text has or ``CONTEXT``.
     """
@@ -262,7 +272,7 @@ def extensions(texts: DataFrame, caught: DataFrame) -> DataFrame:
     asked = open_.select("at.*", "kind", "least", "most", F.col("side").cast("long").alias("side"), "paragraph")
     asked = asked.groupBy("place").agg(F.collect_list(F.struct(*told)).alias("o")).select("place", *[F.col(f"o.{c}").alias(c) for c in told])
     # a text that is there twice tells its kinds twice, which changes no minimum or maximum
-    read = context_keys(texts.join(asked, "place").select(*told, word_hashes(F.col("text")).alias("words")))
+    read = context_keys(texts.join(asked, "place").select(*told, "text"))
     searched = deepest(stage(read, "passage-contexts"))
     settled = stage(
         kinds.join(searched, "kind", "left").select(
@@ -313,25 +323,28 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = F.coalesce(F.col(key).cast("long"), F.xxhash64(whole).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
     staged = Stages(docs.sparkSession)
     texts = docs.select(own.alias("_id"), F.xxhash64(own, whole).alias("place"), whole.alias("text"))
-    words = word_hashes(F.col("text")).alias("words")
-    found = staged(paragraph_rows(texts.select("_id", "place", words)), "paragraphs")
+    # texts are cut twice, for the kinds of paragraphs and for where they stand, so that all paragraphs never lie written
+    cut = lambda **columns: paragraph_rows(texts.select("_id", "place", "text"), **columns)
     # one text gives the set of a paragraph, however many have it; what is asked of a text is bounded by its length
-    kinds = found.groupBy(F.col("paragraph").alias("id")).agg(
+    kinds = cut(contexts=False).groupBy(F.col("paragraph").alias("id")).agg(
         F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place"), *[F.min(k).alias(k) for k in KEYS]
     )
     kinds = staged(kinds, "paragraph-kinds")
     buckets = staged(paragraph_buckets(kinds), "paragraph-buckets")
     asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
     once = texts.groupBy("place").agg(F.first("text").alias("text"))  # meets ``asked`` as it lies
-    sets = staged(shingle_sets(once.join(asked, "place").select("ids", words)), "paragraph-sets")
+    sets = staged(shingle_sets(once.join(asked, "place").select("ids", "text")), "paragraph-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
         sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return sides.where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
 
-    distinct_sets = sets.select("id", F.array_distinct("shingles").alias("shingles"))
-    links = bucket_links(with_leaders(buckets), verify, lambda ids: rare_shingles(distinct_sets.join(ids, "id", "left_semi"), similarity), similarity)
+    def divided(ids: DataFrame) -> DataFrame:
+        some = sets.join(ids, "id", "left_semi").select("id", F.array_distinct("shingles").alias("shingles"))
+        return rare_shingles(staged(some, "divided-sets"), similarity)
+
+    links = bucket_links(with_leaders(buckets), verify, divided, similarity)
     classes = components(links)
     named = kinds.select("id", "least", "most").join(classes, "id", "left").where("class_id is not null or least < most")
     named = named.select("id", "least", "most", F.coalesce("class_id", "id").alias("class"))
@@ -339,8 +352,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     exact = (F.col("least") < F.col("most")).alias("exact")
     repeated = stage(named.join(repeated.select("class", "class_id"), "class").select(F.col("id").alias("paragraph"), "class_id", exact), "repeated")
     staged.drop("paragraph-kinds", "paragraph-buckets", "paragraph-sets")  # classes are settled
-    caught = stage(found.drop(*KEYS).join(repeated, "paragraph"), "passage-caught")
-    staged.drop("paragraphs")  # later steps read what was caught and the texts
+    caught = stage(cut(bands=False).join(repeated, "paragraph"), "passage-caught")
     pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
     order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
