@@ -13,7 +13,7 @@ from rolecall.plans.inputs import SCORED_SQL, cv_row, load, moment, shown, shown
 from rolecall.plans.registry import query
 from rolecall.session import shared_path
 from rolecall.sources.readers import read_cv, read_jobs, read_json_array, read_table
-from rolecall.sources.writers import export_json, write_json, write_json_arrays, write_lines, write_report, write_vectors
+from rolecall.sources.writers import dealt_in_order, export_json, write_json, write_json_arrays, write_lines, write_report, write_vectors
 
 MODEL = "text-embedding-small"
 
@@ -367,7 +367,7 @@ def first_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """All documents landed as several array files in order of their ids; the first records, with their places."""
     path = shared_path(spark, "job-files")
     docs = load(spark, sf, "documents").select("doc_id", "text", "source")
-    write_json_arrays(docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    write_json_arrays(dealt_in_order(docs, "doc_id", "text", least=5), path)
     taken = read_jobs(spark, path, docs.schema, 150)
     # records before this one: those of earlier files, all of which are taken, and the index in its own
     earlier = taken.groupBy("file").agg(F.count("*").alias("_n")).select(

@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 JOBS_PER_DOCUMENT = 1000
 SLOTS = 4096
 LINES_PER_FILE = 50_000
+# Text of the records that one JSON array file holds, about; such a file is read by one task.
+BYTES_PER_ARRAY = 64 << 20
 
 _JSON_TYPES = (T.StringType, T.BooleanType, T.NumericType, T.ArrayType, T.MapType, T.StructType)
 
@@ -99,6 +101,13 @@ def job_batches(jobs: DataFrame, source: str, jobs_per_document: int = JOBS_PER_
     return documents.select(F.concat(F.lit('{"jobs":['), listed, F.lit("]"), rest).alias("value"))
 
 
+def dealt_in_order(df: DataFrame, key: str, text: str, least: int = 1, bytes_per_file: int = BYTES_PER_ARRAY) -> DataFrame:
+    """Rows in order of ``key``, then by the hash of ``text``, over as many partitions as its bytes ask for, ``least`` at least."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    order = [F.col(key), F.xxhash64(text)]
+    return df.repartitionByRange(max(least, -(-size // bytes_per_file)), *order).sortWithinPartitions(*order)
+
+
 def write_json_arrays(df: DataFrame, path: str) -> None:
     """One JSON array file per partition, in the order of its rows; a record a line, written as it comes."""
     records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))

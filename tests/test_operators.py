@@ -31,7 +31,7 @@ from rolecall.operators.joins import drop_known
 from rolecall.schemas import BATCH_LEDGER, COMPANY, DEPARTMENT_SYNONYM, JOB, SEARCH_LOG
 from rolecall.session import shared_path
 from rolecall.sources.readers import read_jobs, read_json_array, read_legacy_companies, read_lines
-from rolecall.sources.writers import job_batches, write_json_arrays, write_lines
+from rolecall.sources.writers import dealt_in_order, job_batches, write_json_arrays, write_lines
 
 NOW = dt.datetime(2024, 2, 1, 8)
 
@@ -511,3 +511,20 @@ def test_small_sides_are_worked_out_once(spark):
     assert spark.range(20).join(joins.small_side(keys), "id").count() == 10
     assert spark.range(20).join(joins.small_side(keys, 5), "id").count() == 10
     assert calls.value == 20
+
+
+def test_array_files_grow_in_number_not_in_size(spark, tmp_path):
+    """Twenty times the text lies in as many more files, still in the order of the ids."""
+    sizes = []
+    for n in (400, 8000):
+        path = tmp_path / f"grown-{n}"
+        records = spark.range(n).selectExpr("id", "concat(id, repeat('x', 100)) AS text")
+        write_json_arrays(dealt_in_order(records, "id", "text", least=5, bytes_per_file=8000), str(path))
+        files = sorted(path.glob("*.txt"))
+        assert [r["id"] for file in files for r in json.loads(file.read_text(encoding="utf-8"))] == list(range(n))
+        sizes.append(max(file.stat().st_size for file in files))
+        assert sorted(r["id"] for r in read_jobs(spark, str(path), records.schema, 150).collect()) == list(range(150))
+    assert sizes[1] < 2 * sizes[0]
+    copies = spark.range(4000).selectExpr("1L AS id", "concat(id, repeat('x', 100)) AS text")
+    assert dealt_in_order(copies, "id", "text", bytes_per_file=8000).groupBy(F.spark_partition_id()).count().count() > 10
+    assert dealt_in_order(copies.where("false"), "id", "text", least=5).count() == 0
