@@ -43,6 +43,8 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 DOUBTFUL = re.compile("[\x1c-\x1f" + "".join(map(chr, (0x180E, 0x200B, 0xFEFF))) + "]")
 #: White space beyond ASCII.
 UNUSUAL = re.compile(f"[{WHITE[4:]}]")
+#: Bytes that begin any of these characters beyond ASCII, or that are one of them.
+TELLING = np.isin(np.arange(256), list(b"\x1c\x1d\x1e\x1f") + [c.encode("utf-8")[0] for c in WHITE[4:] + "\u180e\u200b\ufeff"])
 #: What stands before a run of white space never joins it.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Chunks whose letters and signs every Unicode table agrees on, without the marks of special tokens.
@@ -93,6 +95,11 @@ class ByteLevelIds(DistinctIds):
         found.update(zip(other, self._whole(other), strict=True))
         return [found[t] for t in texts]
 
+    def _suspects(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        telling = TELLING[data]
+        telling[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        return np.unique(np.searchsorted(bounds, np.flatnonzero(telling), "right") - 1)
+
     def _unusual(self, text: str) -> list[str] | None:
         if DOUBTFUL.search(text):
             return [text]

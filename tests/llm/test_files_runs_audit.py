@@ -277,3 +277,18 @@ def test_audit_of_odd_rows(spark):
             ("s", 17, None, None), ("", 4, None, None), ("", 2, None, None), ("s", 3, None, None)]
     assert Counter(map(tuple, got)) == Counter(want)
     assert filter_audit.failures(frame(spark, rows).where("false"), labels).collect() == []
+
+
+def test_only_texts_that_may_be_unusual_become_strings():
+    from rolecall.llm.token_files import DOUBTFUL, WHITE, ByteLevelIds
+
+    ids = ByteLevelIds(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = [f"a{c}b" for c in WHITE[4:] + "\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"] + ["<|endoftext|>", "a <| b"]
+    assert all(DOUBTFUL.search(text) or ids._unusual(text) for text in odd)
+    texts = ["", "plain text", "", "caf\u00e9 na\u00efve", "<", "| <", *odd, "a < b | c", ""]
+    seen, unusual = [], ids._unusual
+    ids._unusual = lambda text: seen.append(text) or unusual(text)
+    got, sizes = ids.encode(pa.array(["left out", *texts]).slice(1))
+    want = [ids.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert got.tolist() == [i for row in want for i in row] and sizes.tolist() == list(map(len, want))
+    assert set(odd) <= set(seen) and not set(seen) & {"plain text", "caf\u00e9 na\u00efve", "a < b | c"}
