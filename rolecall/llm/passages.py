@@ -27,6 +27,8 @@ BANDS, ROWS = 3, 2
 KEYS = [f"key_{k}" for k in range(BANDS)]
 #: So many words are looked at on each side of a paragraph; further on the next paragraph covers a shared run.
 CONTEXT = RUN - 1
+#: So many contexts of a paragraph and side meet in one place at most; more are dealt by what they hold.
+MANY = 1024
 NO_ID = 1 << 62
 
 
@@ -183,7 +185,7 @@ def with_leaders(buckets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``id, shingles`` of those paragraphs of rows ``ids, text`` that ``ids`` asks for.
+    """``id, shingles``, distinct ones, of those paragraphs of rows ``ids, text`` that ``ids`` asks for.
 
     32 bits of each shingle's hash: two of the at most 36 shingles of a pair are taken for one
     with probability under 2e-7, and sets are half as large where they are joined.
@@ -196,18 +198,20 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 _, _, shingles = paragraphs(words, lengths)
                 whole, once = np.unique(_whole(shingles), return_index=True)
                 wanted = np.isin(whole, asked)
-                whole, low = whole[wanted], shingles[once[wanted]].astype(np.uint32)
-                offsets = pa.array(np.arange(len(low) + 1, dtype=np.int32) * low.shape[1])
-                sets = pa.ListArray.from_arrays(offsets, pa.array(low.view(np.int32).ravel()))
+                whole, low = whole[wanted], np.sort(shingles[once[wanted]].astype(np.uint32), axis=1)
+                new = np.ones(low.shape, bool)
+                new[:, 1:] = low[:, 1:] != low[:, :-1]
+                offsets = pa.array(np.append(0, np.cumsum(new.sum(axis=1))).astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(low[new].view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), sets], names=["id", "shingles"])
 
     return rows.mapInArrow(cut, "id long, shingles array<int>")
 
 
 def context_keys(rows: DataFrame) -> DataFrame:
-    """``kind, least, most, keys`` of rows ``kinds, leasts, mosts, sides, firsts, paragraphs, text``, a text a row.
+    """``kind, least, most, n, paragraph, side, keys`` of rows ``kinds, leasts, mosts, sides, firsts, paragraphs, ns, text``.
 
-    ``keys`` are hashes of the paragraph with 1, 2, ... words next to it, up to what the text has or ``CONTEXT``.
+    A text is a row. ``keys`` are hashes of the paragraph with 1, 2, ... words next to it, up to what the text has or ``CONTEXT``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +219,7 @@ def context_keys(rows: DataFrame) -> DataFrame:
             for at, words, lengths in _blocks(batch):
                 kinds, n = uneven(batch.column(0).slice(at, len(lengths)))
                 side, first, held = (uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (3, 4, 5))
-                holders = [uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (1, 2)]
+                holders = [uneven(batch.column(c).slice(at, len(lengths)))[0] for c in (1, 2, 6, 5, 3)]
                 side, first, row = side.astype(np.int64), first.astype(np.int64), np.repeat(np.arange(len(lengths)), n)
                 contexts = Contexts(words, lengths)
                 room = contexts.room(row, first, side)
@@ -228,10 +232,62 @@ def context_keys(rows: DataFrame) -> DataFrame:
                         *[pa.array(c.view(np.int64)) for c in (kinds, *holders)],
                         pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                     ],
-                    names=["kind", "least", "most", "keys"],
+                    names=["kind", "least", "most", "n", "paragraph", "side", "keys"],
                 )
 
-    return rows.mapInArrow(cut, "kind long, least long, most long, keys array<long>")
+    return rows.mapInArrow(cut, "kind long, least long, most long, n long, paragraph long, side long, keys array<long>")
+
+
+def _shared(table: pa.Table) -> pa.RecordBatch:
+    """What ``deepest`` says of the kinds of whole groups."""
+    table = table.combine_chunks()
+    kind, least, most = (table.column(c).to_numpy() for c in ("kind", "least", "most"))
+    column = table.column("keys").combine_chunks()
+    keys, room = uneven(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+    own, starts = np.repeat(np.arange(len(kind)), room), starts_of(room)
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    first, key = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    key[order] = np.cumsum(new) - 1
+    low = np.minimum.reduceat(least[own[order]], first)[key]
+    both = low < np.maximum.reduceat(most[own[order]], first)[key]
+    # who has a context has all shorter ones, so counts are lengths
+    kept = np.add.reduceat(both, starts, dtype=np.int64)
+    gone = np.add.reduceat(both & (low < least[own]), starts, dtype=np.int64)
+    _, once = np.unique(kind, return_index=True)
+    once = once[kept[once] > 0]
+    kind, room, starts, kept, gone = (x[once] for x in (kind, room, starts, kept, gone))
+    columns = [
+        pa.array(kind), pa.array(low[starts + room - 1], mask=kept < room), pa.array(gone, mask=gone == 0),
+        pa.array(low[starts + np.maximum(gone, 1) - 1], mask=gone == 0), pa.array(kept),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "low", "gone", "gone_id", "kept"])
+
+
+def met(kinds: DataFrame) -> DataFrame:
+    """What ``deepest`` gives, of kinds ``(kind, least, most, paragraph, side, keys)`` that are at most ``MANY`` of a paragraph and side.
+
+    Kinds travel once, with all their contexts; groups are met whole, many at a time.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paragraph, side = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("paragraph", "side"))
+            changes = np.flatnonzero((paragraph[1:] != paragraph[:-1]) | (side[1:] != side[:-1])) + 1
+            to = int(changes[-1]) if len(changes) else 0  # the last group may go on, and the first may be what is held
+            if to:
+                yield _shared(pa.Table.from_batches([*held, batch.slice(0, to)]))
+                held = []
+            held.append(batch.slice(to))
+        if held:
+            yield _shared(pa.Table.from_batches(held))
+
+    rows = kinds.select("kind", "least", "most", "paragraph", "side", "keys").repartition("paragraph", "side")
+    return rows.sortWithinPartitions("paragraph", "side").mapInArrow(search, "kind long, low long, gone long, gone_id long, kept long")
 
 
 def deepest(kinds: DataFrame) -> DataFrame:
@@ -262,18 +318,19 @@ def extensions(texts: DataFrame, caught: DataFrame) -> DataFrame:
     kinds = stage(
         each.groupBy("kind").agg(
             F.any_value("paragraph").alias("paragraph"), F.any_value("side").alias("side"), F.any_value("room").alias("room"),
-            F.min("_id").alias("least"), F.max("_id").alias("most"), F.min(F.struct("place", "first")).alias("at"),
+            F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place"), F.min_by("first", "place").alias("first"),
         ),
         "passage-kinds",
     )
-    several = kinds.groupBy("paragraph", "side").agg(F.min("kind").alias("one"), F.max("kind").alias("other")).where("one < other")
-    open_ = kinds.join(several.select("paragraph", "side"), ["paragraph", "side"], "left_semi")
-    told = ["kind", "least", "most", "side", "first", "paragraph"]
-    asked = open_.select("at.*", "kind", "least", "most", F.col("side").cast("long").alias("side"), "paragraph")
+    several = kinds.groupBy("paragraph", "side").agg(F.count("*").alias("n")).where("n > 1")
+    told = ["kind", "least", "most", "side", "first", "paragraph", "n"]
+    asked = kinds.join(several, ["paragraph", "side"]).withColumn("side", F.col("side").cast("long")).select("place", *told)
     asked = asked.groupBy("place").agg(F.collect_list(F.struct(*told)).alias("o")).select("place", *[F.col(f"o.{c}").alias(c) for c in told])
     # a text that is there twice tells its kinds twice, which changes no minimum or maximum
     read = context_keys(texts.join(asked, "place").select(*told, "text"))
-    searched = deepest(stage(read, "passage-contexts"))
+    read = stage(read, "passage-contexts")
+    crowded = read.where(F.col("n") > MANY)
+    searched = met(read.where(F.col("n") <= MANY)).union(deepest(crowded))
     settled = stage(
         kinds.join(searched, "kind", "left").select(
             "kind", "least", F.coalesce("low", "least").alias("low"), F.coalesce("gone", F.lit(0)).alias("gone"), "gone_id",
@@ -332,16 +389,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kinds = staged(kinds, "paragraph-kinds")
     buckets = staged(paragraph_buckets(kinds), "paragraph-buckets")
     asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
-    once = texts.groupBy("place").agg(F.first("text").alias("text"))  # meets ``asked`` as it lies
+    # a text is read once for its sets; rows of one id and text are told by their places, before any text moves
+    alone = texts.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    once = texts.select("place", "text") if alone else texts.groupBy("place").agg(F.first("text").alias("text"))
     sets = staged(shingle_sets(once.join(asked, "place").select("ids", "text")), "paragraph-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("x", "y"))
         sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return sides.where(both >= similarity * F.size(F.array_union("x", "y"))).select("a", "b")
+        # what the two have in common is counted once: it is this share of both sizes where it is ``similarity`` of their union
+        needed = F.ceil((F.size("x") + F.size("y")) * (similarity / (1 + similarity)) - 1e-9)
+        return sides.where(F.size(F.array_intersect("x", "y")) >= needed).select("a", "b")
 
     def divided(ids: DataFrame) -> DataFrame:
-        some = sets.join(ids, "id", "left_semi").select("id", F.array_distinct("shingles").alias("shingles"))
+        some = sets.join(ids, "id", "left_semi")
         return rare_shingles(staged(some, "divided-sets"), similarity)
 
     links = bucket_links(with_leaders(buckets), verify, divided, similarity)
