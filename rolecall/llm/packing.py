@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.llm.byte_level import DistinctIds, LineModel, byte_letters, byte_slices
-from rolecall.llm.common import keep_in_worker, places, stage, table
+from rolecall.llm.common import batches_of, give_back, keep_in_worker, places, stage, table
 from rolecall.llm.registry import query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 RANK_BUCKETS = 256
-CACHED_CHUNKS = 800_000
+#: About 200 bytes each in every Python worker.
+CACHED_CHUNKS = 600_000
+#: Bytes of texts that are encoded at a time, and texts that a worker reads at a time.
+SLICE_BYTES = 2 << 20
+BATCH_TEXTS = 1000
 
 BLANKS = " \t\n\r\x0b\x0c"
 CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
@@ -108,7 +112,7 @@ def token_pieces(
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(1)
-            for first, to in byte_slices(texts):
+            for first, to in byte_slices(texts, SLICE_BYTES):
                 ids, sizes = ids_of.encode(texts.slice(first, to - first))
                 ends = np.cumsum(sizes)
                 data = memoryview(np.insert(ids, ends, 0)).cast("B")
@@ -130,6 +134,7 @@ def token_pieces(
                 ],
                 names=["_key", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     pieces = narrow.mapInArrow(cut, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
     return pieces.withColumnRenamed("_key", key)
@@ -198,7 +203,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     Null and repeated ids are packed row by row; other columns are ignored.
     """
-    return pack(stage(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    with batches_of(docs.sparkSession, BATCH_TEXTS):
+        pieces = stage(token_pieces(docs, tokenizer_path, capacity), "pieces")
+    return pack(pieces, capacity)
 
 
 @query("op8_best_fit_packing")

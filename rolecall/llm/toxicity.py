@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecall.llm.common import keep_in_worker, packed_row, share, stage, table
+from rolecall.llm.common import give_back, keep_in_worker, packed_row, share, stage, table
 from rolecall.llm.registry import query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -257,6 +257,7 @@ def descriptions(docs: DataFrame, model: Model, keys: list[str], text: str = "te
             found += scores.describe(texts)
             column = pa.array(found, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, "found"])
+        give_back()
 
     schema = T.StructType([*narrow.schema.fields[: len(keys)], T.StructField("found", T.ArrayType(T.DoubleType()))])
     return narrow.mapInArrow(score, schema)
