@@ -168,12 +168,37 @@ def paragraph_rows(rows: DataFrame, bands: bool = True, contexts: bool = True) -
     return rows.mapInArrow(cut, ", ".join(f"{name} {kinds.get(name, 'long')}" for name in names))
 
 
-def paragraph_buckets(kinds: DataFrame) -> DataFrame:
-    """``id, key, n, band`` of paragraphs that share a band key with others.
+def shared_keys(kinds: DataFrame) -> DataFrame:
+    """``id, key`` of paragraphs ``(id, key_0, ...)`` that share a band key with others.
 
-    Keys differ from band to band, so the band does not travel.
+    Most keys have one paragraph. Sorted rows tell by the keys next to them, so what is alone goes before anything is
+    counted or joined; a task holds one row between two batches.
     """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda ids, keys: pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["id", "key"])
+        ids = keys = np.empty(0, np.int64)
+        met = np.empty(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, keys = np.append(ids[-1:], batch.column(0).to_numpy()), np.append(keys[-1:], batch.column(1).to_numpy())
+            same = keys[1:] == keys[:-1]
+            met = np.append(met[-1:], np.zeros(batch.num_rows, bool))
+            met[1:] |= same
+            met[:-1] |= same
+            yield rows(ids[:-1][met[:-1]], keys[:-1][met[:-1]])
+        yield rows(ids[-1:][met[-1:]], keys[-1:][met[-1:]])
+
     members = kinds.select("id", F.explode(F.array(*KEYS)).alias("key"))
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(search, "id long, key long")
+
+
+def paragraph_buckets(members: DataFrame) -> DataFrame:
+    """``id, key, n, band`` of what ``shared_keys`` gives.
+
+    Keys differ from band to band, so the band does not travel.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     return members.join(sizes.where("n > 1"), "key").withColumn("band", F.lit(0))
 
@@ -365,6 +390,36 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     return needed.select("id", F.col("h").cast("long").alias("group"), "rest", "whole")
 
 
+def spans(pieces: DataFrame) -> DataFrame:
+    """``_id, class_id, first_word, n_words`` of pieces ``(_id, class_id, first, end)``: overlapping and touching ones are one.
+
+    A task holds the span that is open between two batches, as a piece before those that follow.
+    """
+    names = ["_id", "class_id", "first", "end"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda own, held, first, end: pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (own, held, first, end - first)], names=["_id", "class_id", "first_word", "n_words"]
+        )
+        last = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, held, first, end = (np.append(x, batch.column(k).to_numpy()) for k, x in enumerate(last))
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (held[1:] != held[:-1])
+            base = np.cumsum(new) << 32  # no text has so many words
+            new[1:] |= (base + first)[1:] > np.maximum.accumulate(base + end)[:-1]
+            at = np.flatnonzero(new)
+            found = [own[at], held[at], first[at], np.maximum.reduceat(end, at)]
+            last = [c[-1:] for c in found]
+            yield rows(*(c[:-1] for c in found))
+        yield rows(*last)
+
+    sorted_ = pieces.select(names).repartition("_id", "class_id").sortWithinPartitions("_id", "class_id", "first")
+    return sorted_.mapInArrow(merge, "_id long, class_id long, first_word long, n_words long")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``_id, class_id, first_word, n_words``: the spans of words that several documents have.
 
@@ -387,7 +442,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.min("_id").alias("least"), F.max("_id").alias("most"), F.min("place").alias("place"), *[F.min(k).alias(k) for k in KEYS]
     )
     kinds = staged(kinds, "paragraph-kinds")
-    buckets = staged(paragraph_buckets(kinds), "paragraph-buckets")
+    buckets = staged(paragraph_buckets(staged(shared_keys(kinds), "paragraph-shared")), "paragraph-buckets")
+    staged.drop("paragraph-shared")
     asked = kinds.select("id", "place").join(buckets.select("id"), "id", "left_semi").groupBy("place").agg(F.collect_list("id").alias("ids"))
     # a text is read once for its sets; rows of one id and text are told by their places, before any text moves
     alone = texts.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
@@ -414,13 +470,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     staged.drop("paragraph-kinds", "paragraph-buckets", "paragraph-sets")  # classes are settled
     caught = stage(cut(bands=False).join(repeated, "paragraph"), "passage-caught")
     pieces = caught.select("_id", "class_id", "first", (F.col("first") + PARAGRAPH).alias("end")).union(extensions(texts, caught.where("exact")))
-    order = Window.partitionBy("_id", "class_id").orderBy("first", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("first") > reached, F.lit(True)).cast("int")
-    numbered = pieces.withColumn("new", new).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("_id", "class_id", "span").agg(
-        F.min("first").alias("first_word"), (F.max("end") - F.min("first")).alias("n_words")
-    ).drop("span")
+    return spans(pieces)
 
 
 @query("op7_repeated_passages")
