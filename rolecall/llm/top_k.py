@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rolecall.llm.common import share, stage, table
+from rolecall.llm.common import conf_set, share, stage, table
 from rolecall.llm.registry import query
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,8 +21,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 K = 20
 #: Pivots are picked from this many vectors at most; the index itself holds every vector.
 SAMPLE, PIVOTS = 2048, 64
-#: Vectors of an annulus at most, and parts that the annuli of a batch of queries are dealt into.
-ANNULUS, PARTS = 512, 4
+#: Vectors of an annulus at most, of the annuli that lie in a row of the index, and of those that are compared at a time.
+ANNULUS, RUN, TILE = 512, 8192, 2048
+#: Queries of a batch at most, and scores that are looked through at a time.
+QUERIES, COMPARED = 2048, 1 << 20
+#: No floor yet, and an id above all others.
+NONE, LAST = -(2**63), 2**63 - 1
 SLACK = 1e-6
 
 
@@ -39,19 +44,16 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def packed(rows: np.ndarray) -> tuple[bytes, str]:
-    """A matrix of whole numbers in the narrowest type that holds it."""
-    most = int(np.abs(rows).max(initial=0))
-    kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if most <= np.iinfo(t).max)
-    return rows.astype(kind).tobytes(), kind
+def kind_of(most: int) -> str:
+    """The narrowest type that holds whole numbers up to ``most`` on either side of 0."""
+    return next(t for t in ("<i1", "<i2", "<i4", "<i8") if most <= np.iinfo(t).max)
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in floating point where every partial sum is below 2^53, else in whole numbers."""
+    """Inner products, exact: in floating point where every partial sum is below 2^24 or 2^53, else in whole numbers."""
     bound = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
-    if bound < 2**53:
-        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
-    return left @ right.T
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    return left.astype(kind, copy=False) @ right.T.astype(kind, copy=False)
 
 
 class Pivots:
@@ -79,80 +81,162 @@ class Pivots:
         return np.sqrt(np.maximum(squared, 0))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
 def radius(squared: np.ndarray, longest: float, floor: np.ndarray) -> np.ndarray:
     """How far vectors of at least ``floor`` can be from each query."""
     inside = np.sqrt(np.maximum(squared + longest - 2 * floor, 0)) * (1 + SLACK) + SLACK
     return np.where(np.isneginf(floor), np.inf, inside)
 
 
-def annuli(rows: DataFrame, pivots, width: int, k: int) -> DataFrame:
-    """The index: runs of at most ``ANNULUS`` vectors of one pivot in order of distance, with the queries among them.
+def between(columns: dict[str, np.ndarray], start: int, to: int | None) -> dict[str, np.ndarray]:
+    return {name: x[start:to] for name, x in columns.items()}
+
+
+def floors(rows: np.ndarray, ids: np.ndarray, wanted: np.ndarray, k: int) -> np.ndarray:
+    """Each wanted row's k-th highest product with the others, or ``NONE``."""
+    out = np.full(len(wanted), NONE, np.int64)
+    for at in range(0, len(wanted), TILE) if len(rows) >= k else ():
+        some = wanted[at : at + TILE]
+        found = products(rows[some], rows)
+        found[ids[some][:, None] == ids[None, :]] = NONE
+        out[at : at + TILE] = np.partition(found, -k, axis=1)[:, -k].astype(np.int64)
+    return out
+
+
+def annuli(rows: DataFrame, pivots, width: int, kind: str, k: int) -> DataFrame:
+    """The index: annuli of at most ``ANNULUS`` vectors of one pivot in order of distance, ``RUN`` vectors to a row, and
+    between them the queries of some rows in a row of their own.
 
     Sorted by pivot, distance and id over all partitions, so neither a dense cell nor equal vectors
-    meet in one task. A query's floor is its k-th score within its own annulus.
+    meet in one task. A query's floor is its k-th score among the vectors of its own row.
     """
-    schema = (
-        "block long, pivot int, low double, high double, kind string, ids binary, vectors binary, "
-        "query_kind string, query_ids binary, queries binary, floors binary"
-    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = pivots().distances(pivots().lifted(matrix(batch.column(1), width).astype(np.float64)))
+            vectors = matrix(batch.column(1), width)
+            far = pivots().distances(pivots().lifted(vectors.astype(np.float64)))
             nearest = far.argmin(1)
+            data = pa.py_buffer(vectors.astype(kind).tobytes())
+            ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * (width * np.dtype(kind).itemsize))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(far[np.arange(len(far)), nearest])],
+                [batch.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(vectors), [None, ends.buffers()[1], data]), batch.column(2),
+                 pa.array(nearest.astype(np.int32)), pa.array(far[np.arange(len(far)), nearest])],
                 names=["vec_id", "vector", "wanted", "pivot", "distance"],
             )
 
+    def shown(row: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{n: x.tobytes() if isinstance(x, np.ndarray) else x for n, x in row.items()}], schema=shape)
+
+    def run_of(own: dict[str, np.ndarray]) -> dict:
+        cuts = np.flatnonzero(np.diff(own["pivot"])) + 1
+        starts = np.array([x for s, t in zip([0, *cuts], [*cuts, len(own["pivot"])], strict=True) for x in range(s, t, ANNULUS)])
+        ends = np.append(starts[1:], len(own["pivot"]))
+        return {"pivots": own["pivot"][starts].astype("<i4"), "lows": own["distance"][starts], "highs": own["distance"][ends - 1],
+                "starts": starts.astype("<i4"), "ids": own["vec_id"], "vectors": own["vector"]}
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        held = None
-        for batch in (*batches, None):
-            part = None
+        held, asked = None, []
+
+        def asked_of() -> dict:
+            ids, rows, least = (np.concatenate(x) for x in zip(*asked, strict=True))
+            return {"query_ids": ids, "queries": rows, "floors": least}
+
+        for batch in chain(batches, [None]):
             if batch is not None and batch.num_rows:
-                part = [batch.column(0).to_numpy(), matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False),
-                        batch.column(3).to_numpy(), batch.column(4).to_numpy()]
-            if held is not None and part is not None:
-                held = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            else:
-                held = held or part
-            if held is None:
-                continue
-            cuts = np.flatnonzero(np.diff(held[3])) + 1
-            ends = [e for s, t in zip([0, *cuts], [*cuts, len(held[3])], strict=True) for e in [*range(s + ANNULUS, t, ANNULUS), t]]
-            if batch is not None:
-                ends = ends[:-1]  # the last one may go on in the next batch
-            out, start = [], 0
-            for end in ends:
-                ids, rows, wanted, pivot, distance = (x[start:end] for x in held)
-                found = products(rows[wanted], rows).astype(np.float64)
-                found[ids[wanted][:, None] == ids[None, :]] = -np.inf
-                floors = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k and len(found) else np.full(len(found), -np.inf)
-                vectors, kind = packed(rows)
-                queries, query_kind = packed(rows[wanted])
-                out.append((number, int(pivot[0]), distance[0], distance[-1], kind, ids.tobytes(), vectors,
-                            query_kind, ids[wanted].tobytes(), queries, floors.tobytes()))
-                number, start = number + 1, end
-            held = [x[start:] for x in held] if start < len(held[0]) else None
-            for row in out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=shape)
-
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
-    shape = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
-    assigned = rows.mapInArrow(assign, "vec_id long, vector array<long>, wanted boolean, pivot int, distance double")
+                vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(-1, width)
+                part = {"vec_id": batch.column(0).to_numpy(), "vector": vectors, "wanted": batch.column(2).to_numpy(zero_copy_only=False),
+                        "pivot": batch.column(3).to_numpy(), "distance": batch.column(4).to_numpy()}
+                held = {n: np.concatenate([x, part[n]]) for n, x in held.items()} if held else part
+            while held and len(held["pivot"]) >= (RUN if batch is not None else 1):
+                own, held = between(held, 0, RUN), between(held, RUN, None)
+                wanted = np.flatnonzero(own["wanted"])
+                yield shown(run_of(own))
+                for at in range(0, len(wanted), QUERIES):
+                    some = wanted[at : at + QUERIES]
+                    if asked and sum(len(x[0]) for x in asked) + len(some) > QUERIES:
+                        yield shown(asked_of())
+                        asked = []
+                    asked.append((own["vec_id"][some], own["vector"][some], floors(own["vector"], own["vec_id"], some, k)))
+        if asked:
+            yield shown(asked_of())
+
+    names = ["pivots", "lows", "highs", "starts", "ids", "vectors", "query_ids", "queries", "floors"]
+    shape = pa.schema([(name, pa.binary()) for name in names])
+    assigned = rows.mapInArrow(assign, "vec_id long, vector binary, wanted boolean, pivot int, distance double")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = assigned.repartitionByRange(n, "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
-    return ordered.mapInArrow(build, schema)
+    return ordered.mapInArrow(build, ", ".join(f"{name} binary" for name in names))
+
+
+class Search:
+    """A batch of queries that the runs of the index pass one by one: each raises the floors, and what is out of reach is passed over."""
+
+    def __init__(self, row: dict, pivots: Pivots, width: int, kind: str, k: int) -> None:
+        self.pivots, self.k = pivots, k
+        self.ids = np.frombuffer(row["query_ids"], np.int64)
+        whole = np.frombuffer(row["queries"], kind).reshape(-1, width).astype(np.int64)
+        exact = whole.astype(np.float64)
+        # every vector has as many bits, so one type does for all products
+        self.rows = whole.astype(np.float32) if kind == "<i1" and width <= 1024 else whole
+        self.squared, self.far = (exact**2).sum(1), pivots.distances(np.c_[exact, np.zeros(len(exact))])
+        self.nearest = self.far.min(1)
+        # a vector counts where its score is above the floor, or is the floor and the id is below ``last``
+        self.floor, self.last = np.frombuffer(row["floors"], np.int64).copy(), np.full(len(exact), LAST)
+        self.kept = [np.zeros(0, np.int64)] * 3
+        self.new, self.n_new = [], 0
+        self.reach()
+
+    def reach(self) -> None:
+        self.radius = radius(self.squared, self.pivots.longest, np.where(self.floor == NONE, -np.inf, self.floor.astype(np.float64)))
+
+    def settle(self) -> None:
+        """Of all that was found the ``k`` highest scores of each query stay, ties to smaller ids."""
+        if not self.new:
+            return
+        query, ids, scores = (np.concatenate([x, *y]) for x, y in zip(self.kept, zip(*self.new, strict=True), strict=True))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.searchsorted(query, np.arange(len(self.ids)))
+        some = np.arange(len(query)) - first[query] < self.k
+        self.kept, self.new, self.n_new = [query[some], ids[some], scores[some]], [], 0
+        ends = first + self.k - 1
+        full = np.flatnonzero(ends < np.append(first[1:], len(query)))
+        raised = full[scores[ends[full]] >= self.floor[full]]
+        self.floor[raised], self.last[raised] = scores[ends[raised]], ids[ends[raised]]
+        self.reach()
+
+    def meet(self, run: dict) -> None:
+        pivot, start = (np.frombuffer(run[name], "<i4") for name in ("pivots", "starts"))
+        low, high = (np.frombuffer(run[name]) for name in ("lows", "highs"))
+        far, r = self.far[:, pivot], self.radius[:, None]
+        near = (far - high <= r) & (low - far <= r) & ((far - self.nearest[:, None]) / 2 <= r)  # the last: else on the other side
+        if not near.any():
+            return
+        ids = np.frombuffer(run["ids"], np.int64)
+        vectors = np.frombuffer(run["vectors"], run["kind"]).reshape(len(ids), -1)
+        end = np.append(start[1:], len(ids))
+        reached = np.flatnonzero(near.any(0))
+        tile = np.cumsum(end[reached] - start[reached]) // TILE
+        for some in np.split(reached, np.flatnonzero(np.diff(tile)) + 1):
+            asked = np.flatnonzero(near[:, some].any(1))
+            places = np.concatenate([np.arange(start[n], end[n]) for n in some])
+            self.compare(asked, ids[places], vectors[places])
+
+    def compare(self, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = products(self.rows[asked] if len(asked) < len(self.ids) else self.rows, vectors)
+        limit = self.floor[asked] + ((self.last[asked] <= ids.min()) & (self.floor[asked] != NONE))
+        hit = np.flatnonzero(scores.max(1) >= limit.astype(scores.dtype))
+        step = max(1, COMPARED // len(ids))
+        for at in range(0, len(hit), step):
+            some = hit[at : at + step]
+            query = asked[some]
+            floor = self.floor[query]
+            q, v = np.nonzero(scores[some] >= floor.astype(scores.dtype)[:, None])
+            found, whose = scores[some[q], v].astype(np.int64), query[q]
+            counts = (ids[v] != self.ids[whose]) & ((found > floor[q]) | (ids[v] < self.last[whose]))
+            self.new.append((whose[counts], ids[v[counts]], found[counts]))
+            self.n_new += int(counts.sum())
+            if self.n_new > 4 * self.k * len(self.ids):
+                self.settle()
 
 
 def top_k(rows: DataFrame, k: int = K) -> DataFrame:
@@ -161,104 +245,47 @@ def top_k(rows: DataFrame, k: int = K) -> DataFrame:
     ``rows`` has ``vec_id``, ``vector`` of whole numbers and ``wanted``. Rows without id or vector
     take no part; rows that share the query's id are not its results; a shorter vector ends in
     zeros. The result is exact. Products must fit 64 bits.
+
+    A task holds a batch of queries and reads the whole index past it, row by row: vectors are moved
+    by no shuffle but that which sorts them, and a batch leaves ``k`` rows a query.
     """
     spark = rows.sparkSession
     rows = stage(rows.where("vec_id is not null and vector is not null").select("vec_id", "vector", "wanted"), "vectors")
     squared = F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x)
-    width, longest = rows.agg(F.max(F.size("vector")), F.max(squared)).first()
+    most = F.greatest(F.max(F.array_max("vector")), -F.min(F.array_min("vector")))
+    width, longest, most = rows.agg(F.max(F.size("vector")), F.max(squared), most).first()
     if not width:
         width, longest = 1, longest or 0.0
+    kind = kind_of(most or 0)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
     sample = matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((1, width), np.int64)
     pivots = share(spark, Pivots(sample, longest))
-    index = stage(annuli(rows, pivots, width, k), "annuli")
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each batch of queries the distances to each pivot within which its results can lie."""
-        own = pivots()
+    index = stage(annuli(rows, pivots, width, kind, k), "annuli")
+    with conf_set(spark, "spark.sql.parquet.columnarReaderBatchSize", 16):
+        runs = index.where("ids is not null").select("pivots", "lows", "highs", "starts", "ids", "vectors").coalesce(1).rdd
+        asked = index.where("query_ids is not null").select("query_ids", "queries", "floors").rdd.zipWithIndex()
+    n = max(1, asked.count())
+
+    def search(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        own, batches = pivots(), {}
+        for (number, row), run in pairs:
+            if number not in batches:
+                batches[number] = Search(row.asDict(), own, width, kind, k)
+            batches[number].meet(run.asDict() | {"kind": kind})
+        for batch in batches.values():
+            batch.settle()
+            query, ids, scores = batch.kept
+            yield tuple(bytearray(x.astype(np.int64).tobytes()) for x in (batch.ids[query], ids, scores))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"batch": [], "pivot": [], "from": [], "to": []}
-            for row in batch.to_pylist():
-                queries = np.frombuffer(row["queries"], row["query_kind"]).reshape(-1, width).astype(np.float64)
-                far = own.distances(np.c_[queries, np.zeros(len(queries))])
-                r = radius((queries**2).sum(1), own.longest, np.frombuffer(row["floors"]))[:, None]
-                can = (far - far.min(1, keepdims=True)) / 2 <= r  # else the query is too far on the other side
-                low = np.where(can, far - r, np.inf).min(0)
-                high = np.where(can, far + r, -np.inf).max(0)
-                some = np.flatnonzero(can.any(0))
-                out["batch"] += [row["block"]] * len(some)
-                out["pivot"] += some.tolist()
-                out["from"] += low[some].tolist()
-                out["to"] += high[some].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["batch"], pa.int64()), pa.array(out["pivot"], pa.int32()), pa.array(out["from"], pa.float64()), pa.array(out["to"], pa.float64())],
-                names=["batch", "pivot", "from", "to"],
-            )
-
-    asked = index.where(F.length("query_ids") > 0)
-    queries = asked.select(F.col("block").alias("batch"), "query_kind", "query_ids", "queries", "floors")
-    reached = asked.select("block", "query_kind", "queries", "floors").mapInArrow(reach, "batch long, pivot int, `from` double, `to` double")
-    annulus = index.select("block", "pivot", "low", "high")
-    bound = F.greatest(F.col("low") - F.col("to"), F.col("from") - F.col("high"))
-    pairs = reached.join(annulus, "pivot").where(bound <= 0).select("batch", "block", (F.pmod("block", F.lit(PARTS))).alias("part"), bound.alias("bound"))
-    parts = queries.withColumn("part", F.explode(F.array(*[F.lit(n).cast("long") for n in range(PARTS)])))
-    visits = (
-        pairs.join(index.select("block", "pivot", "low", "high", "kind", "ids", "vectors"), "block")
-        .join(parts, ["batch", "part"])
-        .sortWithinPartitions("batch", "part", "bound")
-    )
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Annuli of a batch's part from the nearest on: each raises the floors, and what is out of reach is passed over."""
-        own, now, state = pivots(), None, None
-
-        def results(state) -> pa.RecordBatch:
-            kept = [x for x in zip(state["ids"], state["found"], strict=True) if len(x[1][0])]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.full(len(x[1][0]), x[0]) for x in kept]) if kept else np.zeros(0, np.int64), pa.int64()),
-                    pa.array(np.concatenate([x[1][0] for x in kept]) if kept else np.zeros(0, np.int64), pa.int64()),
-                    pa.array(np.concatenate([x[1][1] for x in kept]) if kept else np.zeros(0, np.int64), pa.int64()),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
+            for row in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], names=["query_id", "vec_id", "score"])
 
-        for batch in batches:
-            for n in range(batch.num_rows):
-                row = {name: batch.column(c)[n].as_py() for c, name in enumerate(batch.schema.names)}
-                if (row["batch"], row["part"]) != now:
-                    if state:
-                        yield results(state)
-                    now = (row["batch"], row["part"])
-                    asked = np.frombuffer(row["queries"], row["query_kind"]).reshape(-1, width).astype(np.int64)
-                    exact = asked.astype(np.float64)
-                    none = np.zeros(0, np.int64)
-                    state = {
-                        "ids": np.frombuffer(row["query_ids"], np.int64), "rows": asked, "squared": (exact**2).sum(1),
-                        "far": own.distances(np.c_[exact, np.zeros(len(exact))]), "floor": np.frombuffer(row["floors"]).copy(),
-                        "found": [(none, none)] * len(asked),
-                    }
-                far = state["far"][:, row["pivot"]]
-                r = radius(state["squared"], own.longest, state["floor"])
-                here = np.flatnonzero((far - row["high"] <= r) & (row["low"] - far <= r))
-                if not len(here):
-                    continue
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, width).astype(np.int64)
-                scores = products(state["rows"][here], vectors)
-                for q, own_scores in zip(here, scores, strict=True):
-                    some = np.flatnonzero((own_scores >= state["floor"][q]) & (ids != state["ids"][q]))
-                    if len(some):
-                        got, scored = state["found"][q]
-                        got, scored = np.r_[got, ids[some]], np.r_[scored, own_scores[some]]
-                        top = best(scored, got, k)
-                        state["found"][q] = (got[top], scored[top])
-                        if len(top) == k:
-                            state["floor"][q] = max(state["floor"][q], float(scored[top[-1]]))
-        if state:
-            yield results(state)
-
-    found = visits.mapInArrow(visit, "query_id long, vec_id long, score long")
+    # one batch a partition, so each partition of pairs reads the index once
+    dealt = asked.map(lambda x: (x[1], x[0])).partitionBy(n, int)
+    held = spark.createDataFrame(dealt.cartesian(runs).mapPartitions(search), "q binary, v binary, s binary", verifySchema=False)
+    found = held.mapInArrow(told, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
