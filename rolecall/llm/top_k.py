@@ -22,9 +22,9 @@ K = 20
 #: Pivots are picked from this many vectors at most; the index itself holds every vector.
 SAMPLE, PIVOTS = 2048, 64
 #: Vectors of an annulus at most, of the annuli that lie in a row of the index, and of those that are compared at a time.
-ANNULUS, RUN, TILE = 512, 8192, 2048
-#: Queries of a batch at most, and scores that are looked through at a time.
-QUERIES, COMPARED = 2048, 1 << 20
+ANNULUS, RUN, TILE = 512, 8192, 1024
+#: Queries of a batch at most, and of those that are compared at a time.
+QUERIES, ROWS = 2048, 512
 #: No floor yet, and an id above all others.
 NONE, LAST = -(2**63), 2**63 - 1
 SLACK = 1e-6
@@ -219,24 +219,25 @@ class Search:
         for some in np.split(reached, np.flatnonzero(np.diff(tile)) + 1):
             asked = np.flatnonzero(near[:, some].any(1))
             places = np.concatenate([np.arange(start[n], end[n]) for n in some])
-            self.compare(asked, ids[places], vectors[places])
+            there = vectors[places].astype(self.rows.dtype)
+            for row in range(0, len(asked), ROWS):
+                self.compare(asked[row : row + ROWS], ids[places], there)
 
     def compare(self, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = products(self.rows[asked] if len(asked) < len(self.ids) else self.rows, vectors)
+        scores = products(self.rows[asked], vectors)
         limit = self.floor[asked] + ((self.last[asked] <= ids.min()) & (self.floor[asked] != NONE))
         hit = np.flatnonzero(scores.max(1) >= limit.astype(scores.dtype))
-        step = max(1, COMPARED // len(ids))
-        for at in range(0, len(hit), step):
-            some = hit[at : at + step]
-            query = asked[some]
-            floor = self.floor[query]
-            q, v = np.nonzero(scores[some] >= floor.astype(scores.dtype)[:, None])
-            found, whose = scores[some[q], v].astype(np.int64), query[q]
-            counts = (ids[v] != self.ids[whose]) & ((found > floor[q]) | (ids[v] < self.last[whose]))
-            self.new.append((whose[counts], ids[v[counts]], found[counts]))
-            self.n_new += int(counts.sum())
-            if self.n_new > 4 * self.k * len(self.ids):
-                self.settle()
+        if not len(hit):
+            return
+        query = asked[hit]
+        floor = self.floor[query]
+        q, v = np.nonzero(scores[hit] >= floor.astype(scores.dtype)[:, None])
+        found, whose = scores[hit[q], v].astype(np.int64), query[q]
+        counts = (ids[v] != self.ids[whose]) & ((found > floor[q]) | (ids[v] < self.last[whose]))
+        self.new.append((whose[counts], ids[v[counts]], found[counts]))
+        self.n_new += int(counts.sum())
+        if self.n_new > 4 * self.k * len(self.ids):
+            self.settle()
 
 
 def top_k(rows: DataFrame, k: int = K) -> DataFrame:

@@ -24,7 +24,7 @@ def vectors_of(case):
 
 @pytest.mark.parametrize("case", ["small", "wide", "huge", "crowded"])
 def test_top_k_against_all_products(spark, monkeypatch, case):
-    for name, value in (("ANNULUS", 16), ("RUN", 64), ("TILE", 32), ("QUERIES", 8), ("COMPARED", 128), ("PIVOTS", 5)):
+    for name, value in (("ANNULUS", 16), ("RUN", 64), ("TILE", 32), ("QUERIES", 8), ("ROWS", 3), ("PIVOTS", 5)):
         monkeypatch.setattr(top_k, name, value)
     held = vectors_of(case)
     rows = spark.createDataFrame(held, "vec_id long, vector array<long>").withColumn("wanted", F.col("vec_id") % 20 == 0)
